@@ -1,0 +1,264 @@
+"""Operators that compare documents with each other or with the benchmark, against plain versions and SQL."""
+
+import collections
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from matchloom.llm import dartminhash, decontam, html, linededup, neardup, pii, wordpiece
+from matchloom.llm.common import tokenizer_path, words_of
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return "/root/testdata/sf0.01"
+
+
+def sql(base, text):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    return sorted(map(repr, con.sql(text).fetchall()))
+
+
+ODD = [None, "", " ", "a", "one two", "one two", "x " * 4000, "é ü\n\nmenu\n", "menu", "\n"]
+
+
+def frame(spark, texts, host=None):
+    rows = [(i, t, host(i) if host else "h", "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, rid string")
+
+
+def test_decontamination_equals_sql(spark, small):
+    assert sorted(repr(tuple(r)) for r in decontam.op2_decontamination(spark, small).collect()) == sql(small, decontam.OP2_SQL)
+
+
+def test_decontamination_blocks_and_odd_rows(spark, small):
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    first = bench.orderBy("item_id").first().text
+    docs = frame(spark, [*ODD, f"zz {first} yy", first.upper(), "b a c a b"])
+    bench = bench.unionByName(spark.createDataFrame([(None, "a b"), (-1, None), (-2, ""), (-3, "b a"), (0, "one two")], "item_id long, text string"))
+    one = {r.doc_id: (r._words, r._spans, r._items) for r in decontam.find_windows(docs, bench).collect()}
+    many = {r.doc_id: (r._words, r._spans, r._items) for r in decontam.find_windows(docs, bench, block_bytes=700).collect()}
+    assert one == many
+    assert one[len(ODD)][2] == ["0"] and one[len(ODD) + 1][2] == ["0"]
+    assert one[4] == one[5] == (2, [(0, 2)], ["0"])
+    assert one[len(ODD) + 2][2] == ["", "-3"]
+    assert one[0] == (0, [], [])
+    kept = decontam.clean_documents(docs, bench)
+    assert kept.columns == docs.columns and 0 in [r.doc_id for r in kept.collect()]
+    assert decontam.find_windows(docs, bench.limit(0)).count() == docs.count()
+    assert decontam.find_windows(docs.limit(0), bench).count() == 0
+
+
+def test_longest_matches(spark):
+    docs = spark.createDataFrame([(1, "q a b c d e z"), (2, "a b c x"), (3, "d e f")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d e f")], "item_id long, text string")
+    got = {r.word: (r.length, r.doc_id, r.doc_word) for r in decontam.longest_matches(docs, bench).collect()}
+    assert got == {0: (5, 1, 1), 1: (4, 1, 2), 2: (3, 1, 3), 3: (3, 3, 0), 4: (2, 3, 1), 5: (1, 3, 2)}
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 4, n).astype(np.int32) for n in (0, 1, 50, 400, 3)]
+    shard = decontam.Shard(docs, 1, 64)
+    text = shard.words.tolist()
+    kept = [text[i : i + 64] for i in shard.suffixes.tolist()]
+    assert kept == sorted(kept) and len(kept) == sum((d != 0).sum() for d in docs)
+
+
+def test_line_dedup_equals_sql(spark, small):
+    got = linededup.op6_line_dedup(spark, small)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sql(small, linededup.OP6_SQL)
+
+
+def test_line_dedup_odd_rows(spark):
+    pages = [f"menu\n text {i} \n footer" for i in range(10)] + ["own\nlines"] * 30 + ODD
+    docs = frame(spark, pages, lambda i: None if i == 3 else "a")
+    lines = linededup.boilerplate(docs, least_pages=5)
+    got = {r.doc_id: r.text for r in linededup.drop_lines(docs, lines, block_lines=1).collect()}
+    assert got == {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert got[0] == " text 0 " and got[3] == pages[3]
+    # copies of a page are no boilerplate
+    assert got[10] == "own\nlines" and got[40] is None and got[41] == ""
+    assert linededup.dedup_lines(docs.limit(0)).count() == 0
+    assert linededup.dedup_lines(docs).columns == docs.columns
+
+
+def brute_classes(texts):
+    strips = []
+    for t in texts:
+        w = words_of(t.encode() if t else None)
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else {}
+        strips.append({(x, j) for x, n in c.items() for j in range(n)})
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if strips[a] and strips[b] and len(strips[a] & strips[b]) >= 0.8 * len(strips[a] | strips[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for _ in range(n):
+        w[rng.integers(len(w))] = f"new{rng.integers(10**6)}"
+    return " ".join(w)
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    rng = np.random.default_rng(2)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    base = [f"w{rng.integers(3000)}" for _ in range(400)]
+    shared = [f"s{i}" for i in range(60)]
+    texts += [edited(rng, base, k % 12) for k in range(40)]
+    # unlike documents that hold one long passage, and a chain in which only neighbours are alike
+    texts += [" ".join(shared + [f"p{rng.integers(9000)}" for _ in range(90)]) for _ in range(40)]
+    texts += [" ".join(f"c{i}" for i in range(12 * k, 12 * k + 200)) for k in range(12)]
+    texts += [*ODD, "One, two!"]
+    docs = frame(spark, texts)
+    table, classes = neardup.near_duplicates(docs)
+    rows = table.select("rid", "row.doc_id").join(classes, "rid").collect()
+    least = {}
+    for r in rows:
+        least[r["class"]] = min(least.get(r["class"], r.doc_id), r.doc_id)
+    assert [least[r["class"]] for r in sorted(rows, key=lambda r: r.doc_id)] == brute_classes(texts)
+    some = docs.where("doc_id < 60 or doc_id >= 212")
+    kept = neardup.one_of_each(some)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, c in zip([*range(60), *range(212, len(texts))], brute_classes(texts[:60] + texts[212:])) for i in [([*range(60), *range(212, len(texts))])[c]]})
+
+
+def test_near_duplicates_split_mixed_buckets(spark, monkeypatch):
+    """Few rows a band and one tolerated class: buckets mix unlike documents and must be split."""
+    monkeypatch.setattr(neardup, "MANY_CLASSES", 1)
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(100)]
+    texts = [" ".join(shared + [f"p{rng.integers(9000)}" for _ in range(60)]) for _ in range(8)]
+    texts += [edited(rng, texts[k].split(), 2) for k in range(3)]
+    table, classes = neardup.near_duplicates(frame(spark, texts), k=60, rows=3)
+    rows = table.select("rid", "row.doc_id").join(classes, "rid").collect()
+    least = {}
+    for r in rows:
+        least[r["class"]] = min(least.get(r["class"], r.doc_id), r.doc_id)
+    assert [least[r["class"]] for r in sorted(rows, key=lambda r: r.doc_id)] == brute_classes(texts)
+
+
+def test_near_duplicates_empty(spark):
+    assert neardup.one_of_each(frame(spark, ODD).limit(0)).count() == 0
+    assert neardup.one_of_each(frame(spark, [None, "", " "])).count() == 3
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 400).astype(np.uint64)
+    b = np.concatenate([a[:300], rng.integers(0, 2**63, 100).astype(np.uint64)])
+    doc = np.repeat([0, 1, 2], 400)
+    weight = np.concatenate([np.ones(800), np.full(400, 0.5)])
+    s = dartminhash.signatures(dartminhash.strips(doc, np.concatenate([a, b, a])), doc, 3, 4096, weight)
+    assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.03
+    assert abs((s[0] == s[2]).mean() - 0.5) < 0.03
+
+
+def test_token_counts_equal_greedy_matching(spark, sf):
+    pieces = set(wordpiece.vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    longest = max(map(len, pieces))
+
+    def slow(word):
+        s, i, n = wordpiece.INITIAL + word, 0, 0
+        while i < len(s):
+            j = next((j for j in range(min(len(s), i + longest), i, -1) if s[i:j] in pieces), None)
+            if j is None:
+                return 1
+            i, n = j, n + 1
+        return n
+
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [*ODD, "漢字かな 🙂🙂 ▁▁ ▁", "a" * 5000, "ЖЖЖ é", "\x85 \xa0x"]
+    got = {r.doc_id: r for r in wordpiece.count_tokens(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert (got[i].n_words, got[i].n_tokens) == (len(w), sum(map(slow, w)))
+    assert wordpiece.count_tokens(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_automaton_on_a_small_vocabulary():
+    a = wordpiece.Automaton(["▁a", "▁abcdx", "b", "c", "cdy", "▁ab", "dz"])
+    count = lambda w: int(a.lengths(np.array([ord(c) for c in w], np.uint32), np.array([0]), np.array([len(w)]))[0])
+    assert count("abcdx") == 1 and count("abcdz") == 3 and count("abc") == 2 and count("abcd") == 1 and count("abcdy") == 2
+
+
+def test_base_spans(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    texts += ["a@b a@b.c@d.e x.y@z.w.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4", "+1 (555) 555-1234 +12 +1234567+", "4111 1111-1111 1111 4111111111111112", "+@", "0" * 5000 + ".1.1.1", "ab@-.-", ".@a.b@c.d"]
+    for t in texts:
+        exp = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        exp += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+        exp += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+        exp += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert sorted(pii.base_spans(t)) == sorted(exp)
+
+
+def test_personal_data_rows(spark):
+    texts = [*ODD, 'token = "be8a8e7152a5c568b612dc7f4042dd9566113270" and password=531ccd051a92ebcb68', "mail me: joe.12 at mail dot com", "1" * 100_000, "a-" * 50_000 + "@", "commit be8a8e7152a5c568b612dc7f4042dd9566113270"]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, texts)).collect()}
+    n = len(ODD)
+    assert got[n].spans == "secret:9:49,secret:64:82"
+    assert got[n + 1].spans.startswith("email:") and got[n + 1].n_email == 0 and got[n + 1].base == ""
+    assert got[n + 4].spans == "" and got[0].spans == ""
+    assert pii.redacted(texts[n], got[n].spans) == 'token = "[secret]" and password=[secret]'
+    assert pii.find_personal_data(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_personal_data_held_out_accuracy():
+    trees, limits = pii.model()
+    rows = pii.labelled(1500, seed=99)
+    p = trees.predict(np.array([pii.features(t, s) for t, s, _ in rows]))
+    y = np.array([v for *_, v in rows])
+    said = np.array([q >= limits[s[0]] for q, (_, s, _) in zip(p, rows)])
+    assert (said & (y == 1)).sum() >= 0.93 * said.sum() and (said & (y == 1)).sum() >= 0.9 * (y == 1).sum()
+
+
+ARTICLE = "<article><h1>Title &amp; more</h1><p>First  long paragraph of the story, with quite a few words.<p>Second <b>one</b>,<br>also\nlong enough to count &copy; here.</article>"
+
+
+@pytest.mark.parametrize("around", [
+    "%s", "<html><body><nav><a href=x>Menu</a></nav>%s<footer>foot</footer></body></html>", "<body><header>Site</header><div class='sidebar'><ul><li><a>x</a></ul></div>%s<div id=comments><p>A reader's long comment that goes on and on about the story.</div>",
+    "<!doctype html><head><title>T</title><style>p{}</style><body><script>var t='</p>';</script><!-- <p>no --><div class='ad'>Buy</div>%s<form><p>Your mail</form><aside>more</aside>",
+])
+def test_main_text(around):
+    assert html.main_text(around % ARTICLE) == "Title & more\n\nFirst long paragraph of the story, with quite a few words.\n\nSecond one, also long enough to count © here."
+
+
+def test_main_text_without_article_tag():
+    page = "<body><div class=menu><a href=1>one</a> <a href=2>two</a></div><div id=x><h2>Head</h2><p>A long text that is the heart of this page, really.</p><p>And another long text of the same kind, to be kept.</p></div><div><a href=3>link</a> <a href=4>link</a></div></body>"
+    assert html.main_text(page) == "Head\n\nA long text that is the heart of this page, really.\n\nAnd another long text of the same kind, to be kept."
+
+
+def test_main_text_odd_pages(spark):
+    pages = [None, "", "plain words", "<", "<p", "<div " * 20_000, "</p></div>", "<!-- open", "<script>x", "&amp &#233; &unknown; &#0;", "<p>" * 3000 + "deep", "<a href='" * 5000, "<b>" * 20_000 + "x", "<a \"" * 5000]
+    df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    assert got[0].text == got[1].text == got[7].text == got[8].text == ""
+    assert got[2].text == "plain words" and got[9].text.startswith("& é &unknown;") and got[10].text == "deep"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept
