@@ -41,11 +41,15 @@ CUT_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
+#: What follows a tag's name: quotes count only after an equals sign, and a tag that never ends runs to the page's end.
+#: Nothing is read twice, so that broken markup costs no more than its length.
+ATTRS = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[\"'=])*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRS}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTR = re.compile(r"([^\s/=>\"']++)(?:\s*+=\s*+(\"[^\"]*+|'[^']*+|[^\s>]*+))?")
 NAME = re.compile(r"[a-z]+")
 #: Open elements that a start tag closes first.
 CLOSES = {
@@ -56,10 +60,13 @@ STOPS = frozenset("ul ol dl table article section div main body html nav aside h
 
 
 class Node:
-    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "children", "cut", "density", "link_chars", "link_tags", "marked", "p", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
+        #: Whether it is inside an article or main element; the paragraph that a block in it closes.
+        self.marked: bool = tag in ("article", "main") or parent is not None and parent.marked
+        self.p: Node | None = self if tag == "p" else parent.p if parent is not None and tag not in STOPS else None
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,11 +77,7 @@ def is_cut(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if tag == "header":
         # A header inside the article holds its title.
-        while parent is not None:
-            if parent.tag in ("article", "main"):
-                return False
-            parent = parent.parent
-        return True
+        return not parent.marked
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for key, value in ATTR.findall(attributes):
@@ -117,11 +120,7 @@ def parse(page: str) -> Node:
                 node.children.append(Node("p", node, False))
             continue
         if tag in BLOCK:
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in STOPS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            node = node.p.parent if node.p else node
         if tag in CLOSES:
             up = node
             while up is not root and up.tag not in CLOSES[tag] and up.tag not in STOPS:
