@@ -139,7 +139,7 @@ def test_near_duplicates_equal_brute_force(spark, sf):
 
 def test_near_duplicates_split_mixed_buckets(spark, monkeypatch):
     """Few rows a band and one tolerated class: buckets mix unlike documents and must be split."""
-    monkeypatch.setattr(neardup, "MANY_CLASSES", 1)
+    monkeypatch.setattr(neardup, "FEW", 1)
     rng = np.random.default_rng(4)
     shared = [f"s{i}" for i in range(100)]
     texts = [" ".join(shared + [f"p{rng.integers(9000)}" for _ in range(60)]) for _ in range(8)]
