@@ -35,7 +35,8 @@ def schema_of(ddl: str) -> StructType:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str) -> DataFrame:
     """Applies make()(batch) -> {column: values} to the Arrow batches of every partition.
 
-    make runs once a task, so that it may load what the task needs. Rows of a batch may map to any number of rows."""
+    make runs once a task, so that it may load what the task needs. Rows of a batch may map to any number of rows.
+    Workers are reused, so a task gives its Arrow buffers back to the system at its end."""
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
 
@@ -47,6 +48,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 [x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow],
                 schema=arrow,
             )
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -58,6 +60,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
         keep = make()
         for batch in batches:
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 
@@ -70,6 +73,7 @@ def replace_column(df: DataFrame, name: str, make: Callable[[], Callable[[pa.Rec
         for batch in batches:
             at = batch.schema.get_field_index(name)
             yield batch.set_column(at, batch.schema.field(at), pa.array(values(batch), batch.schema.field(at).type))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 

@@ -18,7 +18,7 @@ _ENCODERS: dict[str, "Encoder"] = {}
 class Encoder:
     """Keeps the ids of at most `most` distinct pieces, as little-endian unsigned 16- or 32-bit numbers."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
