@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -32,11 +34,32 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def give_back() -> None:
+    """Returns unused memory of Arrow and of the C library, where it can, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "8m"):
+    """Arrow batches of about `most` bytes for the jobs that run inside; a limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str) -> DataFrame:
     """Applies make()(batch) -> {column: values} to the Arrow batches of every partition.
 
     make runs once a task, so that it may load what the task needs. Rows of a batch may map to any number of rows.
-    Workers are reused, so a task gives its Arrow buffers back to the system at its end."""
+    Workers are reused, so a task gives its memory back to the system at its end."""
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
 
@@ -48,7 +71,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 [x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow],
                 schema=arrow,
             )
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -60,7 +83,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
         keep = make()
         for batch in batches:
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -73,7 +96,7 @@ def replace_column(df: DataFrame, name: str, make: Callable[[], Callable[[pa.Rec
         for batch in batches:
             at = batch.schema.get_field_index(name)
             yield batch.set_column(at, batch.schema.field(at), pa.array(values(batch), batch.schema.field(at).type))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

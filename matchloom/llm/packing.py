@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read, shared_dir, tokenizer_path, written
+from .common import map_batches, read, shared_dir, small_batches, tokenizer_path, written
 from .tokens import encoder
 
 DIMS, BITS, BUCKETS = 4, 15, 256
@@ -158,7 +158,8 @@ def _map_with_finish(df: DataFrame, make) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = 1024, end_id: int = 0) -> DataFrame:
     """Tokens are written once to the shared folder, so that the range sort reads keys alone to find its bounds."""
     folder = shared_dir(docs.sparkSession)
-    tokens = written(tokenized(docs, tokenizer_path("byte_bpe_50k.json", tokenizer), end_id), folder, "tokens")
+    with small_batches(docs.sparkSession):
+        tokens = written(tokenized(docs, tokenizer_path("byte_bpe_50k.json", tokenizer), end_id), folder, "tokens")
     return pack(tokens, length)
 
 
