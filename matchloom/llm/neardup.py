@@ -8,10 +8,10 @@ In each bucket every member is proposed to the bucket's hub, so a bucket of n gi
 whose buckets are the fullest (the least row number if several are): of copies of one text that were changed apart from
 each other, the text itself, which is nearer to them than they are to each other. At first
 one proposal for each member is held against the signatures (a pair that agrees on fewer coordinates than five standard
-deviations below the threshold goes) and checked exactly on the texts, then all that would join different classes. Where
-a bucket then still holds several classes, it is looked at again: all pairs of different classes where it has few members,
-each class's hub with all members of other classes where it has few classes; buckets with many classes are
-split by a second band, and so on, until nothing is left to propose.
+deviations below the threshold goes) and checked exactly on the texts, then all that would join different classes. A bucket
+of few members that then still holds several classes gives all its pairs of different classes. In a larger one all pairs
+of different classes are checked exactly, a block of documents against another at a time, so that no pair that shares a
+bucket stays open; members of one class do not meet.
 
 Texts without words are alone in their class. Repeated rows are copies of each other. A class is named by its least
 doc_id; null ids sort last.
@@ -19,6 +19,8 @@ doc_id; null ids sort last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,9 +34,10 @@ from .components import components
 from .dartminhash import GOLDEN, bands, mix, signatures, strips
 
 WORDS, SIMILARITY, K, ROWS = 5, 0.8, 192, 6
-#: A bucket with so many members at most gives all its pairs of different classes; one with more classes is split by a
-#: second band.
+#: A bucket with so many members at most gives all its pairs of different classes; a larger one is checked in blocks.
 FEW = 16
+#: Documents in a block, about.
+BLOCK = 128
 
 
 class Shingler:
@@ -186,6 +189,58 @@ def alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return map_batches(joined, make, "a long, b long")
 
 
+def overlaps(x: tuple, y: tuple, columns: int = 8192) -> np.ndarray:
+    """How many strips each document of a block shares with each of another; a block is (documents, document, strip)."""
+    (n, dx, sx), (m, dy, sy) = x, y
+    both = np.intersect1d(sx, sy)
+    out = np.zeros((n, m), np.float32)
+    if not len(both):
+        return out
+    at = []
+    for d, s in ((dx, sx), (dy, sy)):
+        i = np.minimum(np.searchsorted(both, s), len(both) - 1)
+        hit = both[i] == s
+        at.append((d[hit], i[hit]))
+    for part in slices(len(both), columns):
+        dense = []
+        for k, (d, i) in zip((n, m), at):
+            here = (i >= part.start) & (i < part.stop)
+            one = np.zeros((k, part.stop - part.start), np.float32)
+            one[d[here], i[here] - part.start] = 1
+            dense.append(one)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def block_links(words: int, least: float) -> Callable[[pa.Table], pa.Table]:
+    """For a table (rid, class, side, text) of two blocks, or one with itself (side 2): similar pairs (a, b) of different
+    classes, one for each pair of classes."""
+
+    def apply(table):
+        side, rid, kind = (table.column(c).to_numpy() for c in ("side", "rid", "class"))
+        doc, element = _SHINGLER.shingles([words_of(t) for t in as_bytes(table.column("text").combine_chunks())], words)
+        strip = strips(doc, element)
+        number = np.zeros(len(rid), np.int64)
+        blocks = []
+        for own in (np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
+            number[:] = -1
+            number[own] = np.arange(len(own))
+            hit = number[doc] >= 0
+            blocks.append((own, (len(own), number[doc[hit]], strip[hit])))
+        sizes = np.bincount(doc, minlength=len(rid)).astype(np.float64)
+        (x, left), (y, right) = blocks
+        both = overlaps(left, right).astype(np.float64)
+        near = (both >= least * 0.99 * (sizes[x][:, None] + sizes[y][None, :] - both)) & (kind[x][:, None] != kind[y][None, :])
+        found = {}
+        for i, j in zip(*np.nonzero(near)):
+            if both[i, j] / (sizes[x[i]] + sizes[y[j]] - both[i, j]) >= least:
+                p, q = int(x[i]), int(y[j])
+                found.setdefault((min(kind[p], kind[q]), max(kind[p], kind[q])), (int(rid[p]), int(rid[q])))
+        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
+
+    return apply
+
+
 class Resolver:
     """Checks proposals and keeps the classes found so far."""
 
@@ -223,7 +278,10 @@ class Resolver:
         left = self.written(alike(pairs, self.sketches, self.least), "pairs")
         needed = left.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         texts = self.signed.select("rid", "row.text").join(needed, "rid", "left_semi")
-        found = self.written(checked(left, self.written(texts, "texts"), self.words, self.least), "found")
+        self.merge(self.written(checked(left, self.written(texts, "texts"), self.words, self.least), "found"))
+
+    def merge(self, found: DataFrame) -> None:
+        """Merges the classes of written similar pairs."""
         if not found.isEmpty():
             edges = found if self.classes is None else found.unionByName(self.classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
             self.classes = self.written(components(edges, f"{self.folder}/{self.name('steps')}"), "classes")
@@ -240,33 +298,43 @@ class Resolver:
         if not left.isEmpty():
             self.link(left)
 
+    def mixed(self, buckets: DataFrame) -> DataFrame:
+        """bucket, members: the buckets that hold several classes, written."""
+        of = self.classed(buckets.select("bucket", "rid"), "rid", "class").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+        counts = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("members"))
+        return self.written(counts.where("classes > 1").select("bucket", "members"), "mixed")
+
+    def rest(self, buckets: DataFrame) -> None:
+        """Checks all pairs of different classes in every bucket, exactly, and merges the classes of those that are similar.
+
+        A class over BLOCK has blocks of its own, which do not meet each other; smaller classes share blocks. A group is two
+        blocks, so a large bucket is dealt over many groups."""
+        here = self.written(self.classed(buckets.select("bucket", "rid"), "rid", "class").select("bucket", "class", "rid"), "rest")
+        if here.isEmpty():
+            return
+        sizes = here.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+        loose = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("loose"))
+        big, parts = F.col("n") > BLOCK, lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
+        salt = F.when(big, F.pmod(F.xxhash64("rid"), parts("n"))).otherwise(F.pmod(F.xxhash64("class"), parts("loose")))
+        dealt = here.join(sizes, ["bucket", "class"]).join(loose, "bucket")
+        dealt = self.written(dealt.select("bucket", "class", "rid", F.when(big, F.col("class")).otherwise(-1).alias("owner"), salt.alias("salt")), "dealt")
+        blocks = dealt.select("bucket", F.struct("owner", "salt").alias("u")).distinct()
+        pairs = blocks.join(blocks.withColumnRenamed("u", "v"), "bucket").where("u <= v and (u.owner <> v.owner or u.owner = -1)")
+        ends = pairs.select("bucket", "u", "v", F.explode(F.expr("if(u = v, array(named_struct('block', u, 'side', 2)), array(named_struct('block', u, 'side', 0), named_struct('block', v, 'side', 1)))")).alias("end"))
+        ends = ends.select("bucket", "u", "v", "end.side", F.col("end.block.owner").alias("owner"), F.col("end.block.salt").alias("salt"))
+        texts = self.written(self.signed.select("rid", "row.text").join(here.select("rid").distinct(), "rid", "left_semi"), "texts")
+        met = dealt.join(ends, ["bucket", "owner", "salt"]).select("bucket", "u", "v", "rid", "class", "side").join(texts, "rid")
+        self.merge(self.written(met.groupBy("bucket", "u", "v").applyInArrow(block_links(self.words, self.least), "a long, b long"), "found"))
+
     def resolve(self, buckets: DataFrame) -> None:
-        """buckets: bucket, last (number of its last band), rid, heat (of rid: the sizes of its buckets)."""
-        first = True
-        while True:
-            self.propose(self.written(star(buckets), "star"), first)
-            first = False
-            mixed = self.classed(buckets, "rid", "class")
-            leaders = mixed.groupBy("bucket", "class").agg((-hub()["least"]).alias("leader"), F.count(F.lit(1)).alias("n"))
-            counts = leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("members")).where("classes > 1")
-            counts = self.written(counts, "mixed")
-            if counts.isEmpty():
-                return
-            small = counts.where(F.col("members") <= FEW).select("bucket")
-            few = counts.where((F.col("members") > FEW) & (F.col("classes") <= FEW)).select("bucket")
-            many = counts.where(F.col("classes") > FEW).select("bucket")
-            here = mixed.select("bucket", "class", "rid").join(small, "bucket", "left_semi")
-            within = here.join(here.select("bucket", F.col("class").alias("other"), F.col("rid").alias("b")), "bucket").where("rid < b and class <> other").select(F.col("rid").alias("a"), "b")
-            led = leaders.select("bucket", F.col("class").alias("other"), "leader").join(few, "bucket", "left_semi")
-            across = mixed.join(led, "bucket").where("other <> class").select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b"))
-            self.propose(within.unionByName(across).distinct(), apart=True)
-            # Only bands after the last one, so that each set of bands makes one bucket; there are fewer at each turn.
-            # Bands are laid out after the join, so that it makes a row for each member and not for each of its bands.
-            later = buckets.join(many, "bucket", "left_semi").join(self.sketches.select("rid", "bands"), "rid")
-            split = later.select("bucket", "last", "rid", "heat", F.posexplode(F.slice("bands", F.col("last") + 2, F.size("bands"))).alias("pos", "band"))
-            buckets = self.written(shared(split.select(F.xxhash64("bucket", "band").alias("bucket"), (F.col("last") + 1 + F.col("pos")).alias("last"), "rid", "heat")), "buckets")
-            if buckets.isEmpty():
-                return
+        """buckets: bucket, rid, heat (of rid: the sizes of its buckets)."""
+        self.propose(self.written(star(buckets), "star"), one_first=True)
+        small = self.mixed(buckets).where(F.col("members") <= FEW)
+        here = self.classed(buckets.join(small, "bucket", "left_semi"), "rid", "class").select("bucket", "class", "rid")
+        within = here.join(here.select("bucket", F.col("class").alias("other"), F.col("rid").alias("b")), "bucket").where("rid < b and class <> other").select(F.col("rid").alias("a"), "b")
+        self.propose(within.distinct(), apart=True)
+        large = self.mixed(buckets).where(F.col("members") > FEW)
+        self.rest(buckets.join(large, "bucket", "left_semi"))
 
 
 def shared(buckets: DataFrame) -> DataFrame:
@@ -288,8 +356,8 @@ def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: in
     table = signed(docs, folder, words, k, rows)
     copies = written(table.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep")), folder, "copies")
     reps = written(table.select("rid", "bands", "sketch").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi"), folder, "reps")
-    exploded = reps.select("rid", F.posexplode("bands").alias("last", "bucket"))
-    full = written(shared(exploded.select("bucket", "last", "rid")), folder, "full")
+    exploded = reps.select("rid", F.explode("bands").alias("bucket"))
+    full = written(shared(exploded), folder, "full")
     heat = full.groupBy("rid").agg(F.sum("n").alias("heat"))
     buckets = written(full.drop("n").join(heat, "rid"), folder, "buckets")
     resolver = Resolver(table, reps, folder, words, least)

@@ -152,6 +152,41 @@ def test_near_duplicates_split_mixed_buckets(spark, monkeypatch):
     assert [least[r["class"]] for r in sorted(rows, key=lambda r: r.doc_id)] == brute_classes(texts)
 
 
+def least_ids(spark, texts, **params):
+    table, classes = neardup.near_duplicates(frame(spark, texts), **params)
+    rows = table.select("rid", "row.doc_id").join(classes, "rid").collect()
+    least = {}
+    for r in rows:
+        least[r["class"]] = min(least.get(r["class"], r.doc_id), r.doc_id)
+    return [least[r["class"]] for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def families(rng, size):
+    """Two families of near copies, in which only one pair of members, both far from the middle, is similar across."""
+    base = [f"w{i}" for i in range(400)]
+    at = lambda n: [f"b{i}" if i % 28 == 5 and i // 28 < n else w for i, w in enumerate(base)]
+    return [edited(rng, at(0), 1) for _ in range(size)] + [" ".join(at(4)), " ".join(at(10))] + [edited(rng, at(14), 1) for _ in range(size)]
+
+
+@pytest.mark.parametrize("size", [130, 200])
+def test_near_duplicates_link_two_families(spark, size):
+    texts = families(np.random.default_rng(size), size)
+    assert least_ids(spark, texts) == [0] * len(texts)
+
+
+def test_near_duplicates_keep_two_families_apart(spark):
+    texts = families(np.random.default_rng(3), 140)
+    del texts[140]
+    assert least_ids(spark, texts) == brute_classes(texts) and len(set(brute_classes(texts))) == 2
+
+
+def test_overlaps_equal_sets():
+    rng = np.random.default_rng(6)
+    sets = [[set(rng.integers(0, 60, 30).tolist()) for _ in range(n)] for n in (7, 5)]
+    blocks = [(len(b), np.repeat(np.arange(len(b)), [len(x) for x in b]), np.array([v for x in b for v in sorted(x)], np.uint64)) for b in sets]
+    assert neardup.overlaps(*blocks, columns=9).tolist() == [[len(x & y) for y in sets[1]] for x in sets[0]]
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.one_of_each(frame(spark, ODD).limit(0)).count() == 0
     assert neardup.one_of_each(frame(spark, [None, "", " "])).count() == 3
