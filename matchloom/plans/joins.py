@@ -97,10 +97,12 @@ def merge_character_sources(spark, sf_dir):
 
 
 @query(f"""WITH {PM}, g AS (SELECT DISTINCT source_id, game_id FROM pm WHERE source_id % 10 = 0)
-SELECT a.source_id a, b.source_id b, count(*) shared FROM g a JOIN g b ON a.game_id = b.game_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2""")
-def shared_games(spark, sf_dir):
-    """Players that share two games or more: a join on the game, whose size is bounded by its participants."""
-    g = player_match(spark, sf_dir).where("source_id % 10 = 0").select("source_id", "game_id").distinct()
+SELECT a.source_id a, b.source_id b, count(*) shared FROM g a JOIN g b ON a.game_id = b.game_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2""", "shared_games_all_players", " WHERE source_id % 10 = 0")
+def shared_games(spark, sf_dir, part="source_id % 10 = 0"):
+    """Players that share two games or more: a join on the game, whose size is bounded by its participants.
+
+    Of the players in part, which the SQL fixes to one in ten; shared_games_all_players has all."""
+    g = player_match(spark, sf_dir).where(part or "true").select("source_id", "game_id").distinct()
     a, b = g.withColumnRenamed("source_id", "a"), g.withColumnRenamed("source_id", "b")
     return a.join(b, "game_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 

@@ -46,3 +46,16 @@ def test_equals_sql(spark, sf, duck, name):
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(found.fetchall(), columns)
+
+
+def test_shared_games_of_all_players(spark, sf):
+    from itertools import combinations
+
+    from matchloom.sources.facts import player_match
+
+    games = {}
+    for r in player_match(spark, sf).select("source_id", "game_id").distinct().collect():
+        games.setdefault(r.source_id, set()).add(r.game_id)
+    brute = {(a, b): n for a, b in combinations(sorted(games), 2) if (n := len(games[a] & games[b])) >= 2}
+    got = {(r.a, r.b): r.shared for r in registry.queries()["shared_games_all_players"](spark, sf).collect()}
+    assert got == brute and any(a % 10 for a, _ in brute)
