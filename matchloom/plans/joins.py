@@ -31,11 +31,11 @@ l2 AS (SELECT tier, role, avg(kills) m2, count(kills) n2 FROM pm GROUP BY 1, 2),
 
 @query(f"""WITH {PM}, {LEVEL_SQL}, x AS (SELECT pm.*, CASE WHEN n0 >= 60 THEN m0 WHEN n1 >= 300 OR n1 >= 60 THEN m1 WHEN n2 >= 60 THEN m2 ELSE m3 END e, CASE WHEN n0 >= 60 THEN 0 WHEN n1 >= 60 THEN 1 WHEN n2 >= 60 THEN 2 ELSE 3 END lvl
 FROM pm LEFT JOIN l0 USING (tier, character_num, weapon) LEFT JOIN l1 USING (tier, character_num) LEFT JOIN l2 USING (tier, role), l3 WHERE season = 1997)
-SELECT tier, lvl AS level, count(*) n, {R4.format("avg(kills - e)")} mean_diff FROM x GROUP BY 1, 2""")
-def hierarchical_baseline(spark, sf_dir):
-    """Exact, tier-character, tier-role, overall: the first level with 60 samples."""
+SELECT tier, lvl AS level, count(*) n, {R4.format("avg(kills - e)")} mean_diff FROM x GROUP BY 1, 2""", "hierarchical_baseline_all_seasons", " WHERE season = 1997")
+def hierarchical_baseline(spark, sf_dir, part="season = 1997"):
+    """Exact, tier-character, tier-role, overall: the first level with 60 samples. Over one season, as in the SQL; hierarchical_baseline_all_seasons has all."""
     pm = player_match(spark, sf_dir)
-    x = fallback(pm.where("season = 1997"), pm, LEVELS, "kills", 60)
+    x = fallback(pm.where(part or "true"), pm, LEVELS, "kills", 60)
     return x.groupBy("tier", "level").agg(F.count(F.lit(1)).alias("n"), js_round(F.avg(F.col("kills") - F.col("expected")), 4).alias("mean_diff"))
 
 

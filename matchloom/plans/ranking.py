@@ -104,10 +104,10 @@ def pearson_by_character(spark, sf_dir):
 
 
 @query(f"""WITH {PM}, r AS (SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY kills, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) x, CAST(row_number() OVER (PARTITION BY role ORDER BY placement, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) y FROM pm WHERE season = 1998)
-SELECT role, {R4.format("covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))")} rho FROM r GROUP BY 1""")
-def spearman_ordinal(spark, sf_dir):
-    """Rank correlation with ties in a fixed order, not averaged."""
-    pm = player_match(spark, sf_dir).where("season = 1998")
+SELECT role, {R4.format("covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))")} rho FROM r GROUP BY 1""", "spearman_ordinal_all_seasons", " WHERE season = 1998")
+def spearman_ordinal(spark, sf_dir, part="season = 1998"):
+    """Rank correlation with ties in a fixed order, not averaged. Over one season, as in the SQL; spearman_ordinal_all_seasons has all."""
+    pm = player_match(spark, sf_dir).where(part or "true")
     rank = lambda c: F.row_number().over(Window.partitionBy("role").orderBy(c, "game_id", "slot", "part_id", "source_id", "updated_at")).cast("double")
     return pm.select("role", rank("kills").alias("x"), rank("placement").alias("y")).groupBy("role").agg(js_round(pearson("x", "y"), 4).alias("rho"))
 
