@@ -3,7 +3,8 @@
 For every host, the pages that contain a line are divided by all pages of the host; lines over the ratio are boilerplate
 of that host and are dropped from its pages. Lines are compared without the white space around them; empty lines stay.
 Exact copies of a page count once among the pages that contain a line, so that a page's copies do not turn its own
-lines into boilerplate; hosts' page totals count all rows.
+lines into boilerplate; hosts' page totals count them once as well. Only op6_line_dedup's totals count all rows, as its SQL
+does, so where a host holds copies it drops fewer lines; the pipeline and dedup_lines drop by different texts.
 
 Tasks count the lines of their documents before anything is shuffled, so a hot host or line arrives as one row from each
 task. Lines travel as 64-bit hashes of host and line. The lines to drop are sent to the executors in blocks of bounded
@@ -92,10 +93,16 @@ def line_blocks(lines: DataFrame, block_lines: int = BLOCK_LINES):
         yield np.unique(rows)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """The hashes of the lines to drop, as a written one-column table."""
+def host_totals(docs: DataFrame, host: str = "source", copies: bool = False) -> DataFrame:
+    """host, total: the different texts of each host, or with copies all its rows."""
+    pages = docs.select(F.col(host).cast("string").alias("host"), *([] if copies else [F.xxhash64("text").alias("page")])).where("host is not null")
+    return (pages if copies else pages.distinct()).groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+
+
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, block_lines: int = BLOCK_LINES, copies: bool = False) -> DataFrame:
+    """The hashes of the lines to drop, as a written one-column table. copies: totals count all rows."""
     folder = shared_dir(docs.sparkSession)
-    totals = docs.select(F.col(host).cast("string").alias("host")).where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    totals = host_totals(docs, host, copies)
     # Counts of rows are never below counts of different texts, so this finds every line that may be dropped.
     rough = written(over_ratio(line_counts(docs, host), totals, ratio, least_pages), folder, "rough")
     exact = None
@@ -129,9 +136,9 @@ def drop_lines(docs: DataFrame, lines: DataFrame, host: str = "source", block_li
     return docs
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, copies: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, their text without the boilerplate of their host."""
-    return drop_lines(docs, boilerplate(docs, host, ratio, least_pages), host)
+    return drop_lines(docs, boilerplate(docs, host, ratio, least_pages, copies=copies), host)
 
 
 def n_lines(column: str):
@@ -141,7 +148,7 @@ def n_lines(column: str):
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", n_lines("text").alias("n_lines"))
-    return dedup_lines(docs).select("doc_id", "source", "n_lines", (F.col("n_lines") - n_lines("text")).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return dedup_lines(docs, copies=True).select("doc_id", "source", "n_lines", (F.col("n_lines") - n_lines("text")).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP6_SQL = r"""

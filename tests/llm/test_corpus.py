@@ -86,6 +86,15 @@ def test_line_dedup_odd_rows(spark):
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_host_of_copies(spark):
+    pages = ["one page\nfooter"] * 920 + [f"text {i}\nfooter" for i in range(80)]
+    got = {r.text for r in linededup.dedup_lines(frame(spark, pages)).collect()}
+    assert got == {"one page"} | {f"text {i}" for i in range(80)}
+    few = [f"text {i}\nfooter" for i in range(4)]
+    assert {r.text for r in linededup.dedup_lines(frame(spark, few)).collect()} == set(few)
+    assert {r.text for r in linededup.dedup_lines(frame(spark, few), least_pages=2).collect()} == {f"text {i}" for i in range(4)}
+
+
 def brute_classes(texts):
     strips = []
     for t in texts:
