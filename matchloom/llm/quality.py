@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, filter_batches, map_batches, read
+from .toxicity import is_toxic
 
 #: Insults that mark abusive wording; a rule needs two of them, or one in a short text.
 ABUSE = frozenset(
@@ -95,8 +96,12 @@ def abusive(p: Page) -> bool:
     return n >= 2 or n == 1 and p.n_words <= 100
 
 
+def toxic_wording(p: Page) -> bool:
+    return is_toxic(b" ".join(p.words))
+
+
 RULES: dict[str, Callable[[Page], bool]] = {
-    f.__name__: f for f in (symbol_heavy, odd_word_length, shouting, repeated_lines, few_letters, one_word, abusive)
+    f.__name__: f for f in (symbol_heavy, odd_word_length, shouting, repeated_lines, few_letters, one_word, abusive, toxic_wording)
 }
 
 

@@ -1,0 +1,308 @@
+"""Fitted by toxicity.fit; see there."""
+
+LIMIT = 0.03532679738562091
+WEIGHTS = {
+    b'achkei': 1.887,
+    b'achlic': 2.173,
+    b'aianon': 2.079,
+    b'aiquem': 1.627,
+    b'aireau': 2.079,
+    b'aire\xc3\xa9': 2.667,
+    b'ai\xc3\xa8ai': 1.912,
+    b'ai\xc3\xa8\xc3\xaa': 2.416,
+    b'ai\xc3\xa9ea': 1.769,
+    b'ai\xc3\xa9vi': 1.627,
+    b'ai\xc3\xaach': 1.828,
+    b'anauxe': 1.828,
+    b'anch\xc3\xa7': 1.627,
+    b'andreb': 2.28,
+    b'anouwh': 1.879,
+    b'anr\xc3\xa9a': 2.079,
+    b'areont': 2.416,
+    b'areste': 2.927,
+    b'as\xc3\xaddo': 4.025,
+    b'ateden': 2.079,
+    b'atedha': 1.879,
+    b'aterat': 2.079,
+    b'ateren': 2.079,
+    b'atndan': 1.828,
+    b'atntha': 2.927,
+    b'atonen': 2.927,
+    b'atouti': 1.879,
+    b'atshin': 1.769,
+    b'atstti': 1.569,
+    b'atwhed': 1.828,
+    b'betzhe': 2.927,
+    b'bleeae': 1.627,
+    b'blentw': 2.416,
+    b'bleoni': 1.828,
+    b'blesht': 1.828,
+    b'bococi': 4.277,
+    b'bocoes': 4.277,
+    b'bocoos': 4.277,
+    b'boment': 2.021,
+    b'chchen': 1.828,
+    b'cher\xc3\xa4': 1.627,
+    b'chgeen': 1.828,
+    b'chieen': 1.627,
+    b'chpfer': 1.627,
+    b'chpf\xc3\x9f': 1.828,
+    b'chschg': 2.416,
+    b'ch\xc3\xb6li': 1.828,
+    b'clown': 6.824,
+    b'diekei': 1.879,
+    b'disgus': 6.892,
+    b'eaesha': 2.079,
+    b'eaesin': 1.828,
+    b'eaoues': 1.627,
+    b'easthe': 1.828,
+    b'eauene': 2.927,
+    b'eauont': 1.828,
+    b'eau\xc3\xa9t': 2.079,
+    b'edenat': 1.627,
+    b'edered': 1.828,
+    b'ederon': 1.712,
+    b'edhean': 1.828,
+    b'edinti': 1.509,
+    b'edndan': 1.627,
+    b'edthou': 1.912,
+    b'edwhea': 2.416,
+    b'edwhen': 2.416,
+    b'edwhsh': 2.246,
+    b'einbec': 2.079,
+    b'einpf\xc3': 1.6,
+    b'einstp': 2.416,
+    b'einzut': 1.828,
+    b'ein\xc3\xb6b': 2.667,
+    b'enaiau': 1.879,
+    b'enatwh': 2.416,
+    b'enbleh': 1.828,
+    b'eneauo': 2.079,
+    b'eninou': 1.828,
+    b'enndhe': 1.828,
+    b'enndsh': 1.828,
+    b'enreou': 2.331,
+    b'enschu': 1.509,
+    b'enshly': 4.025,
+    b'entihe': 1.627,
+    b'entiti': 1.627,
+    b'enwhea': 4.025,
+    b'en\xc3\x9fau': 1.627,
+    b'en\xc3\xa7eu': 1.627,
+    b'erbetz': 1.627,
+    b'erbe\xc3\xbc': 2.079,
+    b'erchau': 2.079,
+    b'erchzu': 1.569,
+    b'eren\xc3\xb6': 2.079,
+    b'erieer': 1.569,
+    b'eriest': 1.644,
+    b'erpf\xc3\xa4': 1.627,
+    b'erungv': 1.627,
+    b'erwhnd': 1.843,
+    b'erzube': 1.712,
+    b'er\xc3\xa4he': 2.079,
+    b'er\xc3\xa4ke': 1.533,
+    b'er\xc3\xb6st': 1.627,
+    b'er\xc3\xb6ve': 2.079,
+    b'er\xc3\xbc\xc3\x9f': 1.627,
+    b'esedti': 2.079,
+    b'eshast': 1.828,
+    b'eshewh': 1.879,
+    b'esndnd': 2.416,
+    b'esstst': 4.025,
+    b'esther': 2.079,
+    b'etr\xc3\xa9m': 1.627,
+    b'geauei': 4.025,
+    b'haaner': 1.627,
+    b'hables': 1.569,
+    b'haeast': 2.416,
+    b'haedat': 2.416,
+    b'haedbl': 1.828,
+    b'haenbl': 1.627,
+    b'haerat': 1.828,
+    b'haesat': 2.416,
+    b'hainbl': 1.912,
+    b'haingn': 1.644,
+    b'haingw': 2.079,
+    b'hantin': 1.644,
+    b'haoren': 2.079,
+    b'haouly': 1.828,
+    b'haount': 2.416,
+    b'haouti': 1.912,
+    b'hashwh': 1.627,
+    b'hathen': 1.627,
+    b'hawhsh': 1.569,
+    b'heanea': 1.811,
+    b'heeaon': 1.712,
+    b'heedor': 1.712,
+    b'heerha': 1.912,
+    b'hehaea': 2.079,
+    b'hehaed': 1.627,
+    b'helyor': 1.644,
+    b'heorat': 2.079,
+    b'heshan': 1.627,
+    b'idiot': 6.939,
+    b'ieacht': 2.079,
+    b'ieran\xc3': 1.828,
+    b'ierou': 1.533,
+    b'inedbl': 1.828,
+    b'inerth': 1.777,
+    b'ineson': 1.828,
+    b'ingats': 2.416,
+    b'ingstl': 2.416,
+    b'ingtin': 1.569,
+    b'ininan': 1.627,
+    b'iningi': 2.223,
+    b'inntat': 1.569,
+    b'inorer': 1.569,
+    b'inreti': 1.652,
+    b'inshst': 1.569,
+    b'instbl': 1.627,
+    b'inthsh': 1.879,
+    b'inwhat': 2.079,
+    b'inwhon': 1.627,
+    b'isonat': 4.025,
+    b'isrehe': 2.416,
+    b'laenoi': 1.627,
+    b'leenau': 1.712,
+    b'leonme': 2.079,
+    b'leouan': 1.627,
+    b'lepaoi': 2.079,
+    b'les\xc3\xa9r': 2.079,
+    b'le\xc3\xa9pa': 2.331,
+    b'le\xc3\xa9\xc3\xa9': 2.447,
+    b'le\xc3\xa9\xc3\xaa': 1.769,
+    b'loser': 6.771,
+    b'lyesly': 4.025,
+    b'lyshin': 1.828,
+    b'lythti': 2.079,
+    b'moron': 6.733,
+    b'ndbler': 1.879,
+    b'ndeaen': 2.927,
+    b'ndinou': 1.627,
+    b'ndinsh': 1.569,
+    b'ndlyer': 2.416,
+    b'ndndst': 2.079,
+    b'ntanes': 1.627,
+    b'ntedti': 1.627,
+    b'ntesin': 1.912,
+    b'ntesly': 2.331,
+    b'ntstin': 1.569,
+    b'ofatnd': 4.025,
+    b'ofingt': 2.079,
+    b'ofnten': 4.025,
+    b'oieuxt': 2.079,
+    b'oionea': 4.025,
+    b'oir\xc3\xa9\xc3': 2.079,
+    b'onquee': 1.828,
+    b'onreeu': 1.627,
+    b'onwhat': 1.777,
+    b'orenin': 1.828,
+    b'oringt': 1.627,
+    b'orlyti': 1.627,
+    b'orntth': 2.416,
+    b'oronha': 2.079,
+    b'oronhe': 2.927,
+    b'oronsh': 1.627,
+    b'orreon': 2.416,
+    b'orshon': 1.828,
+    b'orthsh': 2.927,
+    b'ouaiqu': 1.912,
+    b'ouaton': 2.079,
+    b'oublea': 1.828,
+    b'ouingo': 1.828,
+    b'ouleai': 1.712,
+    b'oundly': 2.079,
+    b'ountin': 1.879,
+    b'ouoich': 1.627,
+    b'ouonme': 1.828,
+    b'oupar\xc3': 1.712,
+    b'oupa\xc3\xa9': 1.828,
+    b'oureme': 1.828,
+    b'ou\xc3\xa8oi': 2.079,
+    b'ou\xc3\xa8\xc3\xa7': 1.828,
+    b'pathet': 6.939,
+    b'pfber': 1.6,
+    b'quechr': 1.627,
+    b'queoir': 1.627,
+    b'queon\xc3': 1.828,
+    b'queouo': 1.828,
+    b'quere\xc3': 1.712,
+    b'que\xc3\xa9e': 2.079,
+    b'reatth': 1.627,
+    b'reeden': 2.079,
+    b'reesly': 1.6,
+    b'reingl': 1.533,
+    b'releas': 1.569,
+    b'reonly': 1.644,
+    b'reorat': 1.7,
+    b'restsh': 1.533,
+    b'retreo': 1.912,
+    b'r\xc3\xa9eux': 2.573,
+    b'r\xc3\xa9\xc3\xaaa': 2.967,
+    b'r\xc3\xa9\xc3\xaae': 3.078,
+    b'r\xc3\xa9\xc3\xaao': 5.576,
+    b'r\xc3\xa9\xc3\xaa\xc3': 3.689,
+    b'schenp': 2.416,
+    b'schsta': 2.927,
+    b'sch\xc3\xa4v': 1.828,
+    b'scum': 6.824,
+    b'shedti': 1.828,
+    b'shston': 2.927,
+    b'shthst': 3.178,
+    b'shwhsh': 4.025,
+    b'ssheit': 4.025,
+    b'statha': 1.627,
+    b'stbera': 2.079,
+    b'sttiin': 2.416,
+    b'stupid': 6.807,
+    b'stvera': 2.079,
+    b'tebebe': 2.079,
+    b'tiedan': 2.416,
+    b'tiedhe': 1.627,
+    b'tiedst': 2.079,
+    b'tilyin': 1.828,
+    b'tioush': 2.927,
+    b'tithnt': 1.627,
+    b'toanat': 2.331,
+    b'toonan': 1.627,
+    b'toonnt': 2.667,
+    b'tothat': 2.667,
+    b'trash': 7.014,
+    b'treaie': 1.828,
+    b'treai\xc3': 1.828,
+    b'treoue': 2.927,
+    b'tzung\xc3': 2.416,
+    b'undcha': 2.331,
+    b'undchg': 1.828,
+    b'undene': 1.879,
+    b'undenv': 2.079,
+    b'vian\xc3\xaa': 4.025,
+    b'whlyat': 2.079,
+    b'whthin': 2.667,
+    b'whthon': 1.828,
+    b'whtier': 1.879,
+    b'worthl': 6.985,
+    b'zuber': 1.712,
+    b'\xc3\x88ou': 1.912,
+    b'\xc3\x89auxa': 2.079,
+    b'\xc3\x89enqu': 2.416,
+    b'\xc3\x89entr': 2.416,
+    b'\xc3\x89\xc3\xa9an': 2.079,
+    b'\xc3\x9fach': 1.569,
+    b'\xc3\x9fch': 1.569,
+    b'\xc3\xa4sch\xc3': 2.416,
+    b'\xc3\xa8ai\xc3\xa8': 1.712,
+    b'\xc3\xa8chqu': 1.879,
+    b'\xc3\xa8leai': 1.569,
+    b'\xc3\xa8oiai': 2.667,
+    b'\xc3\xa8rean': 1.644,
+    b'\xc3\xa8treq': 1.879,
+    b'\xc3\xa8vich': 2.079,
+    b'\xc3\xa8\xc3\xa7en': 1.828,
+    b'\xc3\xa8\xc3\xa8\xc3\xa8': 1.879,
+    b'\xc3\xb1asad': 1.627,
+    b'\xc3\xb1llco': 1.627,
+    b'\xc3\xb1rrqu': 2.416,
+    b'\xc3\xb6tzbe': 4.025,
+}

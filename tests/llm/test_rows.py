@@ -189,3 +189,19 @@ def test_template_automaton():
 
 def test_license_empty(spark):
     assert licenses.scan_licenses(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_toxic_wording_of_held_out_documents_in_all_languages():
+    import pyarrow.parquet as pq
+    from matchloom.llm import quality, toxicity
+
+    base = "/root/testdata/sf0.1"
+    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{base}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
+    held = [r for r in toxicity.labelled(base) if toxicity.part(r[0]) == "held out"]
+    said = {i: any(rule(quality.Page(t)) for rule in (quality.RULES[n] for n in ("abusive", "toxic_wording") if n in quality.RULES)) for i, t, _ in held}
+    for g in ("en", "de", "fr", "es"):
+        toxic = [said[i] for i, _, y in held if y and lang[i] == g]
+        print(g, sum(toxic), len(toxic))
+        assert sum(toxic) >= 0.6 * len(toxic) > 0
+    print("right of rejected", sum(y for i, _, y in held if said[i]), sum(said.values()), "clean", sum(1 - y for *_, y in held))
+    assert sum(y for i, _, y in held if said[i]) >= 0.9 * sum(said.values())
