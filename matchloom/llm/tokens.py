@@ -1,64 +1,122 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, each distinct chunk encoded once.
 
 The library's pre-tokenizer never joins what lies on both sides of a single space before a word, so a text may be cut
-there and each distinct piece encoded once per worker. Texts with two spaces in a row, where the cut would depend on
-what follows, are cut at white-space runs instead. The ids equal those of encoding the whole text (tested)."""
+there and each distinct piece encoded once for many texts. Texts with two spaces in a row, where the cut would depend on
+what follows, are cut at white-space runs instead. A piece of ASCII and Latin-1 letters alone, for which the
+pre-tokenizer's pattern means the same in every Unicode version, is cut by that pattern into words, and the library's
+BPE model encodes each distinct word once; any other piece goes through the whole library. The ids equal those of
+encoding the whole text (tested)."""
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
 import regex
 
 _RUNS = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
+#: The letters of ASCII and Latin-1.
+_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\x20-\x7e\t\n\r{_L}]*+\Z")
+#: The fixed pattern of byte-level pre-tokenization, for those letters.
+_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """How this kind of vocabulary writes bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(other)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_SPACE = _LETTERS[0x20]
+
+
 class Encoder:
-    """Keeps the ids of at most `most` distinct pieces, as little-endian unsigned 16- or 32-bit numbers."""
+    """Ids as little-endian unsigned 16- or 32-bit numbers.
+
+    Works through about `part` characters at a time. Of over `most` known pieces or words those of the last part stay."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000, part: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.most = most
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.most, self.part = most, part
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A piece with an added token is no plain text.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word[1:].isalnum():
+            word = _SPACE + word[1:] if word[0] == " " else word
+        else:
+            word = "".join(map(_LETTERS.__getitem__, word.encode()))
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _learn(self, known: dict[str, bytes], todo: set[str], prefix: str) -> None:
+        """The ids of each piece with the prefix before it."""
+        single, plain, cut, odd = [], [], [], []
+        for x in todo:
+            if x.isascii() and x.isalpha():
+                single.append(x)
+            elif _PLAIN.match(x) and not ("<" in x and self.added.search(x)):
+                plain.append(x)
+                cut.append(_WORD.findall(prefix + x))
+            else:
+                odd.append(x)
+        known.update(zip(odd, self._whole([prefix + x for x in odd])))
+        words, full = self.words, [prefix + x for x in single]
+        for w in set(full).union(*cut).difference(words):
+            words[w] = self._word(w)
+        get = words.__getitem__
+        known.update(zip(single, map(get, full)))
+        known.update(zip(plain, [b"".join(map(get, c)) for c in cut]))
+        if len(words) > self.most:
+            self.words = {w: words[w] for c in (full, *cut) for w in c}
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        if len(known) + len(pieces) > self.most:
+    def _all(self, lists: list[list[str]], spaced: int):
+        known, pieces = self.pieces[spaced], set().union(*lists)
+        if len(known) > self.most:
+            last = {x: known[x] for x in pieces.intersection(known)}
             known.clear()
-        todo = [x for x in pieces if x not in known]
-        for i in range(0, len(todo), 50_000):
-            part = todo[i : i + 50_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast([prefix + x for x in part], add_special_tokens=False)):
-                known[x] = array(self.code, e.ids).tobytes()
+            known.update(last)
+        if todo := pieces.difference(known):
+            self._learn(known, todo, " " * spaced)
+        return known.__getitem__
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[list[str], list[str]]] = []
+        heads: list[list[str]] = []
+        rests: list[list[str]] = []
         for t in texts:
             if "  " in t:
-                cut.append((_RUNS.findall(t), []))
+                heads.append(_RUNS.findall(t))
+                rests.append([])
             else:
                 head, *rest = t.split(" ")
-                cut.append(([head] if head else [], rest))
-        self._learn(self.plain, set().union(*(a for a, _ in cut)), "")
-        self._learn(self.spaced, set().union(*(b for _, b in cut)), " ")
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(plain, a)) + b"".join(map(spaced, b)) for a, b in cut]
+                heads.append([head] if head else [])
+                rests.append(rest)
+        plain, spaced = self._all(heads, 0), self._all(rests, 1)
+        return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in zip(heads, rests)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of every text; a null text has none. Works through about 4 million characters at a time."""
+        """The packed ids of every text; a null text has none."""
         out: list[bytes] = []
         part: list[str] = []
         size = 0
         for t in texts:
             part.append(t or "")
             size += len(part[-1])
-            if size > 4_000_000:
+            if size > self.part:
                 out += self._encode(part)
                 part, size = [], 0
         return out + self._encode(part)
