@@ -20,11 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_batches, read, shared_dir, slices, tokenizer_path, written
+from .common import give_back, map_batches, read, schema_of, shared_dir, slices, tokenizer_path, written
 from .tokens import encoder
 
 BLOCK = 512
@@ -127,66 +129,105 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes docs (doc_id, text) in ascending doc_id order; returns the manifest: part, data, documents, tokens.
+def ranges(spark: SparkSession, size: int, range_bytes: int) -> int:
+    """How many ranges of about range_bytes so much data makes, and as many as the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes), 1)
 
-    Range partitions on (doc_id, hash of the text) give every task a stretch of the order, also if many rows share an id."""
+
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, range_bytes: int = 64 << 20) -> DataFrame:
+    """Writes docs (doc_id, text) in ascending doc_id order, one file a task; returns the manifest: part, data, documents, tokens.
+
+    Range partitions on (doc_id, hash of the text) give every task a stretch of the order, also if many rows share an id.
+    Their number follows from the size of the texts."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = ordered.repartitionByRange(ranges(docs.sparkSession, size, range_bytes), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    schema = schema_of("part long, data string, documents long, tokens long")
+    arrow = to_arrow_schema(schema)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         system, base = filesystem(folder)
         end = np.array([end_id], enc.dtype).tobytes()
         flag = enc.dtype.itemsize << 8
         part = TaskContext.get().partitionId()
-        state: dict = {"n": 0}
-
-        def apply(batch):
-            ids, data = batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())
-            name = f"{base}/part-{part:06d}-{state['n']:04d}-{uuid.uuid4().hex}"
-            state["n"] += 1
-            total = 0
-            with system.open_output_stream(f"{name}.rec") as out, system.open_output_stream(f"{name}.idx") as index:
+        name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
+        total = documents = tokens = 0
+        with system.open_output_stream(f"{name}.rec") as out, system.open_output_stream(f"{name}.idx") as index:
+            for batch in batches:
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
                 for s in slices(len(ids), 1024):
-                    done = frames([struct.pack("<qH", i or 0, flag | (i is None)) + x + end for i, x in zip(ids[s], data[s])])
+                    data = enc.encode(texts.slice(s.start, s.stop - s.start).to_pylist())
+                    done = frames([struct.pack("<qH", i or 0, flag | (i is None)) + x + end for i, x in zip(ids[s], data)])
                     sizes = np.array([len(x) for x in done], "<u8")
                     index.write((total + np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype("<u8").tobytes())
                     out.write(b"".join(done))
                     total += int(sizes.sum())
-                index.write(struct.pack("<Q", total))
-            tokens = sum(map(len, data)) // enc.dtype.itemsize + len(ids)
-            return {"part": [part], "chunk": [state["n"] - 1], "data": [name], "documents": [len(ids)], "tokens": [tokens]}
-
-        return apply
+                    documents += len(done)
+                    tokens += sum(map(len, data)) // enc.dtype.itemsize + len(done)
+            index.write(struct.pack("<Q", total))
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, name, documents, tokens), arrow)], schema=arrow)
 
     system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
-    manifest = map_batches(ordered, make, "part long, chunk long, data string, documents long, tokens long")
-    return written(manifest, folder, "manifest")
+    return written(ordered.mapInArrow(run, schema), folder, "manifest")
+
+
+def starts(manifest: DataFrame, group: int = 1024) -> DataFrame:
+    """The manifest with the number of ids before each file: sums within groups of files, then over the groups."""
+    files = manifest.withColumn("group", F.floor(F.col("part") / group))
+    within = files.withColumn("start", F.sum("tokens").over(Window.partitionBy("group").orderBy("part")) - F.col("tokens"))
+    groups = files.groupBy("group").agg(F.sum("tokens").alias("n"))
+    before = groups.withColumn("before", F.sum("n").over(Window.orderBy("group")) - F.col("n")).select("group", "before")
+    return within.join(before, "group").withColumn("start", F.col("start") + F.col("before")).drop("group", "before")
+
+
+def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """A payload's document id and token ids."""
+    doc_id, flags = struct.unpack_from("<qH", payload)
+    return None if flags & 1 else doc_id, np.frombuffer(payload, f"<u{flags >> 8}", offset=10)
+
+
+def index_of(name: str) -> np.ndarray:
+    """The offsets of a file's frames and, at last, its size."""
+    system, path = filesystem(name)
+    with system.open_input_stream(f"{path}.idx") as file:
+        return np.frombuffer(file.read(), "<u8")
+
+
+def take(name: str, records: np.ndarray, offsets: np.ndarray) -> list[tuple[int | None, np.ndarray]]:
+    """The records of a file with the given numbers, in that order, by its index: what a reader in random order does."""
+    system, path = filesystem(name)
+    out = []
+    with system.open_input_file(f"{path}.rec") as file:
+        for k in records.tolist():
+            file.seek(int(offsets[k]))
+            data = file.read(int(offsets[k + 1] - offsets[k]))
+            out += [parsed(p) for p in payloads(data, np.zeros(1, np.uint64))]
+    return out
+
+
+def spread(manifest: DataFrame, most: int = 10_000) -> DataFrame:
+    return manifest.repartition(max(1, min(most, manifest.count())))
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
     """One row per record of the manifest's files: doc_id, start, n_tokens and the crc32 of the ids as unsigned 32-bit numbers.
 
-    start counts the ids of all records before it: a running sum over the manifest, one small row per file."""
-    n = max(1, manifest.count())
-    order = Window.orderBy("part", "chunk")
-    files = manifest.withColumn("start", F.sum("tokens").over(order) - F.col("tokens"))
+    start counts the ids of all records before it."""
 
     def make():
         def one(name: str, start: int) -> Iterator[tuple]:
             system, path = filesystem(name)
-            index = np.frombuffer(system.open_input_stream(f"{path}.idx").read(), "<u8")
+            index = index_of(name)
             with system.open_input_file(f"{path}.rec") as file:
                 for s in slices(len(index) - 1, 1024):
                     begin = int(index[s.start])
                     file.seek(begin)
                     data = file.read(int(index[s.stop]) - begin)
-                    for p in payloads(data, index[s] - np.uint64(begin)):
-                        doc_id, flags = struct.unpack_from("<qH", p)
-                        ids = np.frombuffer(p, f"<u{flags >> 8}", offset=10)
-                        yield None if flags & 1 else doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+                    for doc_id, ids in map(parsed, payloads(data, index[s] - np.uint64(begin))):
+                        yield doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                         start += len(ids)
 
         def apply(batch):
@@ -195,8 +236,24 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
         return apply
 
-    spread = files.select("data", "start").repartition(n)
-    return map_batches(spread, make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(spread(starts(manifest).select("data", "start")), make, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_shuffled(manifest: DataFrame, seed: int, at_once: int = 1024) -> DataFrame:
+    """One row (doc_id, ids) per record, in an order that the seed fixes for every file; tasks take files in turn."""
+    schema = schema_of("doc_id long, ids array<long>")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part in zip(batch.column("data").to_pylist(), batch.column("part").to_pylist()):
+                index = index_of(name)
+                order = np.random.default_rng([seed, part]).permutation(len(index) - 1)
+                for s in slices(len(order), at_once):
+                    rows = take(name, order[s], index)
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x.astype(np.int64) for _, x in rows], arrow.field("ids").type)], schema=arrow)
+
+    return spread(manifest.select("data", "part")).mapInArrow(run, schema)
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -36,6 +36,19 @@ def test_encoder_equals_library(spark, sf):
         assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_encoder_on_any_letters():
+    """Random texts over characters at which the cuts and the pattern could differ from the library's."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    enc, plain = tokens.Encoder(path, most=300, part=500), Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    letters = [*"ab zé ß ªµº×÷ 1 2 ² ½ ' s t re ll d \t \n \r \x0b \x0c \x1c \x85 \xa0 \u2028 \u3000 . , ! - _ < > | ñ Ω 漢 🙂".split(" "), " ", " ", " ", "\n", "\x0b", "\x85", "\xa0", "<|endoftext|>", "'"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    for t, got in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_crc32c():
     def slow(data):
         c = 0xFFFFFFFF
@@ -66,6 +79,26 @@ def test_records_round_trip(spark, sf, tmp_path):
         start += len(ids)
 
 
+def test_records_in_any_order(spark, sf, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    df = frame(spark, documents(spark, sf, 60) + ODD)
+    manifest = records.write_records(df, f"file://{tmp_path}/s", tokenizer_path("byte_bpe_50k.json"))
+    wanted = sorted((str(r.doc_id), [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in df.collect())
+    orders = [[(str(r.doc_id), r.ids) for r in records.read_shuffled(manifest, seed).collect()] for seed in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2]
+    assert all(sorted(x) == wanted for x in orders)
+    biggest = manifest.orderBy("documents", ascending=False).first()
+    index = records.index_of(biggest.data)
+    some = np.arange(biggest.documents)[::-1]
+    assert [i for i, _ in records.take(biggest.data, some, index)] == [i for i, _ in records.take(biggest.data, some[::-1], index)][::-1]
+    small = records.write_records(df, f"file://{tmp_path}/t", tokenizer_path("byte_bpe_50k.json"), range_bytes=2000)
+    assert small.count() > manifest.count()
+    read = lambda m: sorted((r.start, r.n_tokens, r.ids_crc32) for r in records.read_records(m).collect())
+    assert read(small) == read(manifest)
+
+
 def test_records_notice_damage():
     good = records.frames([b"some payload"])[0]
     assert records.payloads(good, np.array([0])) == [b"some payload"]
