@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, read, shared_dir, small_batches, tokenizer_path, written
+from .records import ranges
 from .tokens import encoder
 
 DIMS, BITS, BUCKETS = 4, 15, 256
@@ -63,14 +64,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     def make():
         enc, table = encoder(tokenizer), projection()
-        bucket = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+        bucket = (np.arange(enc.tokenizer.get_vocab_size(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
         end = np.array([end_id], enc.dtype).tobytes()
 
         def apply(batch):
             ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
             counts = np.zeros((len(ids), BUCKETS))
             for k, x in enumerate(ids):
-                counts[k] = np.bincount(bucket[np.frombuffer(x, enc.dtype) & 0xFFFF], minlength=BUCKETS)
+                counts[k] = np.bincount(bucket[np.frombuffer(x, enc.dtype)], minlength=BUCKETS)
             point = (counts / np.linalg.norm(counts, axis=1, keepdims=True)) @ table
             grid = np.clip((point + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             return {"doc_id": batch.column("doc_id"), "curve": hilbert(grid), "n": [len(x) // enc.dtype.itemsize for x in ids], "width": [enc.dtype.itemsize] * len(ids), "ids": ids}
@@ -80,9 +81,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, curve long, n long, width int, ids binary")
 
 
-def pack(tokens: DataFrame, length: int = 1024) -> DataFrame:
-    """One row per piece: which ids of its document it holds, and its sequence and place there."""
-    spread = tokens.repartitionByRange("curve", "doc_id", "n").sortWithinPartitions("curve", "doc_id", "n")
+def pack(tokens: DataFrame, length: int = 1024, range_bytes: int = 64 << 20) -> DataFrame:
+    """One row per piece: which ids of its document it holds, and its sequence and place there.
+
+    The number of ranges follows from the size of the ids."""
+    size = tokens.agg(F.sum(F.col("n") * F.col("width")).alias("n")).first().n or 0
+    spread = tokens.repartitionByRange(ranges(tokens.sparkSession, size, range_bytes), "curve", "doc_id", "n").sortWithinPartitions("curve", "doc_id", "n")
 
     def make():
         # Sequences are numbered within a range; the upper bits hold the range.
