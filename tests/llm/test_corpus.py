@@ -286,6 +286,69 @@ def test_main_text_without_article_tag():
     assert html.main_text(page) == "Head\n\nA long text that is the heart of this page, really.\n\nAnd another long text of the same kind, to be kept."
 
 
+LONG = "A real paragraph of the story that goes on for a while, with commas, and says quite a few things to its readers."
+AROUND = {
+    "link list of tags": ("<main><h1>Head</h1><p>%s</p><p>Short.</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><div class='user-feedback'><p>I liked this story a lot, and my neighbour did as well.</p></div></main>", "Head\n\n%s\n\nShort."),
+    "teaser beside": ("<article><h1>Head</h1><p>%s</p></article><article class=teaser><h2>Other story</h2><p>Read more about it.</p></article>", "Head\n\n%s"),
+    "article beside": ("<div><article><h1>Head</h1><p>%s</p><p>End.</p></article><article><h2>Other story</h2><p>Read more about it.</p></article></div>", "Head\n\n%s\n\nEnd."),
+    "dense widget": ("<article><h1>Head</h1><p>First.</p><div class='widget'><p>%s</p></div><p>Last.</p></article>", "Head\n\nFirst.\n\n%s\n\nLast."),
+    "thin widget": ("<article><h1>Head</h1><p>%s</p><div class='share'><a href=1>Post</a> <a href=2>Mail</a></div></article>", "Head\n\n%s"),
+    "related": ("<article><h1>Head</h1><p>%s</p><div class='post related'><p>Other story to read</p></div></article>", "Head\n\n%s"),
+    "layout names": ("<div class='content with-sidebar'><div class='post comments-open'><h1>Head</h1><p>%s</p></div><div class='sidebar'>Side</div></div>", "Head\n\n%s"),
+    "no names": ("<div><a href=1>Home</a> <a href=2>News</a> <a href=3>More</a></div><div><h2>Head</h2><p>%s</p>bare text<p>Tiny.</p></div><div><a href=4>Terms</a> <a href=5>Help</a></div>", "Head\n\n%s\n\nbare text\n\nTiny."),
+    "sections": ("<div id=x><div><h2>Head</h2><p>%s</p></div><div><h2>Next</h2><p>And some more text of the same story, a bit shorter.</p></div></div><div><ul><li><a href=4>Terms</a><li><a href=5>Help</a></ul></div>", "Head\n\n%s\n\nNext\n\nAnd some more text of the same story, a bit shorter."),
+    "site header": ("<div class='site-header'>The daily site</div><article><header class='entry-header'><h1>Head</h1></header><p>%s</p></article>", "Head\n\n%s"),
+}
+
+
+@pytest.mark.parametrize("case", AROUND)
+def test_main_text_by_density(case):
+    page, wanted = AROUND[case]
+    assert html.main_text(f"<html><body>{page % LONG}</body></html>") == wanted % LONG
+
+
+def test_main_text_depends_on_densities(monkeypatch):
+    """With the same density everywhere the pages whose parts have no names come out wrong."""
+    monkeypatch.setattr(html, "density", lambda chars, *_: float(chars > 0))
+    assert sum(html.main_text(page % LONG) != wanted % LONG for page, wanted in (AROUND[k] for k in ("no names", "thin widget", "link list of tags", "sections"))) >= 3
+
+
+def test_densities_equal_the_formula():
+    """Counts and densities of small random trees, node by node, against their definition on the page's text."""
+    rng = np.random.default_rng(8)
+
+    def tree(depth):
+        tag = str(rng.choice(["div", "a", "b", "section"]))
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else "w" * int(rng.integers(0, 9)) + " " for _ in range(int(rng.integers(0, 4))))
+        return f"<{tag}>{inner}</{tag}>"
+
+    def inside(n):
+        return n if isinstance(n, str) else "".join(map(inside, n.children))
+
+    def all_of(n):
+        return [n, *(x for c in n.children if not isinstance(c, str) for x in all_of(c))]
+
+    for _ in range(60):
+        body = next(n for n in html.walk(html.parse(f"<body>{tree(4)}{tree(3)}</body>")) if n.tag == "body")
+        html.measure(body)
+        links = lambda n: sum(len(inside(x).replace(" ", "")) for x in all_of(n) if x.tag == "a" and not above(x, n))
+        above = lambda x, top: any(y.tag == "a" for y in up(x) if y in all_of(top) and y is not x)
+
+        def up(x):
+            return [] if x.parent is None else [x.parent, *up(x.parent)]
+
+        for n in all_of(body):
+            c = len(inside(n).replace(" ", ""))
+            lc = c if any(y.tag == "a" for y in [n, *up(n)]) else links(n)
+            t, lt = len(all_of(n)) - 1, sum(x.tag == "a" for x in all_of(n)) - (n.tag == "a")
+            assert (n.chars, n.link_chars, n.tags, n.link_tags) == (c, lc, t, lt)
+            if c:
+                all_c, all_l = len(inside(body).replace(" ", "")), links(body)
+                t, lt, l1 = max(t, 1), max(lt, 1), max(lc, 1)
+                wanted = c / t * np.log(c / l1 * t / lt) / np.log(np.log(c / max(c - lc, 1) * l1 + all_l / max(all_c, 1) * c + np.e))
+                assert n.density == pytest.approx(wanted)
+
+
 def test_main_text_odd_pages(spark):
     pages = [None, "", "plain words", "<", "<p", "<div " * 20_000, "</p></div>", "<!-- open", "<script>x", "&amp &#233; &unknown; &#0;", "<p>" * 3000 + "deep", "<a href='" * 5000, "<b>" * 20_000 + "x", "<a \"" * 5000]
     df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
