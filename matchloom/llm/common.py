@@ -125,6 +125,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(n: int, size: int) -> Iterator[slice]:
     for i in range(0, n, size):
         yield slice(i, min(n, i + size))

@@ -4,14 +4,12 @@ Elements are shingles of five lower-cased words, weighted by how often they occu
 or more. A document of fewer words is one shingle. Copies with the same words collapse to one representative first.
 Signatures of 192 coordinates in 32 bands of 6 put a pair of similarity 0.8 into a common bucket with probability 0.9999.
 
-In each bucket every member is proposed to the bucket's hub, so a bucket of n gives n - 1 pairs. The hub is the member
-whose buckets are the fullest (the least row number if several are): of copies of one text that were changed apart from
-each other, the text itself, which is nearer to them than they are to each other. At first
-one proposal for each member is held against the signatures (a pair that agrees on fewer coordinates than five standard
-deviations below the threshold goes) and checked exactly on the texts, then all that would join different classes. A bucket
-of few members that then still holds several classes gives all its pairs of different classes. In a larger one all pairs
-of different classes are checked exactly, a block of documents against another at a time, so that no pair that shares a
-bucket stays open; members of one class do not meet.
+First every document is held against one other, the hottest hub of its buckets, which gives fewer pairs than documents and
+puts nearly all of a large group of copies into one class. Then all pairs of different classes that share a bucket are
+checked, exactly, on the texts: those of buckets with few members as rows of pairs, those of larger buckets in blocks, where
+a group of rows is two blocks of documents and no pair becomes a row. So the classes are the connected components of
+all similar pairs that share a bucket, however rows are dealt and whatever the hubs are; members of one class do not meet
+again. The work for a bucket grows with the documents outside its largest class times its members.
 
 Texts without words are alone in their class. Repeated rows are copies of each other. A class is named by its least
 doc_id; null ids sort last.
@@ -26,18 +24,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, read, shared_dir, slices, small_batches, words_of, written
+from .common import as_bytes, deleted, map_batches, read, shared_dir, slices, small_batches, words_of, written
 from .components import components
 from .dartminhash import GOLDEN, bands, mix, signatures, strips
 
 WORDS, SIMILARITY, K, ROWS = 5, 0.8, 192, 6
-#: A bucket with so many members at most gives all its pairs of different classes; a larger one is checked in blocks.
+#: A bucket with so many members at most gives its pairs of different classes as rows; a larger one is checked in blocks.
 FEW = 16
-#: Documents in a block, about.
-BLOCK = 128
+#: Documents, and bytes of text, in a block at most, about.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 
 class Shingler:
@@ -73,8 +71,9 @@ _SHINGLER = Shingler()
 
 
 def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataFrame:
-    """Writes the rows of docs with a row number, a 128-bit key of their words, the bands of their signatures and a
-    sketch, which is one byte of each coordinate. A copy within a batch gets no signature: the first one stands for it."""
+    """Writes the rows of docs with a row number, a 128-bit key of their words and the bands of their signatures.
+
+    A copy within a batch gets no signature: the first one stands for it."""
     schema = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def make():
@@ -86,7 +85,6 @@ def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataF
             ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 8 * k)
             keys: list = []
             out: list = []
-            sketches: list = []
             known: set = {None}
             i = 0
             # A part of the batch at a time: about a megabyte of text, or one document.
@@ -102,16 +100,15 @@ def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataF
                 doc, element = _SHINGLER.shingles(lists, words)
                 signature = signatures(strips(doc, element), doc, j - i, k)
                 out += [x.tolist() if w else [] for w, x in zip(lists, bands(signature, rows))]
-                sketches += [x.tobytes() for x in (signature >> np.uint64(56)).astype(np.uint8)]
                 i = j
             first = state["rows"]
             state["rows"] += len(texts)
-            return {"rid": np.arange(first, first + len(texts)), "key": keys, "bands": out, "sketch": sketches, "row": batch.column("row")}
+            return {"rid": np.arange(first, first + len(texts)), "key": keys, "bands": out, "row": batch.column("row")}
 
         return apply
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return written(map_batches(packed, make, f"rid long, key binary, bands array<long>, sketch binary, row struct<{schema}>"), folder, "signed")
+    return written(map_batches(packed, make, f"rid long, key binary, bands array<long>, row struct<{schema}>"), folder, "signed")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -158,37 +155,6 @@ def checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Dat
     return map_batches(joined, make, "a long, b long")
 
 
-def hub() -> Column:
-    """Of several rows the hub, as (heat, row number)."""
-    return F.max(F.struct("heat", (-F.col("rid")).alias("least")))
-
-
-def star(buckets: DataFrame) -> DataFrame:
-    """(a, b, heat): every member of a bucket with its hub and the hub's heat; each pair once, as heat orders all rows."""
-    hubs = buckets.groupBy("bucket").agg(hub().alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = buckets.select("bucket", "rid").join(hubs.select("bucket", "hub"), "bucket").where("rid <> -hub.least")
-    return pairs.select((-F.col("hub.least")).alias("a"), F.col("rid").alias("b"), "hub.heat").distinct()
-
-
-def alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that their signatures allow to be similar; of those that are, one in three million is lost."""
-    left = sketches.select(F.col("rid").alias("a"), F.col("sketch").alias("a_sketch"))
-    right = sketches.select(F.col("rid").alias("b"), F.col("sketch").alias("b_sketch"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "a_sketch", "b_sketch")
-
-    def make():
-        def apply(batch):
-            if not batch.num_rows:
-                return {"a": [], "b": []}
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
-            keep = (x == y).mean(1) >= least - 5 * (least * (1 - least) / x.shape[1]) ** 0.5
-            return {c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")}
-
-        return apply
-
-    return map_batches(joined, make, "a long, b long")
-
-
 def overlaps(x: tuple, y: tuple, columns: int = 8192) -> np.ndarray:
     """How many strips each document of a block shares with each of another; a block is (documents, document, strip)."""
     (n, dx, sx), (m, dy, sy) = x, y
@@ -212,137 +178,111 @@ def overlaps(x: tuple, y: tuple, columns: int = 8192) -> np.ndarray:
     return out
 
 
+def part_of(doc: np.ndarray, strip: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The numbers of the documents that keep marks, and the block of them."""
+    own = np.flatnonzero(keep)
+    number = np.cumsum(keep) - 1
+    hit = keep[doc]
+    return own, (len(own), number[doc[hit]], strip[hit])
+
+
+def links(side: np.ndarray, kind: np.ndarray, doc: np.ndarray, strip: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Similar pairs of different classes between the documents of sides 0 and 1, or among those of side 2: one for each pair of classes.
+
+    A document with too many strips that no document of the other side has is similar to none of them."""
+    size = np.bincount(doc, minlength=len(side)).astype(np.float64)
+    left, right = side != 1, side != 0
+    if (side == 2).all():
+        # A pair of different classes has one document at least outside the largest class.
+        names, counts = np.unique(kind, return_counts=True)
+        left = left & (kind != names[counts.argmax()])
+        value, at, n = np.unique(strip, return_inverse=True, return_counts=True)
+        shared = np.bincount(doc, n[at] > 1, minlength=len(side))
+    else:
+        shared = np.zeros(len(side))
+        for own, other in ((side == 0, side == 1), (side == 1, side == 0)):
+            shared[own] = np.bincount(doc, np.isin(strip, strip[other[doc]]), minlength=len(side))[own]
+    hopeful = (shared >= least * size) & (size > 0)
+    x, one = part_of(doc, strip, left & hopeful)
+    y, two = part_of(doc, strip, right & hopeful)
+    if not len(x) or not len(y):
+        return []
+    both = overlaps(one, two).astype(np.float64)
+    similar = (both >= least * (size[x][:, None] + size[y][None, :] - both)) & (kind[x][:, None] != kind[y][None, :])
+    found: dict = {}
+    for i, j in zip(*np.nonzero(similar)):
+        p, q = int(x[i]), int(y[j])
+        found.setdefault((min(kind[p], kind[q]), max(kind[p], kind[q])), (p, q))
+    return list(found.values())
+
+
 def block_links(words: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    """For a table (rid, class, side, text) of two blocks, or one with itself (side 2): similar pairs (a, b) of different
-    classes, one for each pair of classes."""
+    """links() for a table (rid, class, side, text) of two blocks, or of one with itself (side 2)."""
 
     def apply(table):
         side, rid, kind = (table.column(c).to_numpy() for c in ("side", "rid", "class"))
         doc, element = _SHINGLER.shingles([words_of(t) for t in as_bytes(table.column("text").combine_chunks())], words)
-        strip = strips(doc, element)
-        number = np.zeros(len(rid), np.int64)
-        blocks = []
-        for own in (np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
-            number[:] = -1
-            number[own] = np.arange(len(own))
-            hit = number[doc] >= 0
-            blocks.append((own, (len(own), number[doc[hit]], strip[hit])))
-        sizes = np.bincount(doc, minlength=len(rid)).astype(np.float64)
-        (x, left), (y, right) = blocks
-        both = overlaps(left, right).astype(np.float64)
-        near = (both >= least * 0.99 * (sizes[x][:, None] + sizes[y][None, :] - both)) & (kind[x][:, None] != kind[y][None, :])
-        found = {}
-        for i, j in zip(*np.nonzero(near)):
-            if both[i, j] / (sizes[x[i]] + sizes[y[j]] - both[i, j]) >= least:
-                p, q = int(x[i]), int(y[j])
-                found.setdefault((min(kind[p], kind[q]), max(kind[p], kind[q])), (int(rid[p]), int(rid[q])))
-        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
+        found = links(side, kind, doc, strips(doc, element), least)
+        return pa.table({c: pa.array([int(rid[p[k]]) for p in found], pa.int64()) for k, c in enumerate("ab")})
 
     return apply
 
 
-class Resolver:
-    """Checks proposals and keeps the classes found so far."""
-
-    def __init__(self, signed: DataFrame, sketches: DataFrame, folder: str, words: int, least: float):
-        self.signed, self.sketches, self.folder, self.words, self.least = signed, sketches, folder, words, least
-        self.step = 0
-        self.classes: DataFrame | None = None
-        self.seen: DataFrame | None = None
-
-    def name(self, what: str) -> str:
-        self.step += 1
-        return f"{self.step:03d}-{what}"
-
-    def written(self, df: DataFrame, what: str) -> DataFrame:
-        return written(df, self.folder, self.name(what))
-
-    def classed(self, df: DataFrame, column: str, to: str) -> DataFrame:
-        """df with the class of a column of row numbers."""
-        if self.classes is None:
-            return df.withColumn(to, F.col(column))
-        c = self.classes.select(F.col("node").alias(column), F.col("component").alias(to))
-        return df.join(c, column, "left").withColumn(to, F.coalesce(F.col(to), F.col(column)))
-
-    def open(self, pairs: DataFrame, apart: bool = False) -> DataFrame:
-        """Those that would join two classes and were not checked before, the lesser row number first.
-
-        apart: the pairs are known to be of different classes."""
-        across = pairs if apart else self.classed(self.classed(pairs, "a", "a_class"), "b", "b_class").where("a_class <> b_class")
-        new = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return new if self.seen is None else new.join(self.seen, ["a", "b"], "left_anti")
-
-    def link(self, pairs: DataFrame) -> None:
-        """Checks written pairs on signatures, then on texts, and merges the classes of those that are similar."""
-        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        left = self.written(alike(pairs, self.sketches, self.least), "pairs")
-        needed = left.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        texts = self.signed.select("rid", "row.text").join(needed, "rid", "left_semi")
-        self.merge(self.written(checked(left, self.written(texts, "texts"), self.words, self.least), "found"))
-
-    def merge(self, found: DataFrame) -> None:
-        """Merges the classes of written similar pairs."""
-        if not found.isEmpty():
-            edges = found if self.classes is None else found.unionByName(self.classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            self.classes = self.written(components(edges, f"{self.folder}/{self.name('steps')}"), "classes")
-
-    def propose(self, pairs: DataFrame, one_first: bool = False, apart: bool = False) -> None:
-        """Checks the pairs; with one_first one for each b, and then those that would still join two classes.
-
-        In a large group of near copies the first check puts nearly all members into one class, so that their other
-        proposals never meet a signature or a text."""
-        if one_first:
-            hubs = pairs.groupBy("b").agg(F.max(F.struct("heat", (-F.col("a")).alias("least"))).alias("hub"))
-            self.link(self.written(self.open(hubs.select((-F.col("hub.least")).alias("a"), "b")), "first"))
-        left = self.written(self.open(pairs, apart), "open")
-        if not left.isEmpty():
-            self.link(left)
-
-    def mixed(self, buckets: DataFrame) -> DataFrame:
-        """bucket, members: the buckets that hold several classes, written."""
-        of = self.classed(buckets.select("bucket", "rid"), "rid", "class").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-        counts = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("members"))
-        return self.written(counts.where("classes > 1").select("bucket", "members"), "mixed")
-
-    def rest(self, buckets: DataFrame) -> None:
-        """Checks all pairs of different classes in every bucket, exactly, and merges the classes of those that are similar.
-
-        A class over BLOCK has blocks of its own, which do not meet each other; smaller classes share blocks. A group is two
-        blocks, so a large bucket is dealt over many groups."""
-        here = self.written(self.classed(buckets.select("bucket", "rid"), "rid", "class").select("bucket", "class", "rid"), "rest")
-        if here.isEmpty():
-            return
-        sizes = here.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-        loose = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("loose"))
-        big, parts = F.col("n") > BLOCK, lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
-        salt = F.when(big, F.pmod(F.xxhash64("rid"), parts("n"))).otherwise(F.pmod(F.xxhash64("class"), parts("loose")))
-        dealt = here.join(sizes, ["bucket", "class"]).join(loose, "bucket")
-        dealt = self.written(dealt.select("bucket", "class", "rid", F.when(big, F.col("class")).otherwise(-1).alias("owner"), salt.alias("salt")), "dealt")
-        blocks = dealt.select("bucket", F.struct("owner", "salt").alias("u")).distinct()
-        pairs = blocks.join(blocks.withColumnRenamed("u", "v"), "bucket").where("u <= v and (u.owner <> v.owner or u.owner = -1)")
-        ends = pairs.select("bucket", "u", "v", F.explode(F.expr("if(u = v, array(named_struct('block', u, 'side', 2)), array(named_struct('block', u, 'side', 0), named_struct('block', v, 'side', 1)))")).alias("end"))
-        ends = ends.select("bucket", "u", "v", "end.side", F.col("end.block.owner").alias("owner"), F.col("end.block.salt").alias("salt"))
-        texts = self.written(self.signed.select("rid", "row.text").join(here.select("rid").distinct(), "rid", "left_semi"), "texts")
-        met = dealt.join(ends, ["bucket", "owner", "salt"]).select("bucket", "u", "v", "rid", "class", "side").join(texts, "rid")
-        self.merge(self.written(met.groupBy("bucket", "u", "v").applyInArrow(block_links(self.words, self.least), "a long, b long"), "found"))
-
-    def resolve(self, buckets: DataFrame) -> None:
-        """buckets: bucket, rid, heat (of rid: the sizes of its buckets)."""
-        self.propose(self.written(star(buckets), "star"), one_first=True)
-        small = self.mixed(buckets).where(F.col("members") <= FEW)
-        here = self.classed(buckets.join(small, "bucket", "left_semi"), "rid", "class").select("bucket", "class", "rid")
-        within = here.join(here.select("bucket", F.col("class").alias("other"), F.col("rid").alias("b")), "bucket").where("rid < b and class <> other").select(F.col("rid").alias("a"), "b")
-        self.propose(within.distinct(), apart=True)
-        large = self.mixed(buckets).where(F.col("members") > FEW)
-        self.rest(buckets.join(large, "bucket", "left_semi"))
-
-
 def shared(buckets: DataFrame) -> DataFrame:
     """The rows of buckets with two members or more, with the number n of them."""
     more = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return buckets.join(more, "bucket")
 
 
+def proposals(buckets: DataFrame) -> DataFrame:
+    """(a, b): for each row number b the hottest hub a of its buckets. buckets: bucket, rid, heat.
+
+    Heat, the sum of a document's bucket sizes, is largest for the text that others were made from."""
+    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("heat", (-F.col("rid")).alias("least"))).alias("hub"))
+    best = buckets.select("bucket", "rid").join(hubs, "bucket").groupBy("rid").agg(F.max("hub").alias("hub"))
+    return best.select((-F.col("hub.least")).alias("a"), F.col("rid").alias("b")).where("a <> b")
+
+
+def classed(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """df with the class of its row numbers."""
+    named = classes.select(F.col("node").alias("rid"), F.col("component").alias("class"))
+    return df.join(named, "rid", "left").withColumn("class", F.coalesce("class", "rid"))
+
+
+def mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, rid, bytes, class, members: the rows of buckets that hold several classes."""
+    of = classed(buckets.select("bucket", "rid", "bytes"), classes)
+    several = of.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("members"))
+    return of.join(several.where("first <> last").select("bucket", "members"), "bucket")
+
+
+def across(few: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different classes in buckets of few members, each pair once."""
+    here = few.select("bucket", "class", "rid")
+    other = here.select("bucket", F.col("class").alias("other"), F.col("rid").alias("b"))
+    return here.join(other, "bucket").where("rid < b and class <> other").select(F.col("rid").alias("a"), "b").distinct()
+
+
+def blocks_met(many: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """bucket, u, v, rid, class, side: the rows of each pair (u, v) of blocks that meet in a bucket; a block meets itself as side 2.
+
+    Buckets are dealt into blocks of about so many documents or bytes. A class over that has blocks of its own, which do
+    not meet each other; smaller classes share blocks."""
+    sizes = many.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    weight = F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)
+    sizes = sizes.select("bucket", "class", weight.alias("weight"))
+    loose = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("weight") <= 1, F.col("weight")).otherwise(0.0)).alias("loose"))
+    big, parts = F.col("weight") > 1, lambda n: F.greatest(F.ceil(F.col(n)), F.lit(1))
+    salt = F.when(big, F.pmod(F.xxhash64("rid"), parts("weight"))).otherwise(F.pmod(F.xxhash64("class"), parts("loose")))
+    owner = F.when(big, F.col("class")).otherwise(-1)
+    dealt = many.join(sizes, ["bucket", "class"]).join(loose, "bucket").select("bucket", "class", "rid", F.struct(owner.alias("owner"), salt.alias("salt")).alias("u"))
+    blocks = dealt.select("bucket", "u").distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("u", "v"), "bucket").where("u <= v and (u.owner <> v.owner or u.owner = -1)")
+    ends = pairs.select("bucket", "u", "v", F.explode(F.expr("if(u = v, array(named_struct('block', u, 'side', 2)), array(named_struct('block', u, 'side', 0), named_struct('block', v, 'side', 1)))")).alias("end"))
+    ends = ends.select("bucket", "u", "v", "end.side", F.col("end.block").alias("block"))
+    return dealt.withColumnRenamed("u", "block").join(ends, ["bucket", "block"]).select("bucket", "u", "v", "rid", "class", "side")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, k: int = K, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """The signed rows of docs (rid, row, ...) and their classes (rid, class: the least row number of the class).
 
@@ -352,18 +292,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARI
 
 
 def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    folder = shared_dir(docs.sparkSession)
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    work = f"{folder}/work"
     table = signed(docs, folder, words, k, rows)
     copies = written(table.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep")), folder, "copies")
-    reps = written(table.select("rid", "bands", "sketch").join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi"), folder, "reps")
-    exploded = reps.select("rid", F.explode("bands").alias("bucket"))
-    full = written(shared(exploded), folder, "full")
+    reps = table.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    bucketed = reps.select("rid", F.octet_length("row.text").alias("bytes"), F.explode("bands").alias("bucket"))
+    full = written(shared(bucketed), work, "full")
     heat = full.groupBy("rid").agg(F.sum("n").alias("heat"))
-    buckets = written(full.drop("n").join(heat, "rid"), folder, "buckets")
-    resolver = Resolver(table, reps, folder, words, least)
-    resolver.resolve(buckets)
-    member = table.select("rid", "key").join(copies, "key", "left").select("rid", F.coalesce("rep", "rid").alias("rep"))
-    return table, resolver.classed(member, "rep", "class").select("rid", "class")
+    buckets = written(full.drop("n").join(heat, "rid"), work, "buckets")
+
+    def texts(of: DataFrame, name: str) -> DataFrame:
+        return written(table.select("rid", "row.text").join(of.distinct(), "rid", "left_semi"), work, name)
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        needed = texts(pairs.select(F.explode(F.array("a", "b")).alias("rid")), f"{name}-texts")
+        return written(checked(pairs, needed, words, least), work, f"{name}-similar")
+
+    found = similar(written(proposals(buckets), work, "first"), "first")
+    rest = written(mixed(buckets, components(found, f"{work}/first-steps")), work, "mixed")
+    found = found.unionByName(similar(written(across(rest.where(F.col("members") <= FEW)), work, "few"), "few"))
+    met = written(blocks_met(rest.where(F.col("members") > FEW), BLOCK, BLOCK_BYTES), work, "met")
+    joined = met.join(texts(met.select("rid"), "many-texts"), "rid")
+    found = found.unionByName(written(joined.groupBy("bucket", "u", "v").applyInArrow(block_links(words, least), "a long, b long"), work, "many-similar"))
+    classes = written(components(found, f"{work}/steps"), folder, "classes")
+    deleted(spark, work)
+    member = table.select(F.col("rid").alias("own"), "key").join(copies, "key", "left").select("own", F.coalesce("rep", "own").alias("rid"))
+    return table, classed(member, classes).select(F.col("own").alias("rid"), "class")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
