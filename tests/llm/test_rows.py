@@ -152,23 +152,59 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
-def test_quality_counts(spark, sf):
-    texts = documents(spark, sf) + ODD
+def plain_verdict(t):
+    """The rules written anew, on words and characters: the name of the first that rejects."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = {}
+    for k in range(len(w) - 2):
+        seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+    hit = {k + j for v in seen.values() if len(v) > 1 for k in v for j in range(3)}
+    insults = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns imbecile dumbass bastard bastards asshole assholes bitch bitches retard retards"
+    rude = sum(x.lower().strip(".,;:!?\"'()") in insults.split() for x in w if x.isascii())
+    n, chars, symbols, again = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+    upper = sum(1 for x in w if (y := "".join(c for c in x if c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")) and y == y.upper())
+    letters = sum(1 for x in w if re.search(r"[A-Za-z]|[^\x00-\x7f]", x))
+    common = max((w.count(x) for x in set(w)), default=0)
+    failed = {
+        "too_few_words": n < 50, "repeated_words": len(hit) > 0.5 * n, "symbol_heavy": symbols > 0.2 * n, "odd_word_length": chars < 2 * n or chars > 15 * n,
+        "shouting": upper > n / 2, "repeated_lines": len(lines) >= 4 and again > len(lines) / 2, "few_letters": letters < 0.6 * n, "one_word": common > 0.4 * n,
+        "abusive": rude >= 2 or rude == 1 and n <= 100,
+    }
+    return (n, chars, symbols, again, len(hit)), {k for k, v in failed.items() if v}
+
+
+MADE = ["SHOUT OUT LOUD " * 30 + "so", "abc " * 20 + "word " * 40 + " ".join(f"w{i}" for i in range(20)), "a b c " + " ".join(chr(97 + i % 26) for i in range(80)), "1 2 3 " * 3 + " ".join(map(str, range(70))), "line of words\n" * 5 + "\n".join(f"other line {i}" for i in range(3)) + " w" * 60]
+MADE += [" ".join(f"word{i}" for i in range(60)) + x for x in ("", " you idiot", " idiot moron", " Idiot! trash", " # $ % & | < > * # $ % & *", " ".join(["supercalifragilisticexpialidocious"] * 90))]
+MADE += [" ".join(f"word{i}" for i in range(200)) + " one idiot here"]
+
+
+def test_quality_counts_and_verdicts(spark, sf):
+    texts = documents(spark, sf) + ODD + MADE
     got = {r.doc_id: r for r in quality.judge(frame(spark, texts)).collect()}
+    kept = {r.doc_id for r in quality.kept_documents(frame(spark, texts)).collect()}
+    rejected = set()
     for i, t in enumerate(texts):
-        t = t or ""
-        w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        seen = {}
-        for k in range(len(w) - 2):
-            seen.setdefault(tuple(w[k : k + 3]), []).append(k)
-        hit = {k + j for v in seen.values() if len(v) > 1 for k in v for j in range(3)}
+        counts, failed = plain_verdict(t or "")
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
-        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(hit))
-        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
-        assert not (r.base_failed and r.kept)
-        assert r.kept == (not r.base_failed and not any(f(quality.Page(t.encode())) for f in quality.RULES.values()))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts
+        assert r.base_failed == bool(failed & {"too_few_words", "repeated_words"})
+        assert r.kept == (not failed) == (i in kept) and (r.failed_rule in failed if failed else r.failed_rule is None), (i, failed)
+        rejected |= failed
+    assert rejected == set(quality.all_rules())
+
+
+def test_quality_order_is_by_rejection_per_cost(spark):
+    """A dear rule that rejects as much comes later, one that rejects nothing last; measures are taken when first read."""
+    def dear(p):
+        return sum(range(20_000)) > 0
+
+    rules = {"never": lambda p: False, "dear": dear, "cheap": lambda p: True}
+    docs = frame(spark, ["some words"] * 50)
+    assert quality.rule_order(docs, rules) == ["cheap", "dear", "never"]
+    assert quality.rule_order(docs.limit(0), rules) == list(rules)
+    p = quality.Page(b"one two")
+    assert p.n_symbols == 0 and "words" not in p.__dict__ and "n_repeat_words" not in p.__dict__
 
 
 def test_quality_agrees_with_labels(spark, sf):
@@ -224,17 +260,39 @@ def test_license_empty(spark):
     assert licenses.scan_licenses(frame(spark, ODD).limit(0)).count() == 0
 
 
-def test_toxic_wording_of_held_out_documents_in_all_languages():
-    import pyarrow.parquet as pq
-    from matchloom.llm import quality, toxicity
-
-    base = "/root/testdata/sf0.1"
-    lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{base}/documents.parquet", columns=["doc_id", "lang"]).to_pylist()}
-    held = [r for r in toxicity.labelled(base) if toxicity.part(r[0]) == "held out"]
-    said = {i: any(rule(quality.Page(t)) for rule in (quality.RULES[n] for n in ("abusive", "toxic_wording") if n in quality.RULES)) for i, t, _ in held}
-    for g in ("en", "de", "fr", "es"):
-        toxic = [said[i] for i, _, y in held if y and lang[i] == g]
-        print(g, sum(toxic), len(toxic))
-        assert sum(toxic) >= 0.6 * len(toxic) > 0
-    print("right of rejected", sum(y for i, _, y in held if said[i]), sum(said.values()), "clean", sum(1 - y for *_, y in held))
-    assert sum(y for i, _, y in held if said[i]) >= 0.9 * sum(said.values())
+def toxic_model(spark, base):
+    from matchloom.llm import toxicity
+
+    return toxicity.labelled(spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet"))
+
+
+def test_toxic_wording_of_held_out_documents_in_all_languages(spark):
+    """Fitted to the table's own labels, of whatever invented words its toxic documents consist."""
+    from matchloom.llm import toxicity
+
+    for base, least in (("/root/testdata/sf0.1", 0.6), ("/root/testdata/check_s", 0.9)):
+        docs = spark.read.parquet(f"{base}/documents.parquet")
+        rows = toxic_model(spark, base)
+        rules = quality.all_rules(toxicity.fit(rows))
+        lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+        held = [r for r in rows if toxicity.part(r[0]) == "held out"]
+        said = {i: any(rules[n](quality.Page(t)) for n in ("abusive", "toxic_wording")) for i, t, _ in held}
+        for g in ("en", "de", "fr", "es"):
+            toxic = [said[i] for i, _, y in held if y and lang[i] == g]
+            print(base, g, sum(toxic), len(toxic))
+            # sf0.1 has only 33 toxic Spanish documents, 3 of them held out
+            assert len(toxic) < 10 or sum(toxic) >= least * len(toxic)
+        print(base, "right of rejected", sum(y for i, _, y in held if said[i]), sum(said.values()), "clean", sum(1 - y for *_, y in held))
+        assert sum(y for i, _, y in held if said[i]) >= 0.9 * sum(said.values())
+
+
+def test_toxicity_sample_and_odd_labels(spark):
+    from matchloom.llm import toxicity
+
+    docs = spark.createDataFrame([(i, "nice words here" if i % 2 else "vile awfulness here") for i in range(200)] + [(None, "x"), (300, None), (5, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, 1 - i % 2) for i in range(200)] + [(None, 1, 1), (300, 1, 1), (7, 1, None), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    some = toxicity.labelled(docs, labels, rows=100)
+    assert len(some) <= 100 and sorted(some) == sorted(toxicity.labelled(docs.repartition(7), labels.repartition(3), rows=100))
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    assert model(b"so vile an awfulness") and not model(b"nice words") and not model(b"")
+    assert not toxicity.fit(toxicity.labelled(docs, labels.limit(0)))(b"vile awfulness")
