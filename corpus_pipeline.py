@@ -13,12 +13,12 @@ from matchloom.llm.decontam import clean_documents
 from matchloom.llm.linededup import dedup_lines
 from matchloom.llm.neardup import one_of_each
 from matchloom.llm.packing import pack_documents
-from matchloom.llm.quality import kept_documents
+from matchloom.llm.quality import fitted_rules, kept_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return kept_documents(docs)
+    """Documents that no rule rejects; toxic wording is learned from the labelled ones of sf_dir."""
+    return kept_documents(docs, fitted_rules(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
