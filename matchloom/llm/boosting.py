@@ -62,13 +62,13 @@ class Boosted:
             out += value[at]
         return out
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 50) -> "Boosted":
-        """Fits the logistic scale and shift to held-out rows by Newton steps."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 5.0) -> "Boosted":
+        """Fits the logistic scale and shift to held-out rows by Newton steps; ridge holds them near 1 and 0."""
         z, w = np.stack([self.raw(x), np.ones(len(x))], 1), np.array([1.0, 0.0])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-z @ w))
-            hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-            w = w + np.linalg.solve(hess, z.T @ (y - p) - 1e-3 * (w - [1.0, 0.0]))
+            hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+            w = w + np.linalg.solve(hess, z.T @ (y - p) - ridge * (w - [1.0, 0.0]))
         self.scale, self.shift = map(float, w)
         return self
 
@@ -76,10 +76,16 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.scale * self.raw(x) + self.shift))) if len(x) else np.zeros(0)
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float, least: float = 0.5) -> float:
-    """The lowest score from least on whose held-out precision is at least so high; above 1 if there is none."""
+def threshold(p: np.ndarray, y: np.ndarray, precision: float, negatives: float = 1.0, least: float = 0.2) -> float:
+    """The lowest score whose held-out precision is at least so high, halfway to the next below, and least at least; above 1 if there is none.
+
+    negatives: how many negatives outside each held-out one stands for."""
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    hits = np.cumsum(y[order])
+    right = hits / (hits + negatives * np.cumsum(1 - y[order]))
     ends = np.flatnonzero(np.append(np.diff(p[order]) != 0, True))
     good = ends[right[ends] >= precision]
-    return max(least, float(p[order][good[-1]])) if len(good) else 2.0
+    if not len(good):
+        return 2.0
+    at = good[-1]
+    return max(least, float(p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0.0)) / 2)
