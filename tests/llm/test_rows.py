@@ -1,5 +1,6 @@
 """Operators that look at one document at a time, against plain versions."""
 
+import itertools
 import re
 import struct
 import zlib
@@ -245,6 +246,7 @@ def test_license_phrases(spark, sf):
     n = len(texts)
     assert [got[k].labels for k in range(n - 7, n)] == ["mit", "apache-2", "cc-by-nc", "apache-2", "gpl-3", "", ""]
     assert got[n - 4].score == 1.0 and 0 < got[n - 2].score < 1
+    assert all(r.score == 1 for r in got.values() if r.labels) and all(r.score < 1 for r in got.values() if not r.labels)
 
 
 def test_template_automaton():
@@ -256,6 +258,59 @@ def test_template_automaton():
     assert a.total == 3
 
 
+def paths(template):
+    """The texts of a template, free words as z, written anew by expansion, one at a time."""
+    parts = []
+    for optional, least, most, word in re.findall(r"\[\[(.*?)\]\]|\{(\d+),(\d+)\}|([^\s\[\]{}]+)", template):
+        parts.append([[], optional.split()] if optional else [["z"] * k for k in range(int(least), int(most) + 1)] if most else [[word]])
+    return ([w for x in chosen for w in x] for chosen in itertools.product(*parts))
+
+
+def test_templates_accept_their_texts_and_no_changed_ones():
+    rng = np.random.default_rng(7)
+    automata = licenses.compiled(licenses.TEMPLATES)
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for words in itertools.islice(paths(t), 40):
+                text = [w.encode() for w in words]
+                runs, _ = licenses.scan([b"before", *text, b"after"], automata)
+                assert (label, 1, 1 + len(text)) in [(a, b, c) for a, b, c in runs] or any(a == label for a, *_ in runs), (label, t[:60])
+    for label, texts in licenses.TEXTS.items():
+        (t,) = texts
+        words = [w.encode() for w in next(paths(t))]
+        mandatory = [k for k, w in enumerate(words) if w != b"z"]
+        for k in rng.choice(mandatory[3:], 12, replace=False):
+            runs, score = licenses.scan([*words[:k], b"changed", *words[k + 1 :]], automata)
+            if words[k + 1 : k + 2] != [b"z"] and words[k - 1] != b"z":
+                assert label not in [a for a, *_ in runs] and 0 < score < 1, (label, words[k])
+
+
+def test_template_scan_equals_expansion():
+    """Random words against all texts of small templates, place by place."""
+    rng = np.random.default_rng(3)
+    small = {"x": ["a [[b]] c {0,2} d"], "y": ["b {1,1} a", "c c [[d a]] b"]}
+    automata = licenses.compiled(small)
+    fits = lambda p, w: len(p) == len(w) and all(a == "z" or a == b for a, b in zip(p, w))
+    for _ in range(300):
+        w = [str(c) for c in rng.choice(list("abcd"), 12)]
+        wanted = []
+        for label, ts in small.items():
+            for t in ts:
+                i = 0
+                while i < len(w):
+                    ends = [j for j in range(i + 1, len(w) + 1) if any(fits(p, w[i:j]) for p in paths(t))]
+                    if ends:
+                        wanted.append((label, i, max(ends)))
+                    i = max(ends, default=i + 1)
+        assert sorted(licenses.scan([x.encode() for x in w], automata)[0]) == sorted(wanted), w
+
+
+def test_license_long_text(spark):
+    text = "word " * 50_000 + "Licensed under the Apache License, Version 2.0. " + "permission " * 5000
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (r.labels, r.n_base, r.first_word) == ("apache-2", 1, 50_003)
+
+
 def test_license_empty(spark):
     assert licenses.scan_licenses(frame(spark, ODD).limit(0)).count() == 0
 
