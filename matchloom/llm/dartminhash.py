@@ -86,13 +86,18 @@ def signatures(strip: np.ndarray, doc: np.ndarray, n_docs: int, k: int, inside:
     return out
 
 
-def bands(signature: np.ndarray, rows: int) -> np.ndarray:
-    """(n_docs, k / rows) hashes of the bands, signed, the band's number included."""
+def bands(signature: np.ndarray, rows: int, deals: int = 1) -> np.ndarray:
+    """(n_docs, deals * k / rows) hashes of the bands, signed, the band's number included.
+
+    The coordinates are dealt into bands so many times: in order, then in fixed random orders."""
     n, k = signature.shape
-    out = np.empty((n, k // rows), np.uint64)
-    for b in range(k // rows):
-        h = np.full(n, np.uint64(b + 1))
-        for c in range(b * rows, (b + 1) * rows):
-            h = mix(h * GOLDEN + signature[:, c])
-        out[:, b] = h
+    per = k // rows
+    out = np.empty((n, deals * per), np.uint64)
+    for d in range(deals):
+        order = np.random.default_rng(d).permutation(k) if d else np.arange(k)
+        for b in range(per):
+            h = np.full(n, np.uint64(d * per + b + 1))
+            for c in order[b * rows : (b + 1) * rows]:
+                h = mix(h * GOLDEN + signature[:, c])
+            out[:, d * per + b] = h
     return out.view(np.int64)

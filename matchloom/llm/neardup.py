@@ -2,12 +2,15 @@
 
 Elements are shingles of five lower-cased words, weighted by how often they occur; similarity is weighted Jaccard, 0.8
 or more. A document of fewer words is one shingle. Copies with the same words collapse to one representative first.
-Signatures of 192 coordinates in 32 bands of 6 put a pair of similarity 0.8 into a common bucket with probability 0.9999.
+Signatures of 240 coordinates, dealt twice into 30 bands of 8, put a pair of similarity 0.8 into a common bucket with
+probability 0.9999, one of 0.5 with 0.21 and one of 0.3 with 0.004.
 
 First every document is held against one other, the hottest hub of its buckets, which gives fewer pairs than documents and
 puts nearly all of a large group of copies into one class. Then all pairs of different classes that share a bucket are
 checked, exactly, on the texts: those of buckets with few members as rows of pairs, those of larger buckets in blocks, where
-a group of rows is two blocks of documents and no pair becomes a row. So the classes are the connected components of
+a group of rows is two blocks of documents and no pair becomes a row. Before that, blocks of sketches (one byte of each
+coordinate) find the documents that agree with any other closely enough to be similar; a pair that agrees on fewer
+coordinates than five standard deviations below the threshold goes, which loses one similar pair in three million. So the classes are the connected components of
 all similar pairs that share a bucket, however rows are dealt and whatever the hubs are; members of one class do not meet
 again. The work for a bucket grows with the documents outside its largest class times its members.
 
@@ -31,7 +34,7 @@ from .common import as_bytes, deleted, map_batches, read, shared_dir, slices, sm
 from .components import components
 from .dartminhash import GOLDEN, bands, mix, signatures, strips
 
-WORDS, SIMILARITY, K, ROWS = 5, 0.8, 192, 6
+WORDS, SIMILARITY, K, ROWS, DEALS = 5, 0.8, 240, 8, 2
 #: A bucket with so many members at most gives its pairs of different classes as rows; a larger one is checked in blocks.
 FEW = 16
 #: Documents, and bytes of text, in a block at most, about.
@@ -70,8 +73,8 @@ class Shingler:
 _SHINGLER = Shingler()
 
 
-def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataFrame:
-    """Writes the rows of docs with a row number, a 128-bit key of their words and the bands of their signatures.
+def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int, deals: int) -> DataFrame:
+    """Writes the rows of docs with a row number, a 128-bit key of their words, the bands of their signatures and sketches.
 
     A copy within a batch gets no signature: the first one stands for it."""
     schema = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -85,6 +88,7 @@ def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataF
             ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 8 * k)
             keys: list = []
             out: list = []
+            sketches: list = []
             known: set = {None}
             i = 0
             # A part of the batch at a time: about a megabyte of text, or one document.
@@ -99,16 +103,17 @@ def signed(docs: DataFrame, folder: str, words: int, k: int, rows: int) -> DataF
                     known.add(key)
                 doc, element = _SHINGLER.shingles(lists, words)
                 signature = signatures(strips(doc, element), doc, j - i, k)
-                out += [x.tolist() if w else [] for w, x in zip(lists, bands(signature, rows))]
+                out += [x.tolist() if w else [] for w, x in zip(lists, bands(signature, rows, deals))]
+                sketches += [x.tobytes() for x in (signature >> np.uint64(56)).astype(np.uint8)]
                 i = j
             first = state["rows"]
             state["rows"] += len(texts)
-            return {"rid": np.arange(first, first + len(texts)), "key": keys, "bands": out, "row": batch.column("row")}
+            return {"rid": np.arange(first, first + len(texts)), "key": keys, "bands": out, "sketch": sketches, "row": batch.column("row")}
 
         return apply
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return written(map_batches(packed, make, f"rid long, key binary, bands array<long>, row struct<{schema}>"), folder, "signed")
+    return written(map_batches(packed, make, f"rid long, key binary, bands array<long>, sketch binary, row struct<{schema}>"), folder, "signed")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -228,6 +233,36 @@ def block_links(words: int, least: float) -> Callable[[pa.Table], pa.Table]:
     return apply
 
 
+def close(side: np.ndarray, kind: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """Which documents agree closely enough with one of another class on the other side (side 2: on the same) to be similar."""
+    k = sketch.shape[1]
+    need = int(np.ceil(k * (least - 5 * (least * (1 - least) / k) ** 0.5)))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if (side == 2).all():
+        names, counts = np.unique(kind, return_counts=True)
+        left = left[kind[left] != names[counts.argmax()]]
+    out = np.zeros(len(side), bool)
+    other, other_kind = sketch[right], kind[right]
+    for part in slices(len(left), max(1, (1 << 24) // max(1, len(right) * k))):
+        own = left[part]
+        agree = np.count_nonzero(sketch[own][:, None, :] == other[None, :, :], axis=2)
+        hit = (agree >= need) & (kind[own][:, None] != other_kind[None, :])
+        out[own] |= hit.any(1)
+        out[right] |= hit.any(0)
+    return out
+
+
+def block_close(least: float) -> Callable[[pa.Table], pa.Table]:
+    """The rows (bucket, rid) of a table (bucket, rid, class, side, sketch) that close() keeps."""
+
+    def apply(table):
+        side, kind = (table.column(c).to_numpy() for c in ("side", "class"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
+        return table.select(["bucket", "rid"]).filter(pa.array(close(side, kind, sketch, least)))
+
+    return apply
+
+
 def shared(buckets: DataFrame) -> DataFrame:
     """The rows of buckets with two members or more, with the number n of them."""
     more = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -277,24 +312,24 @@ def blocks_met(many: DataFrame, block: int, block_bytes: int) -> DataFrame:
     owner = F.when(big, F.col("class")).otherwise(-1)
     dealt = many.join(sizes, ["bucket", "class"]).join(loose, "bucket").select("bucket", "class", "rid", F.struct(owner.alias("owner"), salt.alias("salt")).alias("u"))
     blocks = dealt.select("bucket", "u").distinct()
-    pairs = blocks.join(blocks.withColumnRenamed("u", "v"), "bucket").where("u <= v and (u.owner <> v.owner or u.owner = -1)")
+    pairs = blocks.join(blocks.select("bucket", F.col("u").alias("v")), "bucket").where("u <= v and (u.owner <> v.owner or u.owner = -1)")
     ends = pairs.select("bucket", "u", "v", F.explode(F.expr("if(u = v, array(named_struct('block', u, 'side', 2)), array(named_struct('block', u, 'side', 0), named_struct('block', v, 'side', 1)))")).alias("end"))
     ends = ends.select("bucket", "u", "v", "end.side", F.col("end.block").alias("block"))
     return dealt.withColumnRenamed("u", "block").join(ends, ["bucket", "block"]).select("bucket", "u", "v", "rid", "class", "side")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, k: int = K, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, k: int = K, rows: int = ROWS, deals: int = DEALS) -> tuple[DataFrame, DataFrame]:
     """The signed rows of docs (rid, row, ...) and their classes (rid, class: the least row number of the class).
 
     Jobs with Python run here, in small batches: a pair brings two texts, so a full batch of pairs would be large."""
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, words, least, k, rows)
+        return _near_duplicates(docs, words, least, k, rows, deals)
 
 
-def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: int, deals: int) -> tuple[DataFrame, DataFrame]:
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     work = f"{folder}/work"
-    table = signed(docs, folder, words, k, rows)
+    table = signed(docs, folder, words, k, rows, deals)
     copies = written(table.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep")), folder, "copies")
     reps = table.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
     bucketed = reps.select("rid", F.octet_length("row.text").alias("bytes"), F.explode("bands").alias("bucket"))
@@ -312,7 +347,10 @@ def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: in
     found = similar(written(proposals(buckets), work, "first"), "first")
     rest = written(mixed(buckets, components(found, f"{work}/first-steps")), work, "mixed")
     found = found.unionByName(similar(written(across(rest.where(F.col("members") <= FEW)), work, "few"), "few"))
-    met = written(blocks_met(rest.where(F.col("members") > FEW), BLOCK, BLOCK_BYTES), work, "met")
+    many = rest.where(F.col("members") > FEW)
+    sketched = blocks_met(many.withColumn("bytes", F.lit(k)), BLOCK, BLOCK_BYTES).join(table.select("rid", "sketch"), "rid")
+    near = written(sketched.groupBy("bucket", "u", "v").applyInArrow(block_close(least), "bucket long, rid long").distinct(), work, "close")
+    met = written(blocks_met(many.join(near, ["bucket", "rid"], "left_semi"), BLOCK, BLOCK_BYTES), work, "met")
     joined = met.join(texts(met.select("rid"), "many-texts"), "rid")
     found = found.unionByName(written(joined.groupBy("bucket", "u", "v").applyInArrow(block_links(words, least), "a long, b long"), work, "many-similar"))
     classes = written(components(found, f"{work}/steps"), folder, "classes")

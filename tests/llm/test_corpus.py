@@ -153,7 +153,7 @@ def test_near_duplicates_split_mixed_buckets(spark, monkeypatch):
     shared = [f"s{i}" for i in range(100)]
     texts = [" ".join(shared + [f"p{rng.integers(9000)}" for _ in range(60)]) for _ in range(8)]
     texts += [edited(rng, texts[k].split(), 2) for k in range(3)]
-    table, classes = neardup.near_duplicates(frame(spark, texts), k=60, rows=3)
+    table, classes = neardup.near_duplicates(frame(spark, texts), k=60, rows=3, deals=1)
     rows = table.select("rid", "row.doc_id").join(classes, "rid").collect()
     least = {}
     for r in rows:
@@ -189,6 +189,35 @@ def test_near_duplicates_keep_two_families_apart(spark):
     assert least_ids(spark, texts) == brute_classes(texts) and len(set(brute_classes(texts))) == 2
 
 
+def test_near_duplicates_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(12)
+    texts = families(rng, 60) + [" ".join(f"q{rng.integers(40)}" for _ in range(30)) for _ in range(60)]
+    docs = frame(spark, texts)
+
+    def groups(df):
+        table, classes = neardup.near_duplicates(df)
+        found = {}
+        for r in table.select("rid", "row.doc_id").join(classes, "rid").collect():
+            found.setdefault(r["class"], set()).add(r.doc_id)
+        return sorted(map(sorted, found.values()))
+
+    assert groups(docs) == groups(docs.repartition(5)) == groups(docs.orderBy(docs.doc_id.desc()).coalesce(1))
+
+
+def test_close_loses_no_similar_pair():
+    """Blocks of sketches keep both ends of every pair of different classes that agrees closely, and nobody else."""
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 256, (60, 240)).astype(np.uint8)
+    for i in range(30, 60):
+        sketch[i] = np.where(rng.random(240) < rng.uniform(0.5, 0.95), sketch[i - 30], sketch[i])
+    kind = rng.integers(0, 40, 60)
+    agree = (sketch[:, None] == sketch[None]).mean(2)
+    need = 0.8 - 5 * (0.16 / 240) ** 0.5
+    for side in (np.full(60, 2), np.arange(60) // 30, np.arange(60) % 2):
+        apart = (kind[:, None] != kind[None]) & ((side[:, None] != side[None]) | (side[:, None] == 2)) & ~np.eye(60, dtype=bool)
+        assert neardup.close(side, kind, sketch, 0.8).tolist() == ((agree >= need) & apart).any(1).tolist()
+
+
 def test_overlaps_equal_sets():
     rng = np.random.default_rng(6)
     sets = [[set(rng.integers(0, 60, 30).tolist()) for _ in range(n)] for n in (7, 5)]
