@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -125,6 +126,16 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+#: Rows of 8-byte keys that are broadcast at most: 8 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def filtered(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """df's rows with (or without: left_anti) a key of a written one-column table of numbers, which is broadcast if it is small."""
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys, on, how)
+
+
 def deleted(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of tables that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, deleted, map_batches, read, shared_dir, slices, small_batches, words_of, written
+from .common import as_bytes, deleted, filtered, map_batches, read, shared_dir, slices, small_batches, words_of, written
 from .components import components
 from .dartminhash import GOLDEN, bands, mix, signatures, strips
 
@@ -264,9 +264,10 @@ def block_close(least: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets with two members or more, with the number n of them."""
-    more = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return buckets.join(more, "bucket")
+    """The rows of buckets with two members or more, with the number n of them: dealt out by bucket once, for counts and join."""
+    dealt = buckets.repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    more = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return dealt.join(more.hint("merge"), "bucket")
 
 
 def proposals(buckets: DataFrame) -> DataFrame:
@@ -285,8 +286,8 @@ def classed(df: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, rid, bytes, class, members: the rows of buckets that hold several classes."""
-    of = classed(buckets.select("bucket", "rid", "bytes"), classes)
+    """bucket, rid, class, members: the rows of buckets that hold several classes."""
+    of = classed(buckets.select("bucket", "rid"), classes)
     several = of.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("members"))
     return of.join(several.where("first <> last").select("bucket", "members"), "bucket")
 
@@ -331,14 +332,16 @@ def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: in
     work = f"{folder}/work"
     table = signed(docs, folder, words, k, rows, deals)
     copies = written(table.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep")), folder, "copies")
-    reps = table.join(copies.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    bucketed = reps.select("rid", F.octet_length("row.text").alias("bytes"), F.explode("bands").alias("bucket"))
-    full = written(shared(bucketed), work, "full")
-    heat = full.groupBy("rid").agg(F.sum("n").alias("heat"))
+    slim = table.where("key is not null").select("rid", "bands")
+    reps = slim.join(copies.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
+    full = written(shared(reps.select("rid", F.explode("bands").alias("bucket"))), work, "full")
+    heat = written(full.groupBy("rid").agg(F.sum("n").alias("heat")), work, "heat")
     buckets = written(full.drop("n").join(heat, "rid"), work, "buckets")
+    # The texts of all documents that share a bucket with another; what follows reads these alone.
+    pool = written(filtered(table.select("rid", "row.text"), heat.select("rid"), "rid"), work, "pool")
 
     def texts(of: DataFrame, name: str) -> DataFrame:
-        return written(table.select("rid", "row.text").join(of.distinct(), "rid", "left_semi"), work, name)
+        return written(filtered(pool, written(of.distinct(), work, f"{name}-rids"), "rid"), work, name)
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         needed = texts(pairs.select(F.explode(F.array("a", "b")).alias("rid")), f"{name}-texts")
@@ -350,7 +353,8 @@ def _near_duplicates(docs: DataFrame, words: int, least: float, k: int, rows: in
     many = rest.where(F.col("members") > FEW)
     sketched = blocks_met(many.withColumn("bytes", F.lit(k)), BLOCK, BLOCK_BYTES).join(table.select("rid", "sketch"), "rid")
     near = written(sketched.groupBy("bucket", "u", "v").applyInArrow(block_close(least), "bucket long, rid long").distinct(), work, "close")
-    met = written(blocks_met(many.join(near, ["bucket", "rid"], "left_semi"), BLOCK, BLOCK_BYTES), work, "met")
+    close_ones = many.join(near, ["bucket", "rid"], "left_semi").join(pool.select("rid", F.octet_length("text").alias("bytes")), "rid")
+    met = written(blocks_met(close_ones, BLOCK, BLOCK_BYTES), work, "met")
     joined = met.join(texts(met.select("rid"), "many-texts"), "rid")
     found = found.unionByName(written(joined.groupBy("bucket", "u", "v").applyInArrow(block_links(words, least), "a long, b long"), work, "many-similar"))
     classes = written(components(found, f"{work}/steps"), folder, "classes")
@@ -371,4 +375,5 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     table, classes = near_duplicates(docs, **params)
     rows = table.select("rid", F.col("row.doc_id").alias("doc_id")).join(classes, "rid")
     least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
-    return table.join(least.select("first.rid"), "rid", "left_semi").select("row.*")
+    kept = written(least.select("first.rid"), shared_dir(docs.sparkSession), "kept")
+    return filtered(table, kept, "rid").select("row.*")
