@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import TIERS
+
 
 def finite(c: Column) -> Column:
     """Not null, not NaN and not infinite."""
@@ -43,15 +45,6 @@ def steps(c: Column, cuts: list[tuple[float, str]], other: str) -> Column:
     return F.when(c.isNotNull(), out.otherwise(F.lit(other)))
 
 
-#: Fixed cut tables.
-FINE_GRADES = [
-    (97.0, "S+"), (93.0, "S"), (89.0, "S-"), (85.0, "A+"), (81.0, "A"), (77.0, "A-"), (73.0, "B+"), (69.0, "B"), (65.0, "B-"),
-    (60.0, "C+"), (55.0, "C"), (50.0, "C-"), (45.0, "D+"), (40.0, "D"),
-]
-PERCENTILE_GRADES = [(90.0, "S"), (75.0, "A"), (50.0, "B"), (25.0, "C")]
-TIERS = [(7000.0, "mythril"), (6000.0, "diamond"), (4500.0, "platinum"), (3000.0, "gold"), (1500.0, "silver")]
-
-
 def duration_bucket(seconds: Column) -> Column:
     return steps(seconds / F.lit(60.0), [(30.0, "30+"), (25.0, "25-30"), (20.0, "20-25"), (15.0, "15-20")], "<15")
 
@@ -61,7 +54,8 @@ def placement_bucket(place: Column) -> Column:
 
 
 def tier_of(rp: Column) -> Column:
-    return steps(rp, TIERS, "bronze")
+    """Grading's key of the current season's tier; unranked without points."""
+    return F.when(rp.isNull() | (rp <= 0), "unranked").otherwise(steps(rp, TIERS, "iron"))
 
 
 def participation_capped(kills: Column, assists: Column, team: Column) -> Column:

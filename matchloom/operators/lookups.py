@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,20 +14,23 @@ def level_means(df: DataFrame, levels: list[list[str]], value: str) -> list[Data
     ]
 
 
-def fallback(rows: DataFrame, source: DataFrame, levels: list[list[str]], value: str, least: int) -> DataFrame:
-    """rows with expected, expected_n and level: the first level with `least` samples, else the last level.
-
-    Each level is a join on its keys; the level without keys is a single row."""
-    out = rows
-    for means, keys in zip(level_means(source, levels, value), levels):
-        out = out.join(means, keys, "left") if keys else out.crossJoin(F.broadcast(means))
-    last = len(levels) - 1
-    expected, n, level = F.col(f"mean{last}"), F.col(f"n{last}"), F.lit(last)
-    for i in range(last - 1, -1, -1):
-        good = F.coalesce(F.col(f"n{i}"), F.lit(0)) >= least
-        expected, n, level = (F.when(good, a).otherwise(b) for a, b in ((F.col(f"mean{i}"), expected), (F.col(f"n{i}"), n), (F.lit(i), level)))
-    drop = [f"{c}{i}" for i in range(last + 1) for c in ("mean", "n")]
-    return out.withColumns({"expected": expected, "expected_n": n, "level": level}).drop(*drop)
+def first_level(rows: DataFrame, source: DataFrame, levels: list[list[str]], aggs: list[Column], least: tuple[int, ...], finest: Column, n: Column | None = None) -> DataFrame:
+    """rows with the aggregates of the first level of keys that has a record, baseline_n and level.
+
+    least: samples a record needs, level by level (1 where it ends); finest: the condition on rows for the first level;
+    n: how a record counts its samples, if the rows of source are no samples themselves.
+    Each level is a join with a table of its keys."""
+    out, names = rows, [f"_level{i}" for i in range(len(levels))]
+    for i, keys in enumerate(levels):
+        record = source.groupBy(*keys).agg((F.count(F.lit(1)) if n is None else n).alias("baseline_n"), *aggs)
+        need = least[i] if i < len(least) else 1
+        record = record.where(F.col("baseline_n") >= need).select(*keys, F.struct(*(c for c in record.columns if c not in keys)).alias(names[i]))
+        out = out.join(record, keys, "left")
+    found = F.coalesce(F.when(finest, F.col(names[0])), *map(F.col, names[1:]))
+    level = F.when(finest & F.col(names[0]).isNotNull(), 0)
+    for i, n in enumerate(names[1:], 1):
+        level = level.when(F.col(n).isNotNull(), i)
+    return out.withColumns({"_found": found, "level": level}).select(*rows.columns, "level", "_found.*")
 
 
 def shrunk_levels(rows: DataFrame, source: DataFrame, levels: list[list[str]], value: str, k: float) -> DataFrame:

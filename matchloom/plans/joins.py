@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.core import js_round, relative_score
-from matchloom.operators.lookups import fallback, shrunk_levels
+from matchloom.functions.fixed import LEAST_BASELINE, TIER_KEYS, chosen
+from matchloom.operators.lookups import first_level, shrunk_levels
 from matchloom.sources.facts import PM, player_match, rank_only, table
 
 from .registry import query
@@ -29,13 +30,15 @@ LEVEL_SQL = """l0 AS (SELECT tier, character_num, weapon, avg(kills) m0, count(k
 l2 AS (SELECT tier, role, avg(kills) m2, count(kills) n2 FROM pm GROUP BY 1, 2), l3 AS (SELECT avg(kills) m3, count(kills) n3 FROM pm)"""
 
 
-@query(f"""WITH {PM}, {LEVEL_SQL}, x AS (SELECT pm.*, CASE WHEN n0 >= 60 THEN m0 WHEN n1 >= 300 OR n1 >= 60 THEN m1 WHEN n2 >= 60 THEN m2 ELSE m3 END e, CASE WHEN n0 >= 60 THEN 0 WHEN n1 >= 60 THEN 1 WHEN n2 >= 60 THEN 2 ELSE 3 END lvl
-FROM pm LEFT JOIN l0 USING (tier, character_num, weapon) LEFT JOIN l1 USING (tier, character_num) LEFT JOIN l2 USING (tier, role), l3 WHERE season = 1997)
-SELECT tier, lvl AS level, count(*) n, {R4.format("avg(kills - e)")} mean_diff FROM x GROUP BY 1, 2""", "hierarchical_baseline_all_seasons", " WHERE season = 1997")
-def hierarchical_baseline(spark, sf_dir, part="season = 1997"):
-    """Exact, tier-character, tier-role, overall: the first level with 60 samples. Over one season, as in the SQL; hierarchical_baseline_all_seasons has all."""
+@query(f"""WITH {PM}, s AS (SELECT * FROM pm WHERE game_mode = 'rank' AND victory), l0 AS (SELECT tier, character_num, weapon, avg(kills) m0 FROM s GROUP BY 1, 2, 3 HAVING count(kills) >= 30), l1 AS (SELECT tier, character_num, avg(kills) m1 FROM s GROUP BY 1, 2),
+l2 AS (SELECT tier, role, avg(kills) m2 FROM s GROUP BY 1, 2), l3 AS (SELECT tier, avg(kills) m3 FROM s GROUP BY 1),
+x AS (SELECT pm.*, coalesce(m0, m1, m2, m3) e, CASE WHEN m0 IS NOT NULL THEN 0 WHEN m1 IS NOT NULL THEN 1 WHEN m2 IS NOT NULL THEN 2 WHEN m3 IS NOT NULL THEN 3 END lvl
+FROM pm LEFT JOIN l0 ON l0.tier = pm.tier AND l0.character_num = pm.character_num AND l0.weapon = pm.weapon AND pm.weapon > 0 LEFT JOIN l1 ON l1.tier = pm.tier AND l1.character_num = pm.character_num LEFT JOIN l2 ON l2.tier = pm.tier AND l2.role = pm.role LEFT JOIN l3 ON l3.tier = pm.tier)
+SELECT tier, lvl AS level, count(*) n, {R4.format("avg(kills - e)")} mean_diff FROM x GROUP BY 1, 2""")
+def hierarchical_baseline(spark, sf_dir):
+    """Every match against the won rank matches: exact with 30 samples and a known weapon, else the first of tier-character, tier-role and tier that exists."""
     pm = player_match(spark, sf_dir)
-    x = fallback(pm.where(part or "true"), pm, LEVELS, "kills", 60)
+    x = first_level(pm, rank_only(pm).where("victory"), [["tier", "character_num", "weapon"], ["tier", "character_num"], ["tier", "role"], ["tier"]], [F.avg("kills").alias("expected")], (LEAST_BASELINE,), F.col("weapon") > 0)
     return x.groupBy("tier", "level").agg(F.count(F.lit(1)).alias("n"), js_round(F.avg(F.col("kills") - F.col("expected")), 4).alias("mean_diff"))
 
 
@@ -48,18 +51,18 @@ def shrunk_baseline(spark, sf_dir):
     return x.groupBy("tier", "character_num").agg(js_round(F.avg("expected"), 4).alias("expected"))
 
 
-TIER_NO = "CASE tier WHEN 'bronze' THEN 0 WHEN 'silver' THEN 1 WHEN 'gold' THEN 2 WHEN 'platinum' THEN 3 WHEN 'diamond' THEN 4 ELSE 5 END"
+TIER_NO = "CASE tier WHEN 'iron' THEN 0 WHEN 'bronze' THEN 1 WHEN 'silver' THEN 2 WHEN 'gold' THEN 3 WHEN 'platinum' THEN 4 WHEN 'diamond_plus' THEN 5 WHEN 'meteorite_plus' THEN 6 ELSE 7 END"
 
 
 @query(f"""WITH {PM}, t AS (SELECT {TIER_NO} t, character_num, kills FROM pm), b AS (SELECT t, character_num, count(*) n, avg(kills) m FROM t GROUP BY 1, 2), q AS (SELECT DISTINCT t, character_num FROM t),
-r AS (SELECT q.t, q.character_num, b.t bt, b.n, b.m, row_number() OVER (PARTITION BY q.t, q.character_num ORDER BY abs(b.t - q.t), b.t) r FROM q JOIN b ON b.character_num = q.character_num AND b.n >= 150)
+r AS (SELECT q.t, q.character_num, b.t bt, b.n, b.m, row_number() OVER (PARTITION BY q.t, q.character_num ORDER BY abs(b.t - q.t), b.t) r FROM q JOIN b ON b.character_num = q.character_num AND b.n >= 30)
 SELECT t AS tier_no, character_num, bt AS used_tier, n, {R4.format("m")} mean FROM r WHERE r = 1""")
 def nearest_tier_baseline(spark, sf_dir):
-    """The nearest tier with 150 samples, the lower one at equal distance."""
-    order = F.create_map(*(F.lit(x) for p in (("bronze", 0), ("silver", 1), ("gold", 2), ("platinum", 3), ("diamond", 4), ("mythril", 5)) for x in p))
-    t = player_match(spark, sf_dir).select(order[F.col("tier")].alias("tier_no"), "character_num", "kills")
+    """The nearest tier with 30 samples, the lower one at equal distance."""
+    order = chosen(F.col("tier"), {k: i for i, k in enumerate(TIER_KEYS)})
+    t = player_match(spark, sf_dir).select(order.alias("tier_no"), "character_num", "kills")
     b = t.groupBy("tier_no", "character_num").agg(F.count(F.lit(1)).alias("n"), F.avg("kills").alias("m"))
-    j = b.select("tier_no", "character_num").join(b.where("n >= 150").withColumnRenamed("tier_no", "used_tier"), "character_num")
+    j = b.select("tier_no", "character_num").join(b.where(F.col("n") >= LEAST_BASELINE).withColumnRenamed("tier_no", "used_tier"), "character_num")
     w = Window.partitionBy("tier_no", "character_num").orderBy(F.abs(F.col("used_tier") - F.col("tier_no")), "used_tier")
     return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("tier_no", "character_num", "used_tier", "n", js_round(F.col("m"), 4).alias("mean"))
 
@@ -96,13 +99,11 @@ def merge_character_sources(spark, sf_dir):
     return a.join(b, "character_num", "full_outer").select("character_num", F.greatest(F.coalesce("ga", zero), F.coalesce("gb", zero)).alias("games"), "kills", "top", origin.alias("origin"))
 
 
-@query(f"""WITH {PM}, g AS (SELECT DISTINCT source_id, game_id FROM pm WHERE source_id % 10 = 0)
-SELECT a.source_id a, b.source_id b, count(*) shared FROM g a JOIN g b ON a.game_id = b.game_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2""", "shared_games_all_players", " WHERE source_id % 10 = 0")
-def shared_games(spark, sf_dir, part="source_id % 10 = 0"):
-    """Players that share two games or more: a join on the game, whose size is bounded by its participants.
-
-    Of the players in part, which the SQL fixes to one in ten; shared_games_all_players has all."""
-    g = player_match(spark, sf_dir).where(part or "true").select("source_id", "game_id").distinct()
+@query(f"""WITH {PM}, g AS (SELECT DISTINCT source_id, game_id FROM pm)
+SELECT a.source_id a, b.source_id b, count(*) shared FROM g a JOIN g b ON a.game_id = b.game_id AND a.source_id < b.source_id GROUP BY 1, 2 HAVING count(*) >= 2""")
+def shared_games(spark, sf_dir):
+    """Players that share two games or more: a join on the game, whose size is bounded by its participants."""
+    g = player_match(spark, sf_dir).select("source_id", "game_id").distinct()
     a, b = g.withColumnRenamed("source_id", "a"), g.withColumnRenamed("source_id", "b")
     return a.join(b, "game_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
@@ -114,10 +115,11 @@ def overlap_candidates(spark, sf_dir):
     return pm.where("source_id <> 7").join(e, "game_id", "left_semi").groupBy("source_id").agg(F.countDistinct("game_id").alias("overlap")).where("overlap >= 2")
 
 
-@query("SELECT c_custkey uid FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(f"""WITH {PM} SELECT DISTINCT uid FROM pm WHERE uid NOT IN (SELECT uid FROM pm WHERE game_mode = 'rank' AND season >= 1999)""")
 def seeds_without_detail(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.col("c_custkey").alias("uid"))
+    """Players without a rank match since 1999, as seeds of a queue."""
+    pm = player_match(spark, sf_dir)
+    return pm.select("uid").distinct().join(rank_only(pm).where("season >= 1999").select("uid"), "uid", "left_anti")
 
 
 @query(f"""WITH {PM}, e AS (SELECT role, placement, avg(kills) m, count(*) n FROM pm GROUP BY 1, 2), r AS (SELECT role, avg(kills) m, count(*) n FROM pm GROUP BY 1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.core import FINE_GRADES, PERCENTILE_GRADES, js_round, steps
+from matchloom.functions.core import js_round, steps
+from matchloom.functions.fixed import COMBO_FACTOR, COMBO_ROLES, COMBO_WEIGHTS, FINE_GRADES, LOWEST, PERCENTILE_GRADES, PERCENTILE_POINTS, ROLES
 from matchloom.operators.statistics import index_midrank, isotonic, midrank_percentile, pearson
 from matchloom.operators.survivorship import first_by, first_n_by
 from matchloom.sources.facts import PM, player_match, rank_only
@@ -31,14 +32,14 @@ def index_midranks(spark, sf_dir):
     return _users(spark, sf_dir).select("uid", "tier", js_round(index_midrank("k", ["tier"]), 4).alias("pos"))
 
 
-POINTS = (0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.5, 0.7, 0.75, 0.8, 0.9, 0.95, 0.99)
+SQL_POINTS = "0.01 0.05 0.1 0.2 0.3 0.4 0.5 0.6 0.7 0.8 0.9 0.95 0.99".split()
 
 
-@query(f"WITH {PM}, {USERS}, p AS (SELECT unnest({list(POINTS)}) p) " + " UNION ALL ".join(f"SELECT tier, CAST({p} AS DOUBLE) p, {R4.format(f'quantile_cont(k, {p})')} v FROM u GROUP BY 1" for p in POINTS))
+@query(f"WITH {PM}, {USERS} " + " UNION ALL ".join(f"SELECT tier, CAST({p} AS DOUBLE) p, {R4.format(f'quantile_cont(k, {p})')} v FROM u GROUP BY 1" for p in SQL_POINTS))
 def percentile_table(spark, sf_dir):
     """A thirteen-point quantile table per cohort: one aggregate with an array of points."""
-    q = _users(spark, sf_dir).groupBy("tier").agg(F.percentile("k", F.array(*map(F.lit, POINTS))).alias("q"))
-    pairs = q.select("tier", F.explode(F.arrays_zip(F.array(*map(F.lit, POINTS)).alias("p"), F.col("q").alias("q"))).alias("x"))
+    q = _users(spark, sf_dir).groupBy("tier").agg(F.percentile("k", F.array(*map(F.lit, PERCENTILE_POINTS))).alias("q"))
+    pairs = q.select("tier", F.explode(F.arrays_zip(F.array(*map(F.lit, PERCENTILE_POINTS)).alias("p"), F.col("q").alias("q"))).alias("x"))
     return pairs.select("tier", F.col("x")["p"].alias("p"), js_round(F.col("x")["q"], 4).alias("v"))
 
 
@@ -75,14 +76,17 @@ def percentile_grades(spark, sf_dir):
     return _users(spark, sf_dir).select("tier", steps(p, PERCENTILE_GRADES, "D").alias("grade")).groupBy("tier", "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
-FINE_SQL = "CASE " + " ".join(f"WHEN s >= {c} THEN '{g}'" for c, g in FINE_GRADES) + " ELSE 'F' END"
+FINE_SQL = (
+    "CASE WHEN s >= 95 THEN 'S+' WHEN s >= 88 THEN 'S' WHEN s >= 84 THEN 'S-' WHEN s >= 80 THEN 'A+' WHEN s >= 76 THEN 'A' WHEN s >= 72 THEN 'A-' WHEN s >= 68 THEN 'B+' WHEN s >= 62 THEN 'B' "
+    "WHEN s >= 56 THEN 'B-' WHEN s >= 50 THEN 'C+' WHEN s >= 44 THEN 'C' WHEN s >= 38 THEN 'C-' WHEN s >= 32 THEN 'D+' WHEN s >= 24 THEN 'D' ELSE 'D-' END"
+)
 
 
 @query(f"""WITH {PM}, x AS (SELECT {R4.format("least(greatest(40 + 8 * avg(kills) - 2 * avg(deaths), 0), 100)")} s FROM pm GROUP BY uid) SELECT {FINE_SQL} grade, count(*) n FROM x GROUP BY 1""")
 def fine_grades(spark, sf_dir):
     s = js_round(F.least(F.greatest(F.lit(40) + F.lit(8) * F.avg("kills") - F.lit(2) * F.avg("deaths"), F.lit(0.0)), F.lit(100.0)), 4)
     x = player_match(spark, sf_dir).groupBy("uid").agg(s.alias("s"))
-    return x.select(steps(F.col("s"), FINE_GRADES, "F").alias("grade")).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
+    return x.select(steps(F.col("s"), FINE_GRADES, LOWEST).alias("grade")).groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {PM}, q AS (SELECT tier, median(kills) m FROM pm GROUP BY 1), d AS (SELECT tier, m, median(abs(kills - m)) mad FROM pm JOIN q USING (tier) GROUP BY 1, 2), u AS (SELECT uid, tier, avg(kills) k FROM pm GROUP BY 1, 2)
@@ -103,11 +107,11 @@ def pearson_by_character(spark, sf_dir):
     return x.groupBy("character_num").agg(js_round(pearson("x", "y"), 4).alias("r"))
 
 
-@query(f"""WITH {PM}, r AS (SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY kills, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) x, CAST(row_number() OVER (PARTITION BY role ORDER BY placement, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) y FROM pm WHERE season = 1998)
-SELECT role, {R4.format("covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))")} rho FROM r GROUP BY 1""", "spearman_ordinal_all_seasons", " WHERE season = 1998")
-def spearman_ordinal(spark, sf_dir, part="season = 1998"):
-    """Rank correlation with ties in a fixed order, not averaged. Over one season, as in the SQL; spearman_ordinal_all_seasons has all."""
-    pm = player_match(spark, sf_dir).where(part or "true")
+@query(f"""WITH {PM}, r AS (SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY kills, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) x, CAST(row_number() OVER (PARTITION BY role ORDER BY placement, game_id, slot, part_id, source_id, updated_at) AS DOUBLE) y FROM pm)
+SELECT role, {R4.format("covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))")} rho FROM r GROUP BY 1""")
+def spearman_ordinal(spark, sf_dir):
+    """Rank correlation with ties in a fixed order, not averaged."""
+    pm = player_match(spark, sf_dir)
     rank = lambda c: F.row_number().over(Window.partitionBy("role").orderBy(c, "game_id", "slot", "part_id", "source_id", "updated_at")).cast("double")
     return pm.select("role", rank("kills").alias("x"), rank("placement").alias("y")).groupBy("role").agg(js_round(pearson("x", "y"), 4).alias("rho"))
 
@@ -127,11 +131,15 @@ def top_two_roles(spark, sf_dir):
     return top.groupBy("uid").agg(F.array_join(F.transform(ordered, lambda x: x["role"].cast("string")), ">").alias("roles"))
 
 
-@query(f"""WITH {PM}, c AS (SELECT character_num, weapon, count(*) n FROM pm GROUP BY 1, 2) SELECT character_num, weapon, n, CASE WHEN n < 10 THEN 5.0 WHEN n < 30 THEN 3.0 ELSE 1.0 END * CASE WHEN character_num % 4 = 0 THEN 1.5 ELSE 1 END w FROM c ORDER BY w DESC, n, character_num, weapon LIMIT 40""")
+@query(f"""WITH {PM}, c AS (SELECT character_num, weapon, count(*) n FROM pm GROUP BY 1, 2) SELECT character_num, weapon, n, CASE WHEN n < 30 THEN 1000.0 WHEN n < 100 THEN 200.0 WHEN n < 300 THEN 50.0 ELSE 1.0 END * CASE WHEN (character_num + weapon) % 7 >= 5 THEN 1.5 ELSE 1 END w FROM c ORDER BY w DESC, n, character_num, weapon LIMIT 40""")
 def rarest_combos(spark, sf_dir):
-    """The forty combinations with most need of samples."""
+    """The forty combinations with most need of samples; tanks and supporters count more."""
     c = player_match(spark, sf_dir).groupBy("character_num", "weapon").agg(F.count(F.lit(1)).alias("n"))
-    w = F.when(F.col("n") < 10, 5.0).when(F.col("n") < 30, 3.0).otherwise(1.0) * F.when(F.col("character_num") % 4 == 0, 1.5).otherwise(1.0)
+    weight = F.when(F.col("n") < COMBO_WEIGHTS[0][0], COMBO_WEIGHTS[0][1])
+    for bound, w in COMBO_WEIGHTS[1:]:
+        weight = weight.when(F.col("n") < bound, w)
+    role = F.element_at(F.array(*map(F.lit, ROLES)), ((F.col("character_num") + F.col("weapon")) % 7 + 1).cast("int"))
+    w = weight.otherwise(1.0) * F.when(role.isin(*COMBO_ROLES), COMBO_FACTOR).otherwise(1.0)
     return c.withColumn("w", w).orderBy(F.desc("w"), "n", "character_num", "weapon").limit(40)
 
 

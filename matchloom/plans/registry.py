@@ -10,26 +10,20 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None, whole: str | None = None, cut: str = ""):
-    """Registers a query under its function's name.
-
-    whole: a second name, for the same query over all rows: part=None, and the SQL without its filter cut."""
+def query(sql: str | None):
+    """Registers a query under its function's name."""
 
     def keep(f):
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
-        if whole:
-            assert sql.count(cut) == 1
-            _QUERIES[whole] = lambda spark, sf_dir: f(spark, sf_dir, part=None)
-            _SQL[whole] = sql.replace(cut, "")
         return f
 
     return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import aggregates, joins, ranking, rows, streams, tables, windows  # noqa: F401
+    from . import aggregates, joins, ranking, rows, scores, streams, tables, windows  # noqa: F401
 
     return dict(_QUERIES)
 

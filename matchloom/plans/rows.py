@@ -30,21 +30,21 @@ def match_metrics(spark, sf_dir):
     )
 
 
-@query(f"""WITH {PM}, s AS (SELECT {KEY}, placement, least(greatest(30 + 4 * kills + 2 * assists - 3 * deaths + coalesce(damage, 0) / 5000, 0), 100) s FROM pm WHERE season = 1999)
-SELECT {KEY}, {R4.format("s")} score, {R4.format("least(greatest(s + CASE WHEN placement = 1 AND s >= 50 THEN 4 WHEN placement <= 3 AND s >= 50 THEN 2 WHEN placement >= 7 AND s < 50 THEN -3 ELSE 0 END, 0), 100)")} adjusted FROM s""", "match_scores_all_seasons", " WHERE season = 1999")
-def match_scores(spark, sf_dir, part="season = 1999"):
-    """A weighted score with a gated placement bonus. Over one season, as in the SQL; match_scores_all_seasons has all."""
+@query(f"""WITH {PM}, s AS (SELECT {KEY}, placement, least(greatest(30 + 4 * kills + 2 * assists - 3 * deaths + coalesce(damage, 0) / 5000, 0), 100) s FROM pm)
+SELECT {KEY}, {R4.format("s")} score, {R4.format("least(greatest(s + CASE WHEN placement = 1 AND s >= 50 THEN 4 WHEN placement <= 3 AND s >= 50 THEN 2 WHEN placement >= 7 AND s < 50 THEN -3 ELSE 0 END, 0), 100)")} adjusted FROM s""")
+def match_scores(spark, sf_dir):
+    """A weighted score with a gated placement bonus."""
     c = F.col
     s = F.least(F.greatest(F.lit(30) + F.lit(4) * c("kills") + F.lit(2) * c("assists") - F.lit(3) * c("deaths") + F.coalesce("damage", F.lit(0.0)) / 5000, F.lit(0.0)), F.lit(100.0))
-    x = player_match(spark, sf_dir).where(part or "true").withColumn("s", s)
+    x = player_match(spark, sf_dir).withColumn("s", s)
     bonus = F.when((c("placement") == 1) & (c("s") >= 50), 4.0).when((c("placement") <= 3) & (c("s") >= 50), 2.0).when((c("placement") >= 7) & (c("s") < 50), -3.0).otherwise(0.0)
     return x.select(*KEY.split(", "), js_round(c("s"), 4).alias("score"), js_round(F.least(F.greatest(c("s") + bonus, F.lit(0.0)), F.lit(100.0)), 4).alias("adjusted"))
 
 
-@query(f"""WITH {PM} SELECT {KEY}, {R6.format("CASE WHEN duration / 60.0 <= 10 THEN 0.8 WHEN duration / 60.0 <= 15 THEN 0.8 + (duration / 60.0 - 10) * 0.03 WHEN duration / 60.0 <= 20 THEN 0.95 + (duration / 60.0 - 15) * 0.01 WHEN duration / 60.0 <= 25 THEN 1.0 + (duration / 60.0 - 20) * 0.03 ELSE 1.15 END")} multiplier FROM pm WHERE season = 1996""", "duration_multiplier_all_seasons", " WHERE season = 1996")
-def duration_multiplier(spark, sf_dir, part="season = 1996"):
-    """A piecewise-linear curve over the minute. Over one season, as in the SQL; duration_multiplier_all_seasons has all."""
-    pm = player_match(spark, sf_dir).where(part or "true")
+@query(f"""WITH {PM} SELECT {KEY}, {R6.format("CASE WHEN duration / 60.0 <= 10 THEN 0.8 WHEN duration / 60.0 <= 15 THEN 0.8 + (duration / 60.0 - 10) * 0.03 WHEN duration / 60.0 <= 20 THEN 0.95 + (duration / 60.0 - 15) * 0.01 WHEN duration / 60.0 <= 25 THEN 1.0 + (duration / 60.0 - 20) * 0.03 ELSE 1.15 END")} multiplier FROM pm""")
+def duration_multiplier(spark, sf_dir):
+    """A piecewise-linear curve over the minute."""
+    pm = player_match(spark, sf_dir)
     return pm.select(*KEY.split(", "), js_round(interpolate(F.col("duration") / F.lit(60.0), CURVE), 6).alias("multiplier"))
 
 
@@ -53,11 +53,11 @@ def tier_ladder(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy(tier_of(F.col("c_acctbal")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(lower(trim(role))) >= 2 THEN lower(trim(role)) END nick, left(trim(text), 20) head, length(text) n FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN length(lower(trim(role))) >= 2 THEN lower(trim(role)) END nick, trim(text) body, length(text) n FROM conversations")
 def normalized_names(spark, sf_dir):
     from matchloom.functions.core import nickname
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", nickname(F.col("role")).alias("nick"), F.substring(F.trim("text"), 1, 20).alias("head"), F.length("text").cast("long").alias("n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", nickname(F.col("role")).alias("nick"), F.trim("text").alias("body"), F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') kst_day, CAST(month(ts + INTERVAL 9 HOUR) AS VARCHAR) || '. ' || CAST(day(ts + INTERVAL 9 HOUR) AS VARCHAR) || '.' kst_label, CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 3600 THEN 'now' WHEN epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 86400 THEN 'today' ELSE CAST(floor((epoch(TIMESTAMP '2024-02-01') - epoch(ts)) / 86400) AS INT) || 'd' END age FROM events")
@@ -92,17 +92,15 @@ def hashed_identities(spark, sf_dir):
     return c.select("c_custkey", stable_hash(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("h"), F.concat(F.lit("uid_"), F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 10)).alias("short"))
 
 
-@query(f"""WITH {PM}, a AS (SELECT uid, list(kills ORDER BY game_id, slot, part_id, source_id, kills) l FROM pm WHERE season = 1997 GROUP BY 1) SELECT uid, len(l) n, len(list_filter(l, lambda x: x > 5)) high, array_to_string(list_distinct(list_sort(l)), ',') IS NOT NULL ok, CAST(list_sum(l) AS BIGINT) total, l[1] AS first FROM a""", "array_profiles_all_seasons", " WHERE season = 1997")
-def array_profiles(spark, sf_dir, part="season = 1997"):
-    """Over one season, as in the SQL; array_profiles_all_seasons has all."""
-    g = player_match(spark, sf_dir).where(part or "true").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("game_id", "slot", "part_id", "source_id", "kills"))).alias("s"))
+@query(f"""WITH {PM}, a AS (SELECT uid, list(kills ORDER BY game_id, slot, part_id, source_id, kills) l FROM pm GROUP BY 1) SELECT uid, len(l) n, len(list_filter(l, lambda x: x > 5)) high, CAST(list_sum(l) AS BIGINT) total, l[1] AS first FROM a""")
+def array_profiles(spark, sf_dir):
+    g = player_match(spark, sf_dir).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("game_id", "slot", "part_id", "source_id", "kills"))).alias("s"))
     k = F.transform("s", lambda x: x["kills"])
-    return g.select("uid", F.size("s").cast("long").alias("n"), F.size(F.filter(k, lambda x: x > 5)).cast("long").alias("high"), F.lit(True).alias("ok"), F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("s")[0]["kills"].alias("first"))
+    return g.select("uid", F.size("s").cast("long").alias("n"), F.size(F.filter(k, lambda x: x > 5)).cast("long").alias("high"), F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("s")[0]["kills"].alias("first"))
 
 
-@query(f"""WITH {PM} SELECT {KEY}, CASE WHEN damage IS NULL THEN 'missing' WHEN weapon = 0 THEN 'unknown_weapon' WHEN team_kills = 0 THEN 'no_team_kills' ELSE 'complete' END reason, CASE WHEN deaths IS NULL THEN NULL ELSE {R4.format("coalesce(damage, 0) / (1 + greatest(0, deaths))")} END tanking FROM pm WHERE season = 2000""", "evidence_gates_all_seasons", " WHERE season = 2000")
-def evidence_gates(spark, sf_dir, part="season = 2000"):
-    """Over one season, as in the SQL; evidence_gates_all_seasons has all."""
+@query(f"""WITH {PM} SELECT {KEY}, CASE WHEN damage IS NULL THEN 'missing' WHEN weapon = 0 THEN 'unknown_weapon' WHEN team_kills = 0 THEN 'no_team_kills' ELSE 'complete' END reason, CASE WHEN deaths IS NULL THEN NULL ELSE {R4.format("coalesce(damage, 0) / (1 + greatest(0, deaths))")} END tanking FROM pm""")
+def evidence_gates(spark, sf_dir):
     reason = F.when(F.col("damage").isNull(), "missing").when(F.col("weapon") == 0, "unknown_weapon").when(F.col("team_kills") == 0, "no_team_kills").otherwise("complete")
     tank = F.coalesce("damage", F.lit(0.0)) / (F.lit(1) + F.greatest(F.lit(0).cast("long"), F.col("deaths")))
-    return player_match(spark, sf_dir).where(part or "true").select(*KEY.split(", "), reason.alias("reason"), js_round(tank, 4).alias("tanking"))
+    return player_match(spark, sf_dir).select(*KEY.split(", "), reason.alias("reason"), js_round(tank, 4).alias("tanking"))

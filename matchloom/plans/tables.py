@@ -202,11 +202,11 @@ def candidate_union(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-@query(f"""WITH {PM}, g AS (SELECT uid, string_agg(game_id, '|' ORDER BY game_id) games, count(*) n FROM (SELECT DISTINCT uid, game_id FROM pm WHERE season = 2000) GROUP BY 1)
-SELECT sha256(games) fingerprint, min(uid) first_uid, count(*) members, min(n) games FROM g GROUP BY 1""", "identical_list_clusters_all_seasons", " WHERE season = 2000")
-def identical_list_clusters(spark, sf_dir, part="season = 2000"):
-    """Players with the very same list of games. Over one season, as in the SQL; identical_list_clusters_all_seasons has all."""
-    g = player_match(spark, sf_dir).where(part or "true").select("uid", "game_id").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("game_id")).alias("l"))
+@query(f"""WITH {PM}, g AS (SELECT uid, string_agg(game_id, '|' ORDER BY game_id) games, count(*) n FROM (SELECT DISTINCT uid, game_id FROM pm) GROUP BY 1)
+SELECT sha256(games) fingerprint, min(uid) first_uid, count(*) members, min(n) games FROM g GROUP BY 1""")
+def identical_list_clusters(spark, sf_dir):
+    """Players with the very same list of games."""
+    g = player_match(spark, sf_dir).select("uid", "game_id").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("game_id")).alias("l"))
     g = g.select("uid", F.sha2(F.array_join(F.col("l").cast("array<string>"), "|"), 256).alias("fingerprint"), F.size("l").cast("long").alias("n"))
     return g.groupBy("fingerprint").agg(F.min("uid").alias("first_uid"), F.count(F.lit(1)).alias("members"), F.min("n").alias("games"))
 

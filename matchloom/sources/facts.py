@@ -34,7 +34,10 @@ def player_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same columns for DuckDB, as the common table expression pm.
-TIER_SQL = "CASE WHEN {0} >= 7000 THEN 'mythril' WHEN {0} >= 6000 THEN 'diamond' WHEN {0} >= 4500 THEN 'platinum' WHEN {0} >= 3000 THEN 'gold' WHEN {0} >= 1500 THEN 'silver' ELSE 'bronze' END"
+TIER_SQL = (
+    "CASE WHEN {0} IS NULL OR {0} <= 0 THEN 'unranked' WHEN {0} >= 7600 THEN 'mithril_plus' WHEN {0} >= 6400 THEN 'meteorite_plus' WHEN {0} >= 5000 THEN 'diamond_plus' "
+    "WHEN {0} >= 3600 THEN 'platinum' WHEN {0} >= 2400 THEN 'gold' WHEN {0} >= 1400 THEN 'silver' WHEN {0} >= 600 THEN 'bronze' ELSE 'iron' END"
+)
 PM = f"""pm AS (SELECT o_custkey uid, l_orderkey game_id, l_linenumber slot, l_linenumber % 3 team_number, l_partkey % 50 character_num, l_suppkey % 8 weapon,
  l_linenumber placement, CAST(floor(l_quantity) AS BIGINT) % 13 kills, l_suppkey % 7 deaths, l_partkey % 11 assists,
  CAST(floor(l_quantity) AS BIGINT) % 13 + l_partkey % 5 team_kills, CASE WHEN l_partkey % 17 <> 0 THEN l_extendedprice END damage,

@@ -57,7 +57,7 @@ def test_shared_games_of_all_players(spark, sf):
     for r in player_match(spark, sf).select("source_id", "game_id").distinct().collect():
         games.setdefault(r.source_id, set()).add(r.game_id)
     brute = {(a, b): n for a, b in combinations(sorted(games), 2) if (n := len(games[a] & games[b])) >= 2}
-    got = {(r.a, r.b): r.shared for r in registry.queries()["shared_games_all_players"](spark, sf).collect()}
+    got = {(r.a, r.b): r.shared for r in registry.queries()["shared_games"](spark, sf).collect()}
     assert got == brute and any(a % 10 for a, _ in brute)
 
 
@@ -65,5 +65,5 @@ def test_shared_games_of_all_players(spark, sf):
 def test_every_match_of_every_season_has_a_row(spark, sf, name):
     from matchloom.sources.facts import player_match
 
-    got = registry.queries()[f"{name}_all_seasons"](spark, sf).select("game_id", "slot", "part_id", "source_id").collect()
+    got = registry.queries()[name](spark, sf).select("game_id", "slot", "part_id", "source_id").collect()
     assert sorted(got) == sorted(player_match(spark, sf).select("game_id", "slot", "part_id", "source_id").collect())
