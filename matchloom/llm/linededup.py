@@ -1,17 +1,16 @@
 """Line dedup by site-relative frequency.
 
-For every host, the pages that contain a line are divided by all pages of the host; lines over the ratio are boilerplate
-of that host and are dropped from its pages. Lines are compared without the white space around them; empty lines stay.
-Exact copies of a page count once among the pages that contain a line, so that a page's copies do not turn its own
-lines into boilerplate; hosts' page totals count them once as well. Only op6_line_dedup's totals count all rows, as its SQL
-does, so where a host holds copies it drops fewer lines; the pipeline and dedup_lines drop by different texts.
+For every host, the different pages that contain a line are divided by the different pages of the host; lines over the ratio
+are boilerplate of that host and are dropped from its pages. Exact copies of a page are one page on both sides, so that
+they neither turn their own lines into boilerplate nor hide it. Lines are compared without the white space around them;
+empty lines stay. A line on one page alone repeats nothing and stays, however few pages the host has.
 
 Tasks count the lines of their documents before anything is shuffled, so a hot host or line arrives as one row from each
-task. Lines travel as 64-bit hashes of host and line. The lines to drop are sent to the executors in blocks of bounded
-size, one pass over the documents for each.
+task. Lines travel as 64-bit hashes of host and line. Up to a fixed number, which is counted first, the lines to drop are
+broadcast; beyond it they are joined with the lines of the documents, so that their number is not bounded by a machine.
 
-Rows without host have no site and stay as they are. Null texts stay null; a page that held boilerplate alone becomes
-empty. Repeated rows are treated alike.
+Rows without host have no site and stay as they are. Null texts are no pages and stay null; a page that held boilerplate alone
+becomes empty. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_batches, read, replace_column, shared_dir, written
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Hashes in a block of lines to drop: 16 MB.
-BLOCK_LINES = 2_000_000
+#: Line hashes that are broadcast at most: 16 MB.
+MOST_LINES = 2_000_000
 
 
 def line_hash(host: bytes, line: bytes) -> int:
@@ -52,21 +51,25 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 
         return apply
 
-    pages = docs.select(F.col(host).cast("string").alias("host"), "text").where("host is not null")
-    return map_batches(pages, make, "host string, line long, pages long").groupBy("host", "line").agg(F.sum("pages").alias("pages"))
+    return map_batches(pages_of(docs, host), make, "host string, line long, pages long").groupBy("host", "line").agg(F.sum("pages").alias("pages"))
 
 
-def distinct_counts(docs: DataFrame, lines: np.ndarray, host: str = "source") -> DataFrame:
-    """host, line, pages for the given line hashes: the different texts that contain each."""
-    wanted = docs.sparkSession.sparkContext.broadcast(lines)
+def pages_of(docs: DataFrame, host: str) -> DataFrame:
+    return docs.select(F.col(host).cast("string").alias("host"), "text").where("host is not null and text is not null")
+
+
+def line_pages(docs: DataFrame, host: str, lines: np.ndarray | None) -> DataFrame:
+    """host, line, page: the line hashes of each page, a page being the hash of its text; with lines only those."""
+    wanted = None if lines is None else docs.sparkSession.sparkContext.broadcast(lines)
 
     def make():
-        found = frozenset(wanted.value.tolist())
+        found = None if wanted is None else frozenset(wanted.value.tolist())
 
         def apply(batch):
             rows: set = set()
             for h, text in zip(as_bytes(batch.column("host")), as_bytes(batch.column("text"))):
-                own = {k for x in set(stripped(text)) if x and (k := line_hash(h, x)) in found}
+                own = {line_hash(h, x) for x in stripped(text) if x}
+                own = own if found is None else own & found
                 if own:
                     page = line_hash(b"", text)
                     rows.update((h, k, page) for k in own)
@@ -74,8 +77,22 @@ def distinct_counts(docs: DataFrame, lines: np.ndarray, host: str = "source") ->
 
         return apply
 
-    pages = docs.select(F.col(host).cast("string").alias("host"), "text").where("host is not null")
-    return map_batches(pages, make, "host string, line long, page long").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    return map_batches(pages_of(docs, host), make, "host string, line long, page long")
+
+
+def few(lines: DataFrame, most: int) -> np.ndarray | None:
+    """The hashes of a written one-column table, sorted, or None if there are more than most."""
+    if lines.limit(most + 1).count() > most:
+        return None
+    return np.unique(lines.toPandas()["line"].to_numpy(np.int64))
+
+
+def distinct_counts(docs: DataFrame, lines: DataFrame, host: str = "source", most: int = MOST_LINES) -> DataFrame:
+    """host, line, pages for the given line hashes: the different texts that contain each."""
+    wanted = few(lines, most)
+    rows = line_pages(docs, host, wanted)
+    rows = rows if wanted is not None else rows.join(lines.distinct(), "line", "left_semi").select("host", "line", "page")
+    return rows.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def over_ratio(counts: DataFrame, totals: DataFrame, ratio: float, least_pages: int) -> DataFrame:
@@ -83,62 +100,80 @@ def over_ratio(counts: DataFrame, totals: DataFrame, ratio: float, least_pages:
     return kept.join(totals, "host").where(F.col("pages") > F.lit(ratio) * F.col("total")).select("line")
 
 
-def line_blocks(lines: DataFrame, block_lines: int = BLOCK_LINES):
-    """The hashes of a one-column table in sorted arrays of bounded size."""
-    n = lines.count()
-    parts = max(1, -(-2 * n // block_lines)) if n > block_lines else 1
-    for k in range(parts if n else 0):
-        # The table is partitioned by hash already; a block reads the lines whose hash falls into it.
-        rows = lines.where(F.pmod(F.col("line"), F.lit(parts)) == k).toPandas()["line"].to_numpy(np.int64)
-        yield np.unique(rows)
-
-
-def host_totals(docs: DataFrame, host: str = "source", copies: bool = False) -> DataFrame:
-    """host, total: the different texts of each host, or with copies all its rows."""
-    pages = docs.select(F.col(host).cast("string").alias("host"), *([] if copies else [F.xxhash64("text").alias("page")])).where("host is not null")
-    return (pages if copies else pages.distinct()).groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+def host_totals(docs: DataFrame, host: str = "source") -> DataFrame:
+    """host, total: the different texts of each host."""
+    return pages_of(docs, host).select("host", F.xxhash64("text").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, block_lines: int = BLOCK_LINES, copies: bool = False) -> DataFrame:
-    """The hashes of the lines to drop, as a written one-column table. copies: totals count all rows."""
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 2, most: int = MOST_LINES) -> DataFrame:
+    """The hashes of the lines to drop, as a written one-column table."""
     folder = shared_dir(docs.sparkSession)
-    totals = host_totals(docs, host, copies)
+    totals = written(host_totals(docs, host), folder, "totals")
     # Counts of rows are never below counts of different texts, so this finds every line that may be dropped.
     rough = written(over_ratio(line_counts(docs, host), totals, ratio, least_pages), folder, "rough")
-    exact = None
-    for block in line_blocks(rough, block_lines):
-        part = over_ratio(distinct_counts(docs, block, host), totals, ratio, least_pages)
-        exact = part if exact is None else exact.unionByName(part)
-    return written(exact if exact is not None else rough, folder, "lines")
+    return written(over_ratio(distinct_counts(docs, rough, host, most), totals, ratio, least_pages), folder, "lines")
 
 
-def drop_lines(docs: DataFrame, lines: DataFrame, host: str = "source", block_lines: int = BLOCK_LINES) -> DataFrame:
+def without(text: bytes, host: bytes, found) -> bytes:
+    rows = text.split(b"\n")
+    keep = [x for x in rows if not (y := x.strip(SPACE)) or line_hash(host, y) not in found]
+    return b"\n".join(keep) if len(keep) < len(rows) else text
+
+
+def drop_lines(docs: DataFrame, lines: DataFrame, host: str = "source", most: int = MOST_LINES) -> DataFrame:
     """docs without the given lines of their hosts."""
-    for block in line_blocks(lines, block_lines):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    known = few(lines, most)
+    if known is None:
+        return _drop_by_join(docs, lines, host)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def make():
+        found = frozenset(sent.value.tolist())
+
+        def values(batch):
+            both = zip(as_bytes(batch.column(host).cast("string")), as_bytes(batch.column("text")))
+            return [text if text is None else (without(text, h, found) if h is not None else text).decode() for h, text in both]
+
+        return values
+
+    return replace_column(docs, "text", make)
+
+
+def _drop_by_join(docs: DataFrame, lines: DataFrame, host: str) -> DataFrame:
+    """The same for any number of lines: each row's own lines to drop come by a join on the line hash."""
+    folder = shared_dir(docs.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(host).cast("string").alias("host"), "text", row), folder, "rows")
+
+    def make():
+        def apply(batch):
+            out: dict[str, list] = {"rid": [], "line": []}
+            for rid, h, text in zip(batch.column("rid").to_pylist(), as_bytes(batch.column("host")), as_bytes(batch.column("text"))):
+                own = {line_hash(h, x) for x in stripped(text) if x}
+                out["rid"] += [rid] * len(own)
+                out["line"] += own
+            return out
+
+        return apply
 
-        def make(sent=sent):
-            found = frozenset(sent.value.tolist())
+    own = map_batches(numbered.select("rid", "host", "text").where("host is not null and text is not null"), make, "rid long, line long")
+    drop = own.join(lines.distinct(), "line", "left_semi").groupBy("rid").agg(F.collect_list("line").alias("drop"))
+    joined = numbered.join(drop, "rid", "left").select("row", "host", "text", "drop")
 
-            def values(batch):
-                out = []
-                for h, text in zip(as_bytes(batch.column(host).cast("string")), as_bytes(batch.column("text"))):
-                    if h is not None and text:
-                        rows = text.split(b"\n")
-                        keep = [x for x in rows if not (y := x.strip(SPACE)) or line_hash(h, y) not in found]
-                        text = b"\n".join(keep) if len(keep) < len(rows) else text
-                    out.append(None if text is None else text.decode())
-                return out
+    def cut():
+        def values(batch):
+            rows = zip(as_bytes(batch.column("host")), as_bytes(batch.column("text")), batch.column("drop").to_pylist())
+            return [None if text is None else (without(text, h, frozenset(d)) if d else text).decode() for h, text, d in rows]
 
-            return values
+        return values
 
-        docs = replace_column(docs, "text", make)
-    return docs
+    changed = replace_column(joined, "text", cut)
+    return changed.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 2, most: int = MOST_LINES) -> DataFrame:
     """The rows of docs, with all their columns, their text without the boilerplate of their host."""
-    return drop_lines(docs, boilerplate(docs, host, ratio, least_pages, copies=copies), host)
+    return drop_lines(docs, boilerplate(docs, host, ratio, least_pages, most), host, most)
 
 
 def n_lines(column: str):
@@ -148,14 +183,14 @@ def n_lines(column: str):
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", n_lines("text").alias("n_lines"))
-    return dedup_lines(docs, copies=True).select("doc_id", "source", "n_lines", (F.col("n_lines") - n_lines("text")).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return dedup_lines(docs).select("doc_id", "source", "n_lines", (F.col("n_lines") - n_lines("text")).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, source, text, trim(x, E' \t\n\v\f\r') k, x, i FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i FROM documents)),
-t AS (SELECT source, count(*) n FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT source, count(DISTINCT text) n FROM documents WHERE source IS NOT NULL GROUP BY 1),
 g AS (SELECT source, k, count(DISTINCT text) c FROM l WHERE k <> '' AND source IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT source, k FROM g JOIN t USING (source) WHERE c >= 5 AND c > 0.1 * n),
+b AS (SELECT source, k FROM g JOIN t USING (source) WHERE c >= 2 AND c > 0.1 * n),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) s FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source = l.source AND b.k = l.k) GROUP BY 1)
 SELECT doc_id, source, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) n_lines,
        CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END - CASE WHEN coalesce(s, '') = '' THEN 0 ELSE len(string_split(s, chr(10))) END AS BIGINT) n_dropped,

@@ -76,8 +76,7 @@ def test_line_dedup_equals_sql(spark, small):
 def test_line_dedup_odd_rows(spark):
     pages = [f"menu\n text {i} \n footer" for i in range(10)] + ["own\nlines"] * 30 + ODD
     docs = frame(spark, pages, lambda i: None if i == 3 else "a")
-    lines = linededup.boilerplate(docs, least_pages=5)
-    got = {r.doc_id: r.text for r in linededup.drop_lines(docs, lines, block_lines=1).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, most=0).collect()}
     assert got == {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     assert got[0] == " text 0 " and got[3] == pages[3]
     # copies of a page are no boilerplate
@@ -91,8 +90,16 @@ def test_line_dedup_host_of_copies(spark):
     got = {r.text for r in linededup.dedup_lines(frame(spark, pages)).collect()}
     assert got == {"one page"} | {f"text {i}" for i in range(80)}
     few = [f"text {i}\nfooter" for i in range(4)]
-    assert {r.text for r in linededup.dedup_lines(frame(spark, few)).collect()} == set(few)
-    assert {r.text for r in linededup.dedup_lines(frame(spark, few), least_pages=2).collect()} == {f"text {i}" for i in range(4)}
+    assert {r.text for r in linededup.dedup_lines(frame(spark, few)).collect()} == {f"text {i}" for i in range(4)}
+    assert {r.text for r in linededup.dedup_lines(frame(spark, few[:1] * 9)).collect()} == {few[0]}
+
+
+def test_line_dedup_by_join_equals_broadcast(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = lambda df: sorted((r.doc_id, r.text or "", r.source) for r in df.collect())
+    assert rows(linededup.dedup_lines(docs, most=0)) == rows(linededup.dedup_lines(docs))
+    odd = frame(spark, ODD).withColumnRenamed("rid", "drop")
+    assert rows(linededup.dedup_lines(odd, most=0)) == rows(linededup.dedup_lines(odd)) and linededup.dedup_lines(odd, most=0).columns == odd.columns
 
 
 def brute_classes(texts):
