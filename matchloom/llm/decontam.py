@@ -189,28 +189,28 @@ def numbered(texts: list[bytes | None], vocabulary: dict[bytes, int]) -> list[np
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs (with a string column text) with further columns: _words, _spans (word ranges inside windows) and _items."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    columns = docs.columns
-    found = docs
-    more = "_words long, _spans array<struct<a:long,b:long>>, _items array<string>"
+    """row (a struct of the columns of docs, which has a string column text), words (their number), spans (word ranges inside
+    windows) and items. The struct keeps names of docs apart from these."""
+    row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = packed
     for block in benchmark_blocks(benchmark, window, block_bytes):
-        seen = found is not docs
+        seen = found is not packed
 
         def make(block=block, seen=seen):
             part = block.value
 
             def apply(batch):
-                numbers = numbered(as_bytes(batch.column("text")), part.vocabulary)
+                numbers = numbered(as_bytes(batch.column("row").field("text")), part.vocabulary)
                 spans, items = shard_hits(Shard(numbers, part.least, part.longest), part) if part.names else ([[]] * len(numbers), [[]] * len(numbers))
                 if seen:
-                    spans = [merge(x + [(s["a"], s["b"]) for s in y]) for x, y in zip(spans, batch.column("_spans").to_pylist())]
-                    items = [sorted({*x, *y}) for x, y in zip(items, batch.column("_items").to_pylist())]
-                return {c: batch.column(c) for c in columns} | {"_words": list(map(len, numbers)), "_spans": [[{"a": a, "b": b} for a, b in x] for x in spans], "_items": items}
+                    spans = [merge(x + [(s["a"], s["b"]) for s in y]) for x, y in zip(spans, batch.column("spans").to_pylist())]
+                    items = [sorted({*x, *y}) for x, y in zip(items, batch.column("items").to_pylist())]
+                return {"row": batch.column("row"), "words": list(map(len, numbers)), "spans": [[{"a": a, "b": b} for a, b in x] for x in spans], "items": items}
 
             return apply
 
-        found = map_batches(found, make, f"{ddl}, {more}")
+        found = map_batches(found, make, f"row struct<{row}>, words long, spans array<struct<a:long,b:long>>, items array<string>")
     return found
 
 
@@ -247,15 +247,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns."""
-    return find_windows(docs, benchmark, window).where(F.size("_items") == 0).select(*docs.columns)
+    return find_windows(docs, benchmark, window).where(F.size("items") == 0).select("row.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_windows(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return found.select(
-        "doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        F.col("row.doc_id").alias("doc_id"), F.col("words").alias("n_words"), hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 

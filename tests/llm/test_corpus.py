@@ -39,13 +39,16 @@ def test_decontamination_blocks_and_odd_rows(spark, small):
     first = bench.orderBy("item_id").first().text
     docs = frame(spark, [*ODD, f"zz {first} yy", first.upper(), "b a c a b"])
     bench = bench.unionByName(spark.createDataFrame([(None, "a b"), (-1, None), (-2, ""), (-3, "b a"), (0, "one two")], "item_id long, text string"))
-    one = {r.doc_id: (r._words, r._spans, r._items) for r in decontam.find_windows(docs, bench).collect()}
-    many = {r.doc_id: (r._words, r._spans, r._items) for r in decontam.find_windows(docs, bench, block_bytes=700).collect()}
+    one = {r.row.doc_id: (r.words, r.spans, r.items) for r in decontam.find_windows(docs, bench).collect()}
+    many = {r.row.doc_id: (r.words, r.spans, r.items) for r in decontam.find_windows(docs, bench, block_bytes=700).collect()}
     assert one == many
     assert one[len(ODD)][2] == ["0"] and one[len(ODD) + 1][2] == ["0"]
     assert one[4] == one[5] == (2, [(0, 2)], ["0"])
     assert one[len(ODD) + 2][2] == ["", "-3"]
     assert one[0] == (0, [], [])
+    clashing = docs.selectExpr("*", "1 as items", "'x' as `row`", "2 as spans", "3 as words", "4 as _items", "text as `a b`")
+    kept = decontam.clean_documents(clashing, bench)
+    assert kept.columns == clashing.columns and {r["row"] for r in kept.collect()} == {"x"}
     kept = decontam.clean_documents(docs, bench)
     assert kept.columns == docs.columns and 0 in [r.doc_id for r in kept.collect()]
     assert decontam.find_windows(docs, bench.limit(0)).count() == docs.count()
