@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import aggregates, joins, ranking, rows, scores, streams, tables, windows  # noqa: F401
+    from . import aggregates, history, joins, ranking, rows, scores, streams, tables, windows  # noqa: F401
 
     return dict(_QUERIES)
 
