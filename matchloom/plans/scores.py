@@ -36,9 +36,9 @@ def expected_metrics(rows: DataFrame) -> DataFrame:
     of means comes from those sums."""
     measures = ("damage", "kills", "assists", "team_kills", "deaths", "vision", "monster")
     cells = rows.groupBy("tier", "character_num", "weapon", "role", "bucket", "victory").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s_{c}") for c in measures), *(F.count(c).alias(f"c_{c}") for c in measures)
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(14,2)")).cast("double").alias(f"s_{c}") for c in measures), *(F.count(c).alias(f"c_{c}") for c in measures)
     )
-    mean = lambda c: F.try_divide(F.sum(f"s_{c}"), F.sum(f"c_{c}"))
+    mean = lambda c: F.try_divide(F.sum(F.col(f"s_{c}").cast("decimal(24,2)")).cast("double"), F.sum(f"c_{c}"))
     levels = [["tier", "character_num", "weapon"], ["tier", "character_num"], ["tier", "role"], ["tier"]]
     x = first_level(rows, cells.where("victory"), levels, [mean(c).alias(f"b_{c}") for c in measures], (LEAST_BASELINE,), F.col("weapon") > 0, F.sum("n"))
     stretched = ("damage", "deaths", "vision", "monster")
@@ -115,8 +115,9 @@ def match_grade_rows(spark, sf_dir: str) -> DataFrame:
 ROLE_LIST = "['평타 딜러', '스증 딜러', '암살자', '평타 브루저', '스증 브루저', '탱커', '서포터']"
 SCORED = f"""rk AS (SELECT * EXCLUDE (role), {ROLE_LIST}[part_id % 7 + 1] AS role, CASE WHEN source_id % 13 <> 0 THEN CAST(part_id % 40 AS DOUBLE) END vision, CAST((part_id + source_id) % 30 AS DOUBLE) monster,
  CASE WHEN duration / 60.0 >= 30 THEN '30+' WHEN duration / 60.0 >= 25 THEN '25-30' WHEN duration / 60.0 >= 20 THEN '20-25' WHEN duration / 60.0 >= 15 THEN '15-20' ELSE '<15' END bucket FROM pm WHERE game_mode = 'rank')"""
-BASE = "count(*) n, avg(damage) bd, avg(kills) bk, avg(assists) ba, avg(team_kills) bt, avg(deaths) bx, avg(vision) bv, avg(monster) bm"
-MULT = "count(*) n, avg(damage) d, avg(deaths) x, avg(vision) v, avg(monster) m"
+DAMAGE = "CAST(sum(CAST(damage AS DECIMAL(14, 2))) AS DOUBLE) / count(damage)"
+BASE = f"count(*) n, {DAMAGE} bd, avg(kills) bk, avg(assists) ba, avg(team_kills) bt, avg(deaths) bx, avg(vision) bv, avg(monster) bm"
+MULT = f"count(*) n, {DAMAGE} d, avg(deaths) x, avg(vision) v, avg(monster) m"
 
 
 def _relative(actual: str, expected: str, sign: str = "") -> str:
@@ -262,7 +263,7 @@ SNAP = f"""{PM}, rl AS (SELECT *, {ROLE_LIST}[part_id % 7 + 1] AS role7 FROM pm
 md AS (SELECT uid, character_num, rp_after FROM (SELECT uid, character_num, rp_after, row_number() OVER (PARTITION BY uid, character_num ORDER BY rp_after) - 1 i, count(*) OVER (PARTITION BY uid, character_num) n FROM rl WHERE rp_after > 0) WHERE i = n // 2),
 bn AS (SELECT uid, character_num, rp_after, CASE WHEN rp_after >= 7600 THEN 'mithril' WHEN rp_after >= 6400 THEN 'meteorite' WHEN rp_after >= 5000 THEN 'diamond' WHEN rp_after >= 3600 THEN 'platinum' WHEN rp_after >= 1400 THEN 'silver_gold' ELSE 'iron_bronze' END band FROM md),
 sn AS (SELECT uid, character_num, count(*) matches, {R2.format("avg(placement)")} average_placement, {R2.format("100.0 * count(*) FILTER (victory) / count(*)")} win_rate, {R2.format("100.0 * count(*) FILTER (placement <= 3) / count(*)")} top3_rate,
- {R2.format("avg(kills)")} average_kills, {R2.format("avg(deaths)")} average_deaths, {R2.format("100 * avg(CASE WHEN team_kills > 0 THEN least((kills + 0.7 * assists) / team_kills, 1.0) END)")} participation, {R2.format("avg(damage / (duration / 60.0))")} damage_per_minute, {R2.format("avg(duration)")} survival_time,
+ {R2.format("avg(kills)")} average_kills, {R2.format("avg(deaths)")} average_deaths, {R2.format("100 * avg(CASE WHEN team_kills > 0 THEN least((kills + 0.7 * assists) / team_kills, 1.0) END)")} participation, {R2.format("CAST(sum(CAST(damage / (duration / 60.0) AS DECIMAL(24, 6))) AS DOUBLE) / count(damage)")} damage_per_minute, {R2.format("avg(duration)")} survival_time,
  min(played_at) window_start, max(played_at) window_end FROM rl GROUP BY 1, 2)"""
 
 
@@ -274,7 +275,8 @@ def snapshots(spark, sf_dir: str) -> DataFrame:
     primary = roles.groupBy("uid", "character_num").agg(F.max_by("role", F.struct("c", "role")).alias("primary_role"))
     ordered = x.where("rp_after > 0").select("uid", "character_num", "rp_after", (F.row_number().over(w.orderBy("rp_after")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("k"))
     median = ordered.where("i = k div 2").select("uid", "character_num", F.col("rp_after").alias("median_rp"))
-    per = lambda c: F.avg(F.col(c) / (F.col("duration") / F.lit(60.0)))
+    # Six digits of each match are summed exactly, so that means on a rounding edge do not depend on the order.
+    per = lambda c: F.try_divide(F.sum((F.col(c) / (F.col("duration") / F.lit(60.0))).cast("decimal(24,6)")).cast("double"), F.count(c))
     r2 = lambda c: js_round(c, 2)
     s = x.groupBy("uid", "character_num").agg(
         F.count(F.lit(1)).alias("matches"), r2(F.avg("placement")).alias("average_placement"), r2(F.lit(100.0) * F.count_if("victory") / F.count(F.lit(1))).alias("win_rate"),
