@@ -263,7 +263,7 @@ SNAP = f"""{PM}, rl AS (SELECT *, {ROLE_LIST}[part_id % 7 + 1] AS role7 FROM pm
 md AS (SELECT uid, character_num, rp_after FROM (SELECT uid, character_num, rp_after, row_number() OVER (PARTITION BY uid, character_num ORDER BY rp_after) - 1 i, count(*) OVER (PARTITION BY uid, character_num) n FROM rl WHERE rp_after > 0) WHERE i = n // 2),
 bn AS (SELECT uid, character_num, rp_after, CASE WHEN rp_after >= 7600 THEN 'mithril' WHEN rp_after >= 6400 THEN 'meteorite' WHEN rp_after >= 5000 THEN 'diamond' WHEN rp_after >= 3600 THEN 'platinum' WHEN rp_after >= 1400 THEN 'silver_gold' ELSE 'iron_bronze' END band FROM md),
 sn AS (SELECT uid, character_num, count(*) matches, {R2.format("avg(placement)")} average_placement, {R2.format("100.0 * count(*) FILTER (victory) / count(*)")} win_rate, {R2.format("100.0 * count(*) FILTER (placement <= 3) / count(*)")} top3_rate,
- {R2.format("avg(kills)")} average_kills, {R2.format("avg(deaths)")} average_deaths, {R2.format("100 * avg(CASE WHEN team_kills > 0 THEN least((kills + 0.7 * assists) / team_kills, 1.0) END)")} participation, {R2.format("CAST(sum(CAST(damage / (duration / 60.0) AS DECIMAL(24, 6))) AS DOUBLE) / count(damage)")} damage_per_minute, {R2.format("avg(duration)")} survival_time,
+ {R2.format("avg(kills)")} average_kills, {R2.format("avg(deaths)")} average_deaths, {R2.format("100 * (CAST(sum(CAST(" + R6.format("CASE WHEN team_kills > 0 THEN least((kills + 0.7 * assists) / team_kills, 1.0) END") + " AS DECIMAL(12, 6))) AS DOUBLE) / nullif(count(*) FILTER (team_kills > 0), 0))")} participation, {R2.format("CAST(sum(CAST(damage / (duration / 60.0) AS DECIMAL(24, 6))) AS DOUBLE) / count(damage)")} damage_per_minute, {R2.format("avg(duration)")} survival_time,
  min(played_at) window_start, max(played_at) window_end FROM rl GROUP BY 1, 2)"""
 
 
@@ -277,11 +277,12 @@ def snapshots(spark, sf_dir: str) -> DataFrame:
     median = ordered.where("i = k div 2").select("uid", "character_num", F.col("rp_after").alias("median_rp"))
     # Six digits of each match are summed exactly, so that means on a rounding edge do not depend on the order.
     per = lambda c: F.try_divide(F.sum((F.col(c) / (F.col("duration") / F.lit(60.0))).cast("decimal(24,6)")).cast("double"), F.count(c))
+    ratio = js_round(participation_capped(F.col("kills"), F.col("assists"), F.col("team_kills")), 6)
     r2 = lambda c: js_round(c, 2)
     s = x.groupBy("uid", "character_num").agg(
         F.count(F.lit(1)).alias("matches"), r2(F.avg("placement")).alias("average_placement"), r2(F.lit(100.0) * F.count_if("victory") / F.count(F.lit(1))).alias("win_rate"),
         r2(F.lit(100.0) * F.count_if(F.col("placement") <= 3) / F.count(F.lit(1))).alias("top3_rate"), r2(F.avg("kills")).alias("average_kills"), r2(F.avg("deaths")).alias("average_deaths"),
-        r2(F.lit(100) * F.avg(participation_capped(F.col("kills"), F.col("assists"), F.col("team_kills")))).alias("participation"), r2(per("damage")).alias("damage_per_minute"), r2(F.avg("duration")).alias("survival_time"),
+        r2(F.lit(100) * F.try_divide(exact_sum(ratio, 6), F.count(ratio))).alias("participation"), r2(per("damage")).alias("damage_per_minute"), r2(F.avg("duration")).alias("survival_time"),
         F.min("played_at").alias("window_start"), F.max("played_at").alias("window_end"),
     )
     s = s.join(primary, ["uid", "character_num"], "left").join(median, ["uid", "character_num"], "left")
