@@ -122,8 +122,50 @@ class Encoder:
         return out + self._encode(part)
 
 
+#: The fixed pattern of lower-casing vocabularies with word ends, for lower-cased text of those letters; what it leaves out is dropped.
+_FOLDED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
+#: White space for str.split, but none for the library.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACES = regex.compile(r"\p{White_Space}+")
+
+
+class FoldedEncoder(Encoder):
+    """For vocabularies that lower-case, drop white space and mark word ends: no word crosses white space, so that a plain text is its
+    pattern's words, and any other text is cut at white space and each distinct piece encoded once."""
+
+    def _ids(self, words: list[list[str]]):
+        known = self.words
+        for w in set().union(*words).difference(known):
+            known[w] = self._word(w)
+        get = known.__getitem__
+        out = [b"".join(map(get, x)) for x in words]
+        if len(known) > self.most:
+            self.words = {w: known[w] for x in words for w in x}
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain, other = [], {}
+        for i, t in enumerate(texts):
+            if _PLAIN.match(t) and not ("<" in t and self.added.search(t)):
+                plain.append(i)
+            else:
+                other[i] = [x for x in (_SPACES.split(t) if _SEPARATORS.search(t) else t.split()) if x]
+        for i, ids in zip(plain, self._ids([_FOLDED.findall(texts[i].lower()) for i in plain])):
+            out[i] = ids
+        pieces = set().union(*other.values())
+        single = [x for x in pieces if _PLAIN.match(x) and not ("<" in x and self.added.search(x))]
+        known = dict(zip(single, self._ids([_FOLDED.findall(x.lower()) for x in single])))
+        odd = list(pieces.difference(known))
+        known.update(zip(odd, self._whole(odd)))
+        for i, x in other.items():
+            out[i] = b"".join(map(known.__getitem__, x))
+        return out
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        kind = Encoder(path)
+        _ENCODERS[path] = FoldedEncoder(path) if getattr(kind.tokenizer.model, "end_of_word_suffix", None) else kind
     return _ENCODERS[path]
