@@ -77,6 +77,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow with df's own columns on both sides, whatever their names: on its way in a column is called by its place."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, df.schema)
+
+
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows of df, with all their columns, for which make()(batch) says True."""
 
@@ -86,7 +96,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
             yield batch.filter(pa.array(keep(batch), pa.bool_()))
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def replace_column(df: DataFrame, name: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
@@ -99,7 +109,7 @@ def replace_column(df: DataFrame, name: str, make: Callable[[], Callable[[pa.Rec
             yield batch.set_column(at, batch.schema.field(at), pa.array(values(batch), batch.schema.field(at).type))
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

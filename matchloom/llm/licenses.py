@@ -233,9 +233,10 @@ def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[i
     """(first word, label) of all places where a phrase's words stand consecutively."""
     joined, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, word, counted = joined.find(phrase), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word, counted = word + joined.count(b" ", counted, at), at
+            out.append((word, label))
             at = joined.find(phrase, at + 1)
     return sorted(out)
 
