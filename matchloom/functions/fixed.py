@@ -100,6 +100,18 @@ ROLE_PRIORS = {
 COMBO_WEIGHTS = [(30, 1000.0), (100, 200.0), (300, 50.0)]
 COMBO_ROLES, COMBO_FACTOR = ("탱커", "서포터"), 1.5
 
+#: Bootstrap and train/validation: replicates, seed, bounds of a stable baseline.
+BOOTSTRAP_ITERATIONS, BOOTSTRAP_SEED = 500, 391108
+BASELINE_CV, ANCHOR_CV, ANCHOR_RATE, ANCHOR_GAP, RANGE_RATIO, LEAST_MEAN = 0.15, 0.2, 0.95, 1e-6, 10.0, 1.0
+BASELINE_DRIFT, P90_DRIFT, LEAST_VALIDATION, TRAIN_SHARE = 0.25, 0.3, 30, 0.7
+#: Readiness by samples, and for measures that are mostly zero by positive samples too.
+READINESS = [(300.0, "ready"), (100.0, "provisional"), (30.0, "experimental")]
+POSITIVE_READINESS = [(100.0, "ready"), (30.0, "provisional"), (10.0, "experimental")]
+#: Offset and factor of the 32-bit string hash, and the holdout's share.
+HASH_OFFSET, HASH_FACTOR, HOLDOUT = 2166136261, 16777619, 5
+#: Minutes of a curve's points, and its least match length in seconds.
+CURVE_MINUTES, LEAST_SECONDS = (0, 5, 10, 15, 20, 25, 30), 480
+
 # End of fixed values.
 
 

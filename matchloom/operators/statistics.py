@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def midrank_percentile(value: str, keys: list[str]) -> Column:
-    """100 (below + equal / 2) / n within keys, by rank over sorted partitions: no self-join."""
-    w = Window.partitionBy(*keys)
-    below = F.rank().over(w.orderBy(value)) - 1
-    equal = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return F.lit(100.0) * (below + equal / 2) / F.count(F.lit(1)).over(w)
-
-
-def index_midrank(value: str, keys: list[str]) -> Column:
-    """Mean index of the equal values over n - 1, 0.5 for a single value."""
-    w = Window.partitionBy(*keys)
-    below = F.rank().over(w.orderBy(value)) - 1
-    equal, n = F.count(F.lit(1)).over(Window.partitionBy(*keys, value)), F.count(F.lit(1)).over(w)
-    return F.when(n == 1, F.lit(0.5)).otherwise((below + (equal - 1) / 2) / (n - 1))
+from .counted import counted, nearest_quantile, quantile, ranked
 
 
 def winsorized_mean(df: DataFrame, keys: list[str], value: str, p: float, interpolated: bool) -> DataFrame:
-    """The mean of the values capped at the p-quantile, nearest rank or interpolated."""
-    agg = F.percentile(value, F.lit(p)) if interpolated else F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    caps = df.groupBy(*keys).agg(agg.alias("_cap"))
-    return df.join(caps, keys).groupBy(*keys).agg(F.avg(F.least(F.col(value), F.col("_cap"))).alias("winsorized"))
+    """The mean of the values capped at the p-quantile, interpolated or of the nearest rank; of counted values."""
+    counts = ranked(counted(df.where(F.col(value).isNotNull()), keys, value), keys, value)
+    caps = counts.groupBy(*keys).agg((quantile if interpolated else nearest_quantile)(value, p).alias("_cap"))
+    return counts.join(caps, keys).groupBy(*keys).agg((F.sum(F.least(F.col(value), F.col("_cap")) * F.col("n")) / F.sum("n")).alias("winsorized"))
 
 
 def pearson(x: str, y: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.core import clamp, duration_bucket, js_round, placement_bucket, safe_kda, shrink
+from matchloom.operators.counted import counted, quantile, ranked
 from matchloom.operators.statistics import winsorized_mean
 from matchloom.sources.facts import PM, player_match, rank_only, table
 
@@ -71,7 +72,11 @@ def primary_role(spark, sf_dir):
 
 @query(f"""WITH {PM} SELECT role, tier, {R4.format("median(kills)")} kills, {R4.format("median(damage)")} damage, {R4.format("median(rp_delta)")} rp FROM pm GROUP BY 1, 2""")
 def cohort_medians(spark, sf_dir):
-    return player_match(spark, sf_dir).groupBy("role", "tier").agg(*(js_round(F.median(a), 4).alias(b) for a, b in (("kills", "kills"), ("damage", "damage"), ("rp_delta", "rp"))))
+    """The medians of three measures from one table of counted values."""
+    measures = F.explode(F.array(*(F.struct(F.lit(b).alias("measure"), F.col(a).cast("double").alias("v")) for a, b in (("kills", "kills"), ("damage", "damage"), ("rp_delta", "rp"))))).alias("m")
+    keys = ["role", "tier", "measure"]
+    m = ranked(counted(player_match(spark, sf_dir).select("role", "tier", measures).select("role", "tier", "m.*"), keys, "v"), keys, "v").groupBy(*keys).agg(quantile("v", 0.5).alias("v"))
+    return m.groupBy("role", "tier").agg(*(js_round(F.max(F.when(F.col("measure") == b, F.col("v"))), 4).alias(b) for b in ("kills", "damage", "rp")))
 
 
 @query(f"""WITH {PM}, u AS (SELECT uid, character_num, count(*) n, avg(kills) k FROM pm GROUP BY 1, 2) SELECT uid, {R4.format("sum(k * n) / sum(n)")} weighted, CAST(sum(n) AS BIGINT) games FROM u GROUP BY 1""")
@@ -100,19 +105,24 @@ def consistency_score(spark, sf_dir):
 @query(f"""WITH {PM} SELECT tier, role, count(*) n, count(*) - count(damage) nulls, count(*) FILTER (kills = 0) zeros, count(*) FILTER (kills > 0) positives, {R4.format("avg(damage)")} mean, {R4.format("stddev_pop(damage)")} sd,
 {R4.format("quantile_cont(damage, 0.1)")} p10, {R4.format("quantile_cont(damage, 0.5)")} p50, {R4.format("quantile_cont(damage, 0.95)")} p95 FROM pm GROUP BY 1, 2""")
 def baseline_stat_block(spark, sf_dir):
-    q = lambda p: js_round(F.percentile("damage", F.lit(p)), 4)
-    return player_match(spark, sf_dir).groupBy("tier", "role").agg(
-        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("damage")).alias("nulls"), F.count_if(F.col("kills") == 0).alias("zeros"), F.count_if(F.col("kills") > 0).alias("positives"),
-        js_round(F.avg("damage"), 4).alias("mean"), js_round(F.stddev_pop("damage"), 4).alias("sd"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.95).alias("p95"),
+    """All figures from the counted values of each tier and role."""
+    keys, n, d = ["tier", "role"], F.col("n"), F.col("damage")
+    c = counted(player_match(spark, sf_dir), keys, "damage", F.count_if(F.col("kills") == 0).alias("zeros"), F.count_if(F.col("kills") > 0).alias("positives"))
+    some = F.sum(F.when(d.isNotNull(), n))
+    mean = F.sum(d * n) / some
+    q = lambda p: js_round(quantile("damage", p), 4)
+    return ranked(c, keys, "damage").groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.when(d.isNull(), n).otherwise(0)).alias("nulls"), F.sum("zeros").alias("zeros"), F.sum("positives").alias("positives"), js_round(mean, 4).alias("mean"),
+        js_round(F.sqrt(F.greatest(F.sum(d * d * n) / some - mean * mean, F.lit(0.0))), 4).alias("sd"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.95).alias("p95"),
     )
 
 
 @query(f"""WITH {PM}, q AS (SELECT tier, quantile_cont(damage, 0.25) a, quantile_cont(damage, 0.75) b FROM pm GROUP BY 1) SELECT tier, count(*) FILTER (damage < a - 1.5 * (b - a) OR damage > b + 1.5 * (b - a)) outliers, count(damage) n FROM pm JOIN q USING (tier) GROUP BY 1""")
 def iqr_outliers(spark, sf_dir):
-    pm = player_match(spark, sf_dir)
-    q = pm.groupBy("tier").agg(F.percentile("damage", F.lit(0.25)).alias("a"), F.percentile("damage", F.lit(0.75)).alias("b"))
+    c = ranked(counted(player_match(spark, sf_dir), ["tier"], "damage"), ["tier"], "damage")
+    q = c.groupBy("tier").agg(quantile("damage", 0.25).alias("a"), quantile("damage", 0.75).alias("b"))
     far = (F.col("damage") < F.col("a") - F.lit(1.5) * (F.col("b") - F.col("a"))) | (F.col("damage") > F.col("b") + F.lit(1.5) * (F.col("b") - F.col("a")))
-    return pm.join(F.broadcast(q), "tier").groupBy("tier").agg(F.count_if(far).alias("outliers"), F.count("damage").alias("n"))
+    return c.join(q, "tier").groupBy("tier").agg(F.sum(F.when(far, F.col("n")).otherwise(0)).alias("outliers"), F.sum(F.when(F.col("damage").isNotNull(), F.col("n")).otherwise(0)).alias("n"))
 
 
 def _winsor_sql(f: str) -> str:

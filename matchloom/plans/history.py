@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.core import js_round, safe_kda, steps
 from matchloom.functions.fixed import FINE_GRADES, LOWEST
+from matchloom.operators.counted import counted, quantile, ranked
 from matchloom.operators.survivorship import first_by, merge_by_priority
 from matchloom.sources.facts import PM, player_match, rank_only
 
@@ -85,10 +86,11 @@ def grade_change_summary(spark, sf_dir):
     """What the adjustment of metric scores changes, by role: mean, median and largest difference, and how many grades and letters change."""
     before, after = (steps(F.col(c), FINE_GRADES, LOWEST) for c in ("raw_role_score", "role_score"))
     d = role_score_rows(spark, sf_dir).select("role", (F.col("role_score") - F.col("raw_role_score")).alias("delta"), before.alias("a"), after.alias("b"))
-    rate = lambda c: js_round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
-    return d.groupBy("role").agg(
-        F.count(F.lit(1)).alias("pairs"), js_round(F.avg("delta"), 4).alias("mean_delta"), js_round(F.median(js_round(F.col("delta"), 4)), 4).alias("median_delta"), js_round(F.max(F.abs("delta")), 4).alias("largest"),
-        rate(F.col("a") != F.col("b")).alias("changed"), rate(F.substring("a", 1, 1) != F.substring("b", 1, 1)).alias("changed_letter"),
+    c = counted(d.withColumn("v", js_round(F.col("delta"), 4)), ["role"], "v", F.sum("delta").alias("sum"), F.max(F.abs("delta")).alias("far"), F.count_if(F.col("a") != F.col("b")).alias("grades"), F.count_if(F.substring("a", 1, 1) != F.substring("b", 1, 1)).alias("letters"))
+    rate = lambda x: js_round(F.sum(x) / F.sum("n"), 4)
+    return ranked(c, ["role"], "v").groupBy("role").agg(
+        F.sum("n").alias("pairs"), js_round(F.sum("sum") / F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), 4).alias("mean_delta"), js_round(quantile("v", 0.5), 4).alias("median_delta"), js_round(F.max("far"), 4).alias("largest"),
+        rate("grades").alias("changed"), rate("letters").alias("changed_letter"),
     )
 
 

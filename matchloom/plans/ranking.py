@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.core import js_round, steps
 from matchloom.functions.fixed import COMBO_FACTOR, COMBO_ROLES, COMBO_WEIGHTS, FINE_GRADES, LOWEST, PERCENTILE_GRADES, PERCENTILE_POINTS, ROLES
-from matchloom.operators.statistics import index_midrank, isotonic, midrank_percentile, pearson
+from matchloom.operators.counted import counted, index_midrank, midrank, nearest_quantile, numbered, quantile, ranked, with_ranks
+from matchloom.operators.statistics import isotonic, pearson
 from matchloom.operators.survivorship import first_by, first_n_by
 from matchloom.sources.facts import PM, player_match, rank_only
+from matchloom.sources.scratch import shared_folder
 
 from .registry import query
 
@@ -21,15 +23,20 @@ def _users(spark, sf_dir):
     return player_match(spark, sf_dir).groupBy("uid", "tier").agg(F.round(F.avg("kills"), 6).alias("k"), F.count(F.lit(1)).alias("n"))
 
 
+def _ranked_users(spark, sf_dir):
+    """The means of a tier's players, counted."""
+    return ranked(counted(_users(spark, sf_dir), ["tier"], "k"), ["tier"], "k")
+
+
 @query(f"""WITH {PM}, {USERS} SELECT a.uid, a.tier, {R4.format("100 * (count(*) FILTER (b.k < a.k) + count(*) FILTER (b.k = a.k) / 2.0) / count(*)")} percentile FROM u a JOIN u b ON a.tier = b.tier GROUP BY 1, 2, a.k""")
 def midrank_percentiles(spark, sf_dir):
-    return _users(spark, sf_dir).select("uid", "tier", js_round(midrank_percentile("k", ["tier"]), 4).alias("percentile"))
+    return with_ranks(_users(spark, sf_dir).select("uid", "tier", "k"), ["tier"], "k").select("uid", "tier", js_round(midrank(F.col("before"), F.col("n"), F.col("total")), 4).alias("percentile"))
 
 
 @query(f"""WITH {PM}, {USERS} SELECT a.uid, a.tier, {R4.format("CASE WHEN count(*) = 1 THEN 0.5 ELSE (count(*) FILTER (b.k < a.k) + (count(*) FILTER (b.k = a.k) - 1) / 2.0) / (count(*) - 1) END")} pos FROM u a JOIN u b ON a.tier = b.tier GROUP BY 1, 2, a.k""")
 def index_midranks(spark, sf_dir):
     """The other definition: over n - 1, with 0.5 for a single value."""
-    return _users(spark, sf_dir).select("uid", "tier", js_round(index_midrank("k", ["tier"]), 4).alias("pos"))
+    return with_ranks(_users(spark, sf_dir).select("uid", "tier", "k"), ["tier"], "k").select("uid", "tier", js_round(index_midrank(F.col("before"), F.col("n"), F.col("total")), 4).alias("pos"))
 
 
 SQL_POINTS = "0.01 0.05 0.1 0.2 0.3 0.4 0.5 0.6 0.7 0.8 0.9 0.95 0.99".split()
@@ -38,15 +45,15 @@ SQL_POINTS = "0.01 0.05 0.1 0.2 0.3 0.4 0.5 0.6 0.7 0.8 0.9 0.95 0.99".split()
 @query(f"WITH {PM}, {USERS} " + " UNION ALL ".join(f"SELECT tier, CAST({p} AS DOUBLE) p, {R4.format(f'quantile_cont(k, {p})')} v FROM u GROUP BY 1" for p in SQL_POINTS))
 def percentile_table(spark, sf_dir):
     """A thirteen-point quantile table per cohort: one aggregate with an array of points."""
-    q = _users(spark, sf_dir).groupBy("tier").agg(F.percentile("k", F.array(*map(F.lit, PERCENTILE_POINTS))).alias("q"))
+    q = _ranked_users(spark, sf_dir).groupBy("tier").agg(F.array(*(quantile("k", p) for p in PERCENTILE_POINTS)).alias("q"))
     pairs = q.select("tier", F.explode(F.arrays_zip(F.array(*map(F.lit, PERCENTILE_POINTS)).alias("p"), F.col("q").alias("q"))).alias("x"))
     return pairs.select("tier", F.col("x")["p"].alias("p"), js_round(F.col("x")["q"], 4).alias("v"))
 
 
 @query(f"""WITH {PM}, {USERS} SELECT tier, {R4.format("quantile_disc(k, 0.9)")} p90, {R4.format("quantile_disc(k, 0.1)")} p10, max(k) top FROM u GROUP BY 1""")
 def nearest_rank_boundaries(spark, sf_dir):
-    q = lambda p: js_round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY k)"), 4)
-    return _users(spark, sf_dir).groupBy("tier").agg(q(0.9).alias("p90"), q(0.1).alias("p10"), F.max("k").alias("top"))
+    q = lambda p: js_round(nearest_quantile("k", p), 4)
+    return _ranked_users(spark, sf_dir).groupBy("tier").agg(q(0.9).alias("p90"), q(0.1).alias("p10"), F.max("k").alias("top"))
 
 
 @query(f"""WITH {PM}, r AS (SELECT uid, season, rp_after, row_number() OVER (PARTITION BY uid, season ORDER BY rp_after) - 1 i, count(*) OVER (PARTITION BY uid, season) n FROM pm WHERE rp_after > 0) SELECT uid, season, rp_after upper_median FROM r WHERE i = n // 2""")
@@ -60,20 +67,21 @@ def upper_median_rp(spark, sf_dir):
 
 @query(f"""WITH {PM}, {USERS}, c AS (SELECT uid, tier, cume_dist() OVER (PARTITION BY tier ORDER BY k) d FROM u) SELECT uid, tier, {R4.format("20 + 80 * d")} score FROM c""")
 def cume_dist_scores(spark, sf_dir):
-    return _users(spark, sf_dir).select("uid", "tier", js_round(F.lit(20) + F.lit(80) * F.cume_dist().over(Window.partitionBy("tier").orderBy("k")), 4).alias("score"))
+    r = with_ranks(_users(spark, sf_dir).select("uid", "tier", "k"), ["tier"], "k")
+    return r.select("uid", "tier", js_round(F.lit(20) + F.lit(80) * ((F.col("before") + F.col("n")) / F.col("total")), 4).alias("score"))
 
 
 @query(f"""WITH {PM}, {USERS}, m AS (SELECT tier, min(k) a, max(k) b FROM u WHERE n >= 3 GROUP BY 1) SELECT uid, tier, {R4.format("CASE WHEN b > a THEN 100 * (k - a) / (b - a) ELSE 50 END")} score FROM u JOIN m USING (tier) WHERE n >= 3""")
 def minmax_scores(spark, sf_dir):
-    w = Window.partitionBy("tier")
-    a, b = F.min("k").over(w), F.max("k").over(w)
-    return _users(spark, sf_dir).where("n >= 3").select("uid", "tier", js_round(F.when(b > a, F.lit(100) * (F.col("k") - a) / (b - a)).otherwise(F.lit(50.0)), 4).alias("score"))
+    u = _users(spark, sf_dir).where("n >= 3")
+    a, b = F.col("a"), F.col("b")
+    return u.join(u.groupBy("tier").agg(F.min("k").alias("a"), F.max("k").alias("b")), "tier").select("uid", "tier", js_round(F.when(b > a, F.lit(100) * (F.col("k") - a) / (b - a)).otherwise(F.lit(50.0)), 4).alias("score"))
 
 
 @query(f"""WITH {PM}, {USERS}, p AS (SELECT tier, 100 * percent_rank() OVER (PARTITION BY tier ORDER BY k) p FROM u) SELECT tier, CASE WHEN p >= 90 THEN 'S' WHEN p >= 75 THEN 'A' WHEN p >= 50 THEN 'B' WHEN p >= 25 THEN 'C' ELSE 'D' END grade, count(*) n FROM p GROUP BY 1, 2""")
 def percentile_grades(spark, sf_dir):
-    p = F.lit(100) * F.percent_rank().over(Window.partitionBy("tier").orderBy("k"))
-    return _users(spark, sf_dir).select("tier", steps(p, PERCENTILE_GRADES, "D").alias("grade")).groupBy("tier", "grade").agg(F.count(F.lit(1)).alias("n"))
+    p = F.lit(100) * F.when(F.col("total") > 1, F.col("before") / (F.col("total") - 1)).otherwise(0.0)
+    return _ranked_users(spark, sf_dir).select("tier", steps(p, PERCENTILE_GRADES, "D").alias("grade"), "n").groupBy("tier", "grade").agg(F.sum("n").alias("n"))
 
 
 FINE_SQL = (
@@ -94,9 +102,10 @@ SELECT uid, tier, {R4.format("least(greatest((k - m) / greatest(mad * 1.4826, 0.
 def robust_z(spark, sf_dir):
     """(x - median) / scaled MAD, within three."""
     pm = player_match(spark, sf_dir)
-    q = pm.groupBy("tier").agg(F.median("kills").alias("m"))
-    d = pm.join(F.broadcast(q), "tier").groupBy("tier", "m").agg(F.median(F.abs(F.col("kills") - F.col("m"))).alias("mad"))
-    u = pm.groupBy("uid", "tier").agg(F.avg("kills").alias("k")).join(F.broadcast(d), "tier")
+    c = ranked(counted(pm, ["tier"], "kills"), ["tier"], "kills")
+    off = c.join(c.groupBy("tier").agg(quantile("kills", 0.5).alias("m")), "tier").groupBy("tier", "m", F.abs(F.col("kills") - F.col("m")).alias("off")).agg(F.sum("n").alias("n"))
+    d = ranked(off, ["tier", "m"], "off").groupBy("tier", "m").agg(quantile("off", 0.5).alias("mad"))
+    u = pm.groupBy("uid", "tier").agg(F.avg("kills").alias("k")).join(d, "tier")
     z = (F.col("k") - F.col("m")) / F.greatest(F.col("mad") * F.lit(1.4826), F.lit(0.5))
     return u.select("uid", "tier", js_round(F.least(F.greatest(z, F.lit(-3.0)), F.lit(3.0)), 4).alias("z"))
 
@@ -111,9 +120,10 @@ def pearson_by_character(spark, sf_dir):
 SELECT role, {R4.format("covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))")} rho FROM r GROUP BY 1""")
 def spearman_ordinal(spark, sf_dir):
     """Rank correlation with ties in a fixed order, not averaged."""
-    pm = player_match(spark, sf_dir)
-    rank = lambda c: F.row_number().over(Window.partitionBy("role").orderBy(c, "game_id", "slot", "part_id", "source_id", "updated_at")).cast("double")
-    return pm.select("role", rank("kills").alias("x"), rank("placement").alias("y")).groupBy("role").agg(js_round(pearson("x", "y"), 4).alias("rho"))
+    ids, folder = ["game_id", "slot", "part_id", "source_id", "updated_at"], shared_folder(spark)
+    x = numbered(player_match(spark, sf_dir).select("role", "kills", "placement", *ids), ["role"], ["kills", *ids], folder, "x").drop("kills", "total")
+    xy = numbered(x, ["role"], ["placement", *ids], folder, "y").select("role", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return xy.groupBy("role").agg(js_round(pearson("x", "y"), 4).alias("rho"))
 
 
 @query(f"""WITH {PM}, c AS (SELECT uid, character_num, count(*) n, avg(placement) p FROM pm GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p, character_num) r FROM c) SELECT uid, character_num, n, {R4.format("p")} place FROM r WHERE r = 1""")

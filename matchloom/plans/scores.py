@@ -10,8 +10,8 @@ from matchloom.functions.fixed import (
     ADJACENT_BANDS, BANDS, COHORT_USERS, CONFIDENCE, DAMAGE_CURVE, DURATION_MIDPOINTS, EXCELLENCE_POINTS, FINE_GRADES, GLOBAL_PRIOR, LEAST_BASELINE, LEAST_COHORT, LOWEST,
     METRICS, PLACEMENT_POINTS, ROLE_PRIORS, ROLE_WEIGHTS, ROLES, SAMPLE_STATUS, SHADOW_GRADES, chosen, ladder_tier,
 )
+from matchloom.operators.counted import midrank, with_ranks
 from matchloom.operators.lookups import first_level
-from matchloom.operators.statistics import midrank_percentile
 from matchloom.sources.facts import PM, player_match, rank_only
 
 from .registry import query
@@ -397,4 +397,5 @@ def confidence_scores(spark, sf_dir):
 def directed_percentiles(spark, sf_dir):
     """Percentiles of a measure of which less is better: the mid-rank of its negative."""
     s = snapshots(spark, sf_dir).select("uid", "character_num", (-F.col("average_placement")).alias("v"))
-    return s.select("uid", "character_num", js_round(midrank_percentile("v", ["character_num"]), 4).alias("percentile"), F.count(F.lit(1)).over(Window.partitionBy("character_num")).alias("n"))
+    r = with_ranks(s, ["character_num"], "v").select("uid", "character_num", "v", F.col("before"), F.col("n").alias("same"), F.col("total").alias("n"))
+    return r.select("uid", "character_num", js_round(midrank(F.col("before"), F.col("same"), F.col("n")), 4).alias("percentile"), "n")

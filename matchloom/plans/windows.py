@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.core import js_round, kst_day
+from matchloom.operators.counted import numbered
 from matchloom.sources.facts import PM, player_match, rank_only, table
+from matchloom.sources.scratch import shared_folder
 
 from .registry import query
 
@@ -38,17 +40,17 @@ def longest_low_run(spark, sf_dir):
 @query(f"""WITH {PM}, r AS (SELECT role, kills, row_number() OVER (PARTITION BY role ORDER BY {LAST}, kills, updated_at) r, count(*) OVER (PARTITION BY role) n FROM pm) SELECT role, CASE WHEN r <= floor(0.7 * n) THEN 'train' ELSE 'validation' END part, count(*) n, {R4.format("avg(kills)")} mean FROM r GROUP BY 1, 2""")
 def train_validation_split(spark, sf_dir):
     """The first 70 % by time train."""
-    w = Window.partitionBy("role")
-    r = player_match(spark, sf_dir).select("role", "kills", F.row_number().over(w.orderBy(*LAST.split(", "), "kills", "updated_at")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    order = [*LAST.split(", "), "kills", "updated_at"]
+    r = numbered(player_match(spark, sf_dir).select("role", *order), ["role"], order, shared_folder(spark), "r").withColumnRenamed("total", "n")
     return r.groupBy("role", F.when(F.col("r") <= F.floor(F.lit(0.7) * F.col("n")), "train").otherwise("validation").alias("part")).agg(F.count(F.lit(1)).alias("n"), js_round(F.avg("kills"), 4).alias("mean"))
 
 
-@query(f"""WITH {PM}, g AS (SELECT DISTINCT game_id, CAST('0x' || substr(sha256(CAST(game_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 h FROM pm) SELECT CASE WHEN h < 60 THEN 'train' WHEN h < 80 THEN 'validation' ELSE 'test' END part, count(*) games FROM g GROUP BY 1""")
+@query(f"""WITH {PM}, g AS (SELECT DISTINCT game_id, CAST('0x' || substr(sha256(CAST(game_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967295.0 h FROM pm) SELECT CASE WHEN h < 0.6 THEN 'train' WHEN h < 0.8 THEN 'calibration' ELSE 'final' END part, count(*) games FROM g GROUP BY 1""")
 def hashed_game_split(spark, sf_dir):
-    """A game is in one split only, by the start of its sha256."""
+    """A game is in one split only: the first 32 bits of its sha256 as a share of their largest value."""
     g = player_match(spark, sf_dir).select("game_id").distinct()
-    h = F.conv(F.substring(F.sha2(F.col("game_id").cast("string"), 256), 1, 8), 16, 10).cast("long") % 100
-    return g.groupBy(F.when(h < 60, "train").when(h < 80, "validation").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("games"))
+    h = F.conv(F.substring(F.sha2(F.col("game_id").cast("string"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
+    return g.groupBy(F.when(h < 0.6, "train").when(h < 0.8, "calibration").otherwise("final").alias("part")).agg(F.count(F.lit(1)).alias("games"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) r, count(*) OVER (PARTITION BY user_id) n FROM events),
