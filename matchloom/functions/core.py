@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import TIERS
+from .fixed import HASH_FACTOR, HASH_OFFSET, TIERS
 
 
 def finite(c: Column) -> Column:
@@ -101,3 +101,29 @@ def nickname(c: Column) -> Column:
 def stable_hash(*parts: Column) -> Column:
     """sha256 of the parts joined by a bar; null parts are empty."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+def string_hash(c: Column) -> Column:
+    """The 32-bit hash of a string's UTF-16 units: exclusive or with each unit, then times a prime; as a long."""
+    text = F.hex(F.encode(c, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(text) / 4 - 1).cast("int")), lambda i: F.conv(F.substring(text, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("long"))
+    step = lambda h, u: h.bitwiseXOR(u) * F.lit(HASH_FACTOR).cast("long") % F.lit(1 << 32)
+    return F.when(c == "", F.lit(HASH_OFFSET)).otherwise(F.aggregate(units, F.lit(HASH_OFFSET).cast("long"), step)).cast("long")
+
+
+def last_not_above(x: Column, points: Column) -> Column:
+    """The place, from 1, of the last element of a sorted array that is not above x (0: none), by binary search."""
+    halve = lambda s, _: F.when(F.get(points, ((s["low"] + s["high"]) / 2).cast("int")) <= x, F.struct((F.floor((s["low"] + s["high"]) / 2) + 1).cast("int").alias("low"), s["high"].alias("high"))).otherwise(
+        F.struct(s["low"].alias("low"), F.floor((s["low"] + s["high"]) / 2).cast("int").alias("high"))
+    )
+    n = F.size(points)
+    start = F.struct(F.lit(0).alias("low"), n.alias("high"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1.0)).cast("int"))
+    return F.when(x.isNull() | points.isNull(), None).when(n == 0, 0).otherwise(F.aggregate(steps, start, lambda s, i: F.when(s["low"] < s["high"], halve(s, i)).otherwise(s), lambda s: s["low"]))
+
+
+def bracketed(x: Column, xs: Column, ys: Column) -> Column:
+    """Piecewise-linear through the points of two arrays, xs rising and different; flat beyond the ends."""
+    at = last_not_above(x, xs)
+    x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), F.get(ys, at - 1), F.get(ys, at)
+    return F.when(at == 0, F.get(ys, F.lit(0))).when(at >= F.size(xs), F.get(ys, F.size(ys) - 1)).otherwise(y0 + (y1 - y0) * ((x - x0) / (x1 - x0)))

@@ -63,6 +63,12 @@ def _at(upto: np.ndarray, values: np.ndarray, p: float) -> float:
     return low if low == high else (ceil(pos) - pos) * low + (pos - floor(pos)) * high
 
 
+def _tasks(df: DataFrame) -> int:
+    """Rows of draws are small and their work is not, so they are dealt out by number and not by size."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def replicates(df: DataFrame, keys: list[str], value: str, iterations: int, seed: int, cap: float = 0.95, anchor: float = 0.9) -> DataFrame:
     """keys, iteration, mean (of values capped at the cap-quantile) and anchor (a quantile) of every replicate of every group."""
     values = df.where(finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -90,7 +96,7 @@ def replicates(df: DataFrame, keys: list[str], value: str, iterations: int, seed
                     out.append((*key, i, float((np.minimum(v, top) * new).sum() / n), _at(upto, v, anchor)))
             yield pd.DataFrame(out, columns=[*keys, "iteration", "mean", "anchor"])
 
-    one = parts.repartition(*keys, "_from").mapInPandas(whole, schema)
+    one = parts.repartition(_tasks(df), *keys, "_from").mapInPandas(whole, schema)
     return one.unionByName(_in_blocks(large, keys, iterations, seed, cap, anchor, head))
 
 
@@ -111,7 +117,7 @@ def _in_blocks(counts: DataFrame, keys: list[str], iterations: int, seed: int, c
                 block, at = np.unique(index // size, return_index=True)
                 yield pd.DataFrame([(*key, i, int(b), x.tolist()) for b, x in zip(block, np.split(index, at[1:]))], columns=[*keys, "iteration", "_block", "_index"])
 
-    index = pieces.repartition(*keys, "iteration", "_first").mapInPandas(drawn, f"{head}, iteration int, _block long, _index array<long>")
+    index = pieces.repartition(_tasks(counts), *keys, "iteration", "_first").mapInPandas(drawn, f"{head}, iteration int, _block long, _index array<long>")
     right = table.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_b"), "_at", "_vs")
     on = F.col("_block") == F.col("_b")
     for k in keys:
