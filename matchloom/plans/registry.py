@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import aggregates, history, holdout, joins, ranking, rows, scores, stability, streams, tables, windows  # noqa: F401
+    from . import aggregates, history, holdout, identity, joins, ranking, rows, scores, stability, streams, tables, windows  # noqa: F401
 
     return dict(_QUERIES)
 
