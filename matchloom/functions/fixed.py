@@ -112,6 +112,16 @@ HASH_OFFSET, HASH_FACTOR, HOLDOUT = 2166136261, 16777619, 5
 #: Minutes of a curve's points, and its least match length in seconds.
 CURVE_MINUTES, LEAST_SECONDS = (0, 5, 10, 15, 20, 25, 30), 480
 
+#: A metric's gain over the own tier that counts as the best where no higher tier is ahead, by this share of it at least.
+RELATIVE_GAINS = {
+    "win_rate": 0.3, "top3_rate": 0.2, "placement": 0.15, "kills": 0.3, "assists": 0.2, "team_kills": 0.15, "damage": 0.25, "deaths": 0.2, "vision": 0.25, "monster": 0.2,
+}
+ELITE_GAP = 0.2
+#: Tiers that anchor a metric, in the order in which they are tried.
+ELITE_TIER = "in1000"
+ELITE_TIERS = ("in1000", "mithril_plus", "meteorite_plus", "diamond_plus", "platinum_plus", "platinum", "gold", "silver", "bronze", "iron")
+P4_POINTS = {1: 4.0, 2: 3.0, 3: 2.0, 4: 0.5, 5: -0.5, 6: -2.0, 7: -3.0, 8: -4.0}
+
 # End of fixed values.
 
 

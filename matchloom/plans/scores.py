@@ -21,26 +21,31 @@ KEY = ["game_id", "slot", "part_id", "source_id", "kills"]
 
 
 def scored(spark, sf_dir: str) -> DataFrame:
-    """Rank matches with a named role, vision (null for some) and monsters."""
+    """Rank matches with a named role, vision (null for some), monsters, and some lengths unknown or zero."""
+    duration = F.when(F.col("part_id") % 29 == 0, None).when(F.col("part_id") % 31 == 0, 0).otherwise(F.col("duration"))
     named = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("part_id") % 7 + 1).cast("int"))
     vision = F.when(F.col("source_id") % 13 != 0, (F.col("part_id") % 40).cast("double"))
-    return rank_only(player_match(spark, sf_dir)).withColumns({"role": named, "vision": vision, "monster": ((F.col("part_id") + F.col("source_id")) % 30).cast("double"), "bucket": duration_bucket(F.col("duration"))})
+    known = F.when(F.col("duration") > 0, duration_bucket(F.col("duration"))).otherwise("unknown")
+    x = rank_only(player_match(spark, sf_dir)).withColumns({"role": named, "vision": vision, "monster": ((F.col("part_id") + F.col("source_id")) % 30).cast("double"), "duration": duration})
+    return x.withColumn("bucket", known)
 
 
 def expected_metrics(rows: DataFrame) -> DataFrame:
     """rows with the expected value of each metric: the first baseline level that exists, stretched by the match's length.
 
-    Baselines are those of won matches. Length multipliers are a role's means in a length bucket over those of all matches; a
-    bucket under 30 samples takes the role's. Damage follows the minute curve between 10 and 20 minutes and fades to the
-    bucket's multiplier from 8 and to 25. The rows are summed once by all keys, which are small dimensions; every table
-    of means comes from those sums."""
+    Baselines are those of won matches. Length multipliers are a role's means in a length bucket over those of all matches; an
+    unknown length and a bucket under 30 samples take the role's, and a role without one takes 1. Damage follows the minute
+    curve between 10 and 20 minutes and fades to the bucket's multiplier from 8 and to 25; a match of unknown length is not
+    stretched within its bucket. The rows are summed once by all keys, which are small dimensions; levels and multipliers are
+    looked up for the cells of these sums, and the rows are joined with them once."""
     measures = ("damage", "kills", "assists", "team_kills", "deaths", "vision", "monster")
     cells = rows.groupBy("tier", "character_num", "weapon", "role", "bucket", "victory").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(14,2)")).cast("double").alias(f"s_{c}") for c in measures), *(F.count(c).alias(f"c_{c}") for c in measures)
     )
     mean = lambda c: F.try_divide(F.sum(F.col(f"s_{c}").cast("decimal(24,2)")).cast("double"), F.sum(f"c_{c}"))
     levels = [["tier", "character_num", "weapon"], ["tier", "character_num"], ["tier", "role"], ["tier"]]
-    x = first_level(rows, cells.where("victory"), levels, [mean(c).alias(f"b_{c}") for c in measures], (LEAST_BASELINE,), F.col("weapon") > 0, F.sum("n"))
+    keys = ["tier", "character_num", "weapon", "role", "bucket"]
+    x = first_level(cells.select(*keys).distinct(), cells.where("victory"), levels, [mean(c).alias(f"b_{c}") for c in measures], (LEAST_BASELINE,), F.col("weapon") > 0, F.sum("n"))
     stretched = ("damage", "deaths", "vision", "monster")
     total = cells.agg(*(mean(c).alias(f"t_{c}") for c in stretched))
 
@@ -48,13 +53,16 @@ def expected_metrics(rows: DataFrame) -> DataFrame:
         cell = cells.groupBy(*keys).agg(F.sum("n").alias(f"{prefix}n"), *(mean(c).alias(f"{prefix}{c}") for c in stretched)).crossJoin(F.broadcast(total))
         return cell.select(*keys, f"{prefix}n", *(js_round(F.col(f"{prefix}{c}") / F.col(f"t_{c}"), 4).alias(f"{prefix}{c}") for c in stretched))
 
-    x = x.join(multipliers(["role", "bucket"], "d_").where(F.col("d_n") >= LEAST_BASELINE), ["role", "bucket"], "left").join(multipliers(["role"], "r_"), "role", "left")
-    within = clamp(F.col("duration") / chosen(F.col("bucket"), DURATION_MIDPOINTS), 0.75, 1.25)
-    at = lambda c: F.coalesce(F.col(f"d_{c}"), F.col(f"r_{c}"))
+    x = x.join(multipliers(["role", "bucket"], "d_").where((F.col("d_n") >= LEAST_BASELINE) & (F.col("bucket") != "unknown")), ["role", "bucket"], "left").join(multipliers(["role"], "r_"), "role", "left")
+    at = lambda c: F.coalesce(F.col(f"d_{c}"), F.col(f"r_{c}"), F.lit(1.0))
+    x = x.select(*keys, "level", "baseline_n", *(f"b_{c}" for c in measures), *(at(c).alias(f"m_{c}") for c in stretched))
+    x = rows.join(x, keys, "left")
+    within = F.when(F.col("duration") > 0, clamp(F.col("duration") / chosen(F.col("bucket"), DURATION_MIDPOINTS), 0.75, 1.25)).otherwise(1.0)
+    at = lambda c: F.col(f"m_{c}")
     minute, legacy = F.col("duration") / F.lit(60.0), js_round(at("damage") * within, 6)
     curve = js_round(interpolate(minute, DAMAGE_CURVE), 6)
     early, late = (minute - 8) / 2, (F.lit(25) - minute) / 5
-    stretch = F.when((minute < 8) | (minute >= 25), legacy).when(minute < 10, js_round(legacy * (1 - early) + curve * early, 6)).when(minute <= 20, curve).otherwise(js_round(curve * late + legacy * (1 - late), 6))
+    stretch = F.when(minute.isNull() | (minute < 8) | (minute >= 25), legacy).when(minute < 10, js_round(legacy * (1 - early) + curve * early, 6)).when(minute <= 20, curve).otherwise(js_round(curve * late + legacy * (1 - late), 6))
     return x.withColumns({
         "e_damage": js_round(F.col("b_damage") * stretch, 4), "e_combat": js_round(participation_capped(F.col("b_kills"), F.col("b_assists"), F.col("b_team_kills")), 6),
         "e_survival": js_round(F.col("b_deaths") * at("deaths") * within, 4), "e_vision": js_round(F.col("b_vision") * at("vision") * within, 4),
@@ -113,8 +121,8 @@ def match_grade_rows(spark, sf_dir: str) -> DataFrame:
 # The same chain in SQL, with its numbers written out.
 
 ROLE_LIST = "['평타 딜러', '스증 딜러', '암살자', '평타 브루저', '스증 브루저', '탱커', '서포터']"
-SCORED = f"""rk AS (SELECT * EXCLUDE (role), {ROLE_LIST}[part_id % 7 + 1] AS role, CASE WHEN source_id % 13 <> 0 THEN CAST(part_id % 40 AS DOUBLE) END vision, CAST((part_id + source_id) % 30 AS DOUBLE) monster,
- CASE WHEN duration / 60.0 >= 30 THEN '30+' WHEN duration / 60.0 >= 25 THEN '25-30' WHEN duration / 60.0 >= 20 THEN '20-25' WHEN duration / 60.0 >= 15 THEN '15-20' ELSE '<15' END bucket FROM pm WHERE game_mode = 'rank')"""
+SCORED = f"""r0 AS (SELECT * EXCLUDE (duration), CASE WHEN part_id % 29 = 0 THEN NULL WHEN part_id % 31 = 0 THEN 0 ELSE duration END AS duration FROM pm WHERE game_mode = 'rank'), rk AS (SELECT * EXCLUDE (role), {ROLE_LIST}[part_id % 7 + 1] AS role, CASE WHEN source_id % 13 <> 0 THEN CAST(part_id % 40 AS DOUBLE) END vision, CAST((part_id + source_id) % 30 AS DOUBLE) monster,
+ CASE WHEN duration IS NULL OR duration <= 0 THEN 'unknown' WHEN duration / 60.0 >= 30 THEN '30+' WHEN duration / 60.0 >= 25 THEN '25-30' WHEN duration / 60.0 >= 20 THEN '20-25' WHEN duration / 60.0 >= 15 THEN '15-20' ELSE '<15' END bucket FROM r0)"""
 DAMAGE = "CAST(sum(CAST(damage AS DECIMAL(14, 2))) AS DOUBLE) / count(damage)"
 BASE = f"count(*) n, {DAMAGE} bd, avg(kills) bk, avg(assists) ba, avg(team_kills) bt, avg(deaths) bx, avg(vision) bv, avg(monster) bm"
 MULT = f"count(*) n, {DAMAGE} d, avg(deaths) x, avg(vision) v, avg(monster) m"
@@ -143,16 +151,16 @@ def _mean(p: str) -> str:
 CHAIN = f"""{PM}, {SCORED}, {WEIGHTS_SQL},
 l0 AS (SELECT tier, character_num, weapon, {BASE} FROM rk WHERE victory GROUP BY 1, 2, 3 HAVING count(*) >= 30), l1 AS (SELECT tier, character_num, {BASE} FROM rk WHERE victory GROUP BY 1, 2),
 l2 AS (SELECT tier, role, {BASE} FROM rk WHERE victory GROUP BY 1, 2), l3 AS (SELECT tier, {BASE} FROM rk WHERE victory GROUP BY 1), tot AS (SELECT {MULT} FROM rk),
-dm AS (SELECT c.role, c.bucket, {R4.format("c.d / tot.d")} d, {R4.format("c.x / tot.x")} x, {R4.format("c.v / tot.v")} v, {R4.format("c.m / tot.m")} m FROM (SELECT role, bucket, {MULT} FROM rk GROUP BY 1, 2 HAVING count(*) >= 30) c, tot),
+dm AS (SELECT c.role, c.bucket, {R4.format("c.d / tot.d")} d, {R4.format("c.x / tot.x")} x, {R4.format("c.v / tot.v")} v, {R4.format("c.m / tot.m")} m FROM (SELECT role, bucket, {MULT} FROM rk WHERE bucket <> 'unknown' GROUP BY 1, 2 HAVING count(*) >= 30) c, tot),
 rm AS (SELECT c.role, {R4.format("c.d / tot.d")} d, {R4.format("c.x / tot.x")} x, {R4.format("c.v / tot.v")} v, {R4.format("c.m / tot.m")} m FROM (SELECT role, {MULT} FROM rk GROUP BY 1) c, tot),
 lv AS (SELECT rk.*, CASE WHEN l0.n IS NOT NULL THEN 0 WHEN l1.n IS NOT NULL THEN 1 WHEN l2.n IS NOT NULL THEN 2 WHEN l3.n IS NOT NULL THEN 3 END AS lvl,
  {", ".join(f"CASE WHEN l0.n IS NOT NULL THEN l0.{c} WHEN l1.n IS NOT NULL THEN l1.{c} WHEN l2.n IS NOT NULL THEN l2.{c} ELSE l3.{c} END {c}" for c in ("n", "bd", "bk", "ba", "bt", "bx", "bv", "bm"))},
- coalesce(dm.d, rm.d) md, coalesce(dm.x, rm.x) mx, coalesce(dm.v, rm.v) mv, coalesce(dm.m, rm.m) mm,
- least(greatest(duration / CASE rk.bucket WHEN '<15' THEN 750.0 WHEN '15-20' THEN 1050.0 WHEN '20-25' THEN 1350.0 WHEN '25-30' THEN 1650.0 ELSE 1950.0 END, 0.75), 1.25) inside, duration / 60.0 mi
+ coalesce(dm.d, rm.d, 1) md, coalesce(dm.x, rm.x, 1) mx, coalesce(dm.v, rm.v, 1) mv, coalesce(dm.m, rm.m, 1) mm,
+ CASE WHEN rk.bucket = 'unknown' THEN 1.0 ELSE least(greatest(duration / CASE rk.bucket WHEN '<15' THEN 750.0 WHEN '15-20' THEN 1050.0 WHEN '20-25' THEN 1350.0 WHEN '25-30' THEN 1650.0 ELSE 1950.0 END, 0.75), 1.25) END inside, CASE WHEN duration > 0 THEN duration / 60.0 END mi
  FROM rk LEFT JOIN l0 ON l0.tier = rk.tier AND l0.character_num = rk.character_num AND l0.weapon = rk.weapon AND rk.weapon > 0 LEFT JOIN l1 ON l1.tier = rk.tier AND l1.character_num = rk.character_num
  LEFT JOIN l2 ON l2.tier = rk.tier AND l2.role = rk.role LEFT JOIN l3 ON l3.tier = rk.tier LEFT JOIN dm ON dm.role = rk.role AND dm.bucket = rk.bucket LEFT JOIN rm ON rm.role = rk.role),
-st AS (SELECT *, {R6.format("md * inside")} old, {R6.format("CASE WHEN mi <= 10 THEN 0.518732 WHEN mi <= 15 THEN 0.518732 + (mi - 10) * ((0.807183 - 0.518732) / 5) WHEN mi <= 20 THEN 0.807183 + (mi - 15) * ((1.079121 - 0.807183) / 5) WHEN mi <= 25 THEN 1.079121 + (mi - 20) * ((1.328282 - 1.079121) / 5) ELSE 1.328282 END")} cur FROM lv),
-ex AS (SELECT *, {R4.format(f"bd * CASE WHEN mi < 8 OR mi >= 25 THEN old WHEN mi < 10 THEN {R6.format('old * (1 - (mi - 8) / 2) + cur * ((mi - 8) / 2)')} WHEN mi <= 20 THEN cur ELSE {R6.format('cur * ((25 - mi) / 5) + old * (1 - (25 - mi) / 5)')} END")} e1,
+st AS (SELECT *, {R6.format("md * inside")} old, {R6.format("CASE WHEN mi <= 10 THEN 0.518732 WHEN mi <= 15 THEN 0.518732 + (mi - 10) * ((0.807183 - 0.518732) / 5) WHEN mi <= 20 THEN 0.807183 + (mi - 15) * ((1.079121 - 0.807183) / 5) WHEN mi <= 25 THEN 1.079121 + (mi - 20) * ((1.328282 - 1.079121) / 5) WHEN mi > 25 THEN 1.328282 END")} cur FROM lv),
+ex AS (SELECT *, {R4.format(f"bd * CASE WHEN mi IS NULL OR mi < 8 OR mi >= 25 THEN old WHEN mi < 10 THEN {R6.format('old * (1 - (mi - 8) / 2) + cur * ((mi - 8) / 2)')} WHEN mi <= 20 THEN cur ELSE {R6.format('cur * ((25 - mi) / 5) + old * (1 - (25 - mi) / 5)')} END")} e1,
  {R6.format("CASE WHEN bt > 0 THEN least((bk + 0.7 * ba) / bt, 1.0) END")} e2, {R4.format("bx * mx * inside")} e3, {R4.format("bv * mv * inside")} e4, {R4.format("bm * mm * inside")} e5,
  {R6.format("CASE WHEN team_kills > 0 THEN least((kills + 0.7 * assists) / team_kills, 1.0) END")} combat FROM st),
 rw AS (SELECT *, {_relative("damage", "e1")} q1, {_relative("combat", "e2")} q2, {_relative("deaths", "e3", "-")} q3, {_relative("vision", "e4")} q4, {_relative("monster", "e5")} q5 FROM ex),
@@ -335,14 +343,18 @@ def character_comparisons(spark, sf_dir):
 
 @query(f"""WITH {SNAP}, {ADJACENT_SQL}, s AS (SELECT uid, coalesce(band, 'unranked') band, primary_role FROM sn LEFT JOIN pr7 USING (uid, character_num) LEFT JOIN bn USING (uid, character_num)),
 r1 AS (SELECT primary_role, band, count(*) n, count(DISTINCT uid) users FROM s WHERE primary_role IS NOT NULL GROUP BY 1, 2), r2 AS (SELECT primary_role, adj.band, sum(n) n FROM r1 JOIN adj ON adj.near = r1.band GROUP BY 1, 2)
-SELECT r1.primary_role, r1.band, CASE WHEN r1.n >= 30 THEN 'role-tier' WHEN r2.n >= 30 THEN 'role-tier-adjacent' ELSE 'unavailable' END AS comparison, CAST(CASE WHEN r1.n >= 30 THEN r1.users WHEN r2.n >= 30 THEN r2.n ELSE r1.n END AS BIGINT) samples FROM r1 LEFT JOIN r2 USING (primary_role, band)""")
+SELECT r1.primary_role, r1.band, CASE WHEN r1.n >= 30 THEN 'role-tier' WHEN r2.n >= 30 THEN 'role-tier-adjacent' ELSE 'unavailable' END AS comparison, CAST(CASE WHEN r1.n >= 30 THEN r1.users WHEN r2.n >= 30 THEN r2.n ELSE r1.n END AS BIGINT) samples FROM r1 LEFT JOIN r2 USING (primary_role, band)
+UNION ALL SELECT DISTINCT NULL, band, 'unavailable', CAST(0 AS BIGINT) FROM s WHERE primary_role IS NULL""")
 def overall_comparisons(spark, sf_dir):
-    """The cohort of a role and band: its own with 30 rows, else its neighbours', else none."""
-    s = snapshots(spark, sf_dir).where("primary_role is not null")
+    """The cohort of a role and band: its own with 30 rows, else its neighbours', else none; without a role none, of no players."""
+    every = snapshots(spark, sf_dir)
+    s = every.where("primary_role is not null")
     r1 = s.groupBy("primary_role", "band").agg(F.count(F.lit(1)).alias("r1"), F.countDistinct("uid").alias("users"))
     x = r1.join(near_sums(r1, "primary_role", "r1", "r2"), ["primary_role", "band"], "left")
     own, near = F.col("r1") >= LEAST_COHORT, F.col("r2") >= LEAST_COHORT
-    return x.select("primary_role", "band", F.when(own, "role-tier").when(near, "role-tier-adjacent").otherwise("unavailable").alias("comparison"), F.when(own, F.col("users")).when(near, F.col("r2")).otherwise(F.col("r1")).alias("samples"))
+    known = x.select("primary_role", "band", F.when(own, "role-tier").when(near, "role-tier-adjacent").otherwise("unavailable").alias("comparison"), F.when(own, F.col("users")).when(near, F.col("r2")).otherwise(F.col("r1")).alias("samples"))
+    none = every.where("primary_role is null").select("primary_role", "band").distinct()
+    return known.unionByName(none.withColumns({"comparison": F.lit("unavailable"), "samples": F.lit(0).cast("long")}))
 
 
 SHADOW = (
