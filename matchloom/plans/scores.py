@@ -20,13 +20,13 @@ R2, R4, R6 = (f"floor(({{0}}) * {10**d} + 0.5) / {10**d}" for d in (2, 4, 6))
 KEY = ["game_id", "slot", "part_id", "source_id", "kills"]
 
 
-def scored(spark, sf_dir: str) -> DataFrame:
-    """Rank matches with a named role, vision (null for some), monsters, and some lengths unknown or zero."""
+def scored(spark, sf_dir: str, unknown: bool = True) -> DataFrame:
+    """Rank matches with a named role, vision (null for some), monsters, and, if wanted, some lengths unknown or zero."""
     duration = F.when(F.col("part_id") % 29 == 0, None).when(F.col("part_id") % 31 == 0, 0).otherwise(F.col("duration"))
     named = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("part_id") % 7 + 1).cast("int"))
     vision = F.when(F.col("source_id") % 13 != 0, (F.col("part_id") % 40).cast("double"))
     known = F.when(F.col("duration") > 0, duration_bucket(F.col("duration"))).otherwise("unknown")
-    x = rank_only(player_match(spark, sf_dir)).withColumns({"role": named, "vision": vision, "monster": ((F.col("part_id") + F.col("source_id")) % 30).cast("double"), "duration": duration})
+    x = rank_only(player_match(spark, sf_dir)).withColumns({"role": named, "vision": vision, "monster": ((F.col("part_id") + F.col("source_id")) % 30).cast("double"), "duration": duration if unknown else F.col("duration")})
     return x.withColumn("bucket", known)
 
 
@@ -277,14 +277,15 @@ sn AS (SELECT uid, character_num, count(*) matches, {R2.format("avg(placement)")
 
 def snapshots(spark, sf_dir: str) -> DataFrame:
     """One row per player and character: means, rates, primary role, tier band of the upper median of rank points, and the sample's status."""
-    x = scored(spark, sf_dir)
+    x = scored(spark, sf_dir, unknown=False)
     w = Window.partitionBy("uid", "character_num")
     roles = x.where("weapon > 0").groupBy("uid", "character_num", "role").agg(F.count(F.lit(1)).alias("c"))
     primary = roles.groupBy("uid", "character_num").agg(F.max_by("role", F.struct("c", "role")).alias("primary_role"))
     ordered = x.where("rp_after > 0").select("uid", "character_num", "rp_after", (F.row_number().over(w.orderBy("rp_after")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("k"))
     median = ordered.where("i = k div 2").select("uid", "character_num", F.col("rp_after").alias("median_rp"))
     # Six digits of each match are summed exactly, so that means on a rounding edge do not depend on the order.
-    per = lambda c: F.try_divide(F.sum((F.col(c) / (F.col("duration") / F.lit(60.0))).cast("decimal(24,6)")).cast("double"), F.count(c))
+    rate = lambda c: F.when(F.col("duration") > 0, F.col(c) / (F.col("duration") / F.lit(60.0)))
+    per = lambda c: F.try_divide(F.sum(rate(c).cast("decimal(24,6)")).cast("double"), F.count(rate(c)))
     ratio = js_round(participation_capped(F.col("kills"), F.col("assists"), F.col("team_kills")), 6)
     r2 = lambda c: js_round(c, 2)
     s = x.groupBy("uid", "character_num").agg(
