@@ -122,6 +122,39 @@ ELITE_TIER = "in1000"
 ELITE_TIERS = ("in1000", "mithril_plus", "meteorite_plus", "diamond_plus", "platinum_plus", "platinum", "gold", "silver", "bronze", "iron")
 P4_POINTS = {1: 4.0, 2: 3.0, 3: 2.0, 4: 0.5, 5: -0.5, 6: -2.0, 7: -3.0, 8: -4.0}
 
+#: Keys of raw match JSON that are never looked into, lower-cased.
+HIDDEN_KEYS = ("nickname", "usernum", "userid", "uid", "apikey", "x-api-key", "authorization", "token", "accesstoken", "refreshtoken")
+#: Parts of a path that make it a role metric.
+FIELD_KEYWORDS = (
+    "heal", "healing", "healed", "recovery", "recover", "restore", "shield", "barrier", "absorb", "protect", "damageTaken", "damageReceived", "damageReceive",
+    "receivedDamage", "damageReduce", "damageMitigation", "damageFrom", "damageTo", "fromPlayer", "fromMonster", "toPlayer", "toMonster", "tank", "cc", "crowd",
+    "stun", "slow", "root", "snare", "taunt", "knock", "airborne", "silence", "bind", "assist", "teamKill", "vision", "view",
+)
+#: Patterns on the lower-cased path; the capital in damageTaken never matches, which is kept.
+FIELD_CATEGORIES = {
+    "heal": ("heal|healing|healed|recovery|recover|restore",),
+    "shield": ("shield|barrier|absorb|protect",),
+    "tank": ("damageTaken|damagereceived|damagereceive|receiveddamage|damagereduce|damagemitigation|damagefrom|tank",),
+    "cc": ("cc|crowd|stun|slow|root|snare|taunt|knock|airborne|silence|bind",),
+    "supportVision": ("assist|teamkill|vision|view",),
+}
+#: Patterns that must all match, or must not where a minus stands before.
+FIELD_MEANINGS = {
+    "selfHeal": ("self|own|playerheal|healtoplayer|healself|selfrecovery",),
+    "allyHeal": ("ally|team|other|friend|party|teammate|healtoother|healothers|supportheal",),
+    "totalHeal": ("total|all|sum|overall", "heal|recovery|restore"),
+    "foodHeal": ("food|consumable|item|potion|meal|vf|vfcredit|gainvf",),
+    "skillHeal": ("skill|ability|spell|active|passive|ultimate|tactical",),
+    "shieldGrant": ("shield|barrier|protect", "-absorb|mitig|reduce|from"),
+    "shieldAbsorb": ("absorb|mitig|block|negat", "shield|barrier|protect|damage"),
+    "playerDamageTaken": ("fromplayer|playerdamage|damageto", "from|receive|taken"),
+    "monsterDamageTaken": ("monster|animal|mob|pve|wild", "damage|from|receive|taken"),
+    "totalDamageTaken": ("total|all|sum|overall", "damage|taken|receive"),
+    "damageReduced": ("reduce|mitig|decrease|prevent",),
+    "preDeathDamage": ("beforedeath|predeath|predmg|last",),
+    "survivalTime": ("surviv|lifetime|liveduration|playtime|duration|timealive",),
+}
+
 # End of fixed values.
 
 
