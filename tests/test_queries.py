@@ -41,7 +41,7 @@ def test_equals_sql(spark, sf, duck, name):
     sql = registry.oracle_sql().get(name)
     if sql is None:
         # Held against plain loops below, in test_stability.py, test_holdout.py and test_identity.py.
-        assert name in ("isotonic_curves", "stream_mode_controller", "metric_bootstrap", "live_eligibility", "time_curve_points", "holdout_ratios", "holdout_changes", "identity_clusters") and df.count() > 0
+        assert name in ("isotonic_curves", "stream_mode_controller", "metric_bootstrap", "live_eligibility", "time_curve_points", "holdout_ratios", "holdout_changes", "identity_clusters", "collector_modes") and df.count() > 0
         return
     found = duck.execute(sql)
     columns = [c[0] for c in found.description]
