@@ -192,3 +192,24 @@ def ladder_tier(rp: Column, season: Column, rank: Column) -> Column:
         return out.otherwise(label("Unranked", None, False))
 
     return by_season(season, {s: one(s) for s in LADDERS})
+
+#: Play styles: weights of measures in an axis (a minus: less is better), of axes in a role, and names of axes.
+AXIS_MEASURES = {
+    "survival": {"-place": 35, "top3": 30, "-deaths": 20, "-bottom": 15},
+    "combat": {"damage": 40, "kills": 35, "assists": 25},
+    "macro": {"credit_rate": 30, "animals": 30, "seconds": 25, "items": 15},
+    "support": {"vision": 75, "involvement": 25},
+    "finish": {"wins": 35, "top2": 30, "-place": 20, "late": 15},
+    "consistency": {"-place_sd": 40, "-half_gap": 30, "-kda_cv": 30},
+}
+AXIS_NAMES = {"survival": "생존", "combat": "교전", "macro": "운영", "support": "지원", "finish": "마무리", "consistency": "일관성"}
+STYLE_WEIGHTS = {
+    "basicAttackDealer": (15, 30, 20, 5, 20, 10), "skillAmpDealer": (15, 30, 20, 5, 20, 10), "bruiser": (25, 25, 20, 10, 10, 10),
+    "support": (20, 10, 10, 40, 10, 10), "tank": (30, 10, 15, 30, 5, 10), "assassin": (10, 35, 15, 5, 25, 10),
+}
+LEAST_STYLE = 3
+
+#: Shadow grades by outcome: points of places 1 to 8 for each candidate, and the gates of role and outcome scores.
+OUTCOME_POINTS = {"A": (6.0, 4.5, 3.0, 1.0, -1.0, -3.0, -4.5, -6.0), "B": (8.0, 6.0, 4.0, 1.5, -1.5, -4.0, -6.0, -8.0), "C": (10.0, 7.5, 5.0, 2.0, -2.0, -5.0, -7.5, -10.0)}
+S_ROLE_GATE, S_PLUS_ROLE_GATE, S_PLUS_OUTCOME_GATE = 84.0, 96.0, 88.0
+OVERALL_GRADES = [(88.0, "S"), (72.0, "A"), (56.0, "B"), (38.0, "C")]

@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import aggregates, calibration, history, holdout, identity, increments, joins, ranking, rawjson, rows, scores, stability, streams, tables, windows  # noqa: F401
+    from . import aggregates, calibration, history, holdout, identity, increments, joins, outcomes, playstyle, ranking, rawjson, rows, scores, stability, streams, tables, windows  # noqa: F401
 
     return dict(_QUERIES)
 
