@@ -9,6 +9,8 @@ The trees are fitted on the driver to generated, labelled sentences; their numbe
 not depend on the documents. A kind's threshold is the lowest that reaches the wanted precision on sentences whose
 wordings and formats had no part in the fit, halfway to the next score below.
 
+Generators, context and the generated sentences cover English, German, French and Spanish.
+
 Null and empty texts have no spans. Repeated rows are searched alike, row by row.
 """
 
@@ -77,18 +79,19 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-AT = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|<at>)\s?| at ", re.I)
-SPELLED = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\s?| dot )[A-Za-z0-9-]+)+", re.I)
-KEYS = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credentials?|private[_ -]?key"
+# What generators and context features look for is written in the languages of the documents: English, German, French, Spanish.
+AT = re.compile(r"\s?[(\[{<](?:at|ät|arobase|arroba)[)\]}>]\s?| (?:at|ät|arobase|arroba) ", re.I)
+SPELLED = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{<](?:dot|punkt|point|punto)[)\]}>]\s?| (?:dot|punkt|point|punto) )[A-Za-z0-9-]+)+", re.I)
+KEYS = r"pass(?:word|wort|wd|phrase|code)?|kennwort|mot de passe|contraseña|clave|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credentials?|private[_ -]?key"
 GENERATORS = {
     "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4})?(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])"),
-    "phone": re.compile(r"(?<![\w.+-])(?:\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,4}){2,5}|[0-9]{9,11})(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.+-])(?:\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,4}){2,5}|(?:\(0?[0-9]{2,5}\)|0[0-9]{2,5})[ ./-]{1,2}[0-9]{4,8}|[0-9]{9,11})(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9])+(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"),
 }
-ASSIGNED = re.compile(rf"(?:{KEYS})[\"']?(?:\s*[=:]\s*|\s+is\s+|\s+)[\"']?([^\s\"',;]{{6,}})", re.I)
+ASSIGNED = re.compile(rf"(?:{KEYS})[\"']?(?:\s*[=:]\s*|\s+(?:is|ist|est|es)\s+|\s+)[\"']?([^\s\"',;]{{6,}})", re.I)
 KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")
 
 
@@ -119,19 +122,21 @@ def candidates(text: str) -> list[Span]:
 
 WORDS = {
     "secret": re.compile(KEYS, re.I),
-    "phone": re.compile(r"phone|call|\btel|mobil|cell|fax|contact|dial|ring|reach|sms|text me", re.I),
-    "card": re.compile(r"card|visa|credit|debit|amex|payment|\bpay", re.I),
-    "ssn": re.compile(r"\bssn|social|security n", re.I),
-    "iban": re.compile(r"iban|account|bank|konto|transfer", re.I),
-    "net": re.compile(r"\bip\b|ipv6|host|address|server|login|client|gateway|ping", re.I),
-    "mail": re.compile(r"mail|write|reach|contact|send", re.I),
-    "number": re.compile(r"order|invoice|part|serial|version|isbn|\bref|sku|page|total|\blot|build|ticket|tracking|article", re.I),
-    "hash": re.compile(r"commit|\bsha|md5|checksum|hash|digest|uuid|http|path|blob|object|file|image|class|function", re.I),
+    "phone": re.compile(r"phone|call|\btel|mobil|cell|fax|contact|dial|ring|reach|sms|text me|anruf|\bruf|handy|durchwahl|téléph|appel|portable|joindre|teléf|llám|llama|móvil|contacto|my number|meine nummer|mon numéro|mi número", re.I),
+    "card": re.compile(r"card|visa|credit|debit|amex|payment|\bpay|karte|zahl|\bcarte|paiement|tarjeta|pago", re.I),
+    "ssn": re.compile(r"\bssn|social|security n|sozial|sécurité|seguridad", re.I),
+    "iban": re.compile(r"iban|account|bank|konto|transfer|überweis|compte|virement|cuenta|banco", re.I),
+    "net": re.compile(r"\bip\b|ipv6|host|address|server|login|client|gateway|ping|rechner|serveur|servidor", re.I),
+    "mail": re.compile(r"mail|write|reach|contact|send|schreib|écri|courriel|escrib|correo", re.I),
+    "number": re.compile(r"order|invoice|part|serial|version|isbn|\bref|sku|page|total|\blot|build|ticket|tracking|article|bestell|rechnung|vorgang|artikel|seite|commande|facture|numéro de s|pedido|factura|página", re.I),
+    "hash": re.compile(r"commit|\bsha|md5|checksum|hash|digest|uuid|http|path|blob|object|file|image|class|function|prüfsumme|datei|somme|fichier|archivo", re.I),
 }
 ORDER = (*KINDS, *MORE)
 #: Characters of context on each side that features read.
 CONTEXT = 48
-SPELLED_AT, SPELLED_DOT = re.compile(r"[(\[{<]at[)\]}>]", re.I), re.compile(r"\bdot\b", re.I)
+SPELLED_AT, SPELLED_DOT = re.compile(r"[(\[{<](?:at|ät|arobase|arroba)[)\]}>]| (?:ät|arobase|arroba) ", re.I), re.compile(r"\b(?:dot|punkt|point|punto)\b", re.I)
+#: Words that stand before "at" in prose.
+BEFORE_AT = re.compile(r"(?:is|was|are|were|be|been|look|looked|me|him|her|us|them|it|sat|met|stay|work|works|worked|meet|live|lives|arrive|arrived)\b", re.I)
 #: Fixed beginnings of well-known keys.
 KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abp]-|sk[_-]|AIza|eyJ|glpat-|-----BEGIN")
 TOP = frozenset("com org net edu gov info io de fr es it uk eu".split())
@@ -152,29 +157,29 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), float("u" in classes and "l" in classes), sum(x != y for x, y in zip(classes, classes[1:])) / n,
         float(s[:1] == "("), float(s[:1] == "0"), float(after[:1] in "-/_" and after != ""), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(s.count("_") + s.count("-") + s.count("/")), float(s.count(":")), float("::" in s), float(bool(SPELLED_AT.search(s))), float(bool(SPELLED_DOT.search(s))),
-        float(s.lower().rpartition(".")[2].strip() in TOP or s.lower().split()[-1] in TOP), float(". " in s), float(bool(KNOWN.match(s))),
+        float(s.lower().rpartition(".")[2].strip() in TOP or s.lower().split()[-1] in TOP), float(". " in s), float(bool(KNOWN.match(s))), float(kind == "email" and bool(BEFORE_AT.match(s))), float(kind == "email" and any(x[:1].isupper() for x in re.split(r"[\s.]+", s)[2:])),
         *(float(bool(w.search(before))) for w in WORDS.values()), *(float(bool(w.search(after))) for k, w in WORDS.items() if k in ("phone", "card", "secret")),
     ]
 
 
 #: Wordings before personal data and before look-alikes, by kind. Those after the bar only calibrate and measure.
 LEADS = {
-    "email": ("write to |mail |reach me: |e-mail |contact | send it to |", "my address is |ask |drop a line to "),
+    "email": ("write to |mail |reach me: |e-mail |contact | send it to ||Schreiben Sie an |écrivez à |escríbeme a |courriel : |correo: ", "my address is |ask |drop a line to |Mail an |envoyez à |envía a "),
     "ip": ("from |host |login from |address |server |ip ", "client |gateway |ping |connected to "),
-    "phone": ("call |phone: |tel. |mobile |contact |fax |ring ", "cell: |reach me on |dial |text me at "),
-    "card": ("card |visa |credit card: |payment by card |debit card ", "amex |pay with |card number "),
+    "phone": ("call |phone: |tel. |mobile |contact |fax |ring |Telefon: |ruf mich an unter |téléphone : |appelez le |teléfono: |llámame al |móvil |my number is |meine Nummer ist |mon numéro est le |mi número es ", "cell: |reach me on |dial |text me at |Handy |Durchwahl |joindre au |portable : |llama al "),
+    "card": ("card |visa |credit card: |payment by card |debit card |Kreditkarte |carte bancaire |tarjeta ", "amex |pay with |card number |Karte Nr. |carte : |tarjeta de crédito: "),
     "ssn": ("ssn |social security number |SSN: ", "social security no. |my ssn is "),
-    "iban": ("IBAN |account |bank: ||konto ", "transfer to |iban: "),
-    "secret": ("password=|token = \"|secret: |api_key=|passwd: |auth token '|password is |access_key = ", "pwd=|bearer |credentials: |private key: |passphrase = \""),
+    "iban": ("IBAN |account |bank: ||konto |compte |cuenta ", "transfer to |iban: |überweisen auf |virement vers |cuenta: "),
+    "secret": ("password=|token = \"|secret: |api_key=|passwd: |auth token '|password is |access_key = |Passwort: |Kennwort ist |mot de passe : |mot de passe est |contraseña: |clave: ", "Passwort ist |mot de passe: |contraseña es |pwd=|bearer |credentials: |private key: |passphrase = \""),
 }
 NOT_LEADS = {
-    "email": ("look |we met |||from |and |inged ", "they sat |stay |eded "),
+    "email": ("look |we met |||from |and |inged |they work |she is ", "they sat |stay |eded |he was "),
     "ip": ("time |ratio |score ||at ", "from |split |aspect "),
-    "phone": ("order |invoice |isbn |total |page ||ref |part ", "ticket |serial |tracking |article "),
-    "card": ("order |serial |part |invoice ||lot ", "tracking |isbn |ref |build "),
+    "phone": ("order |invoice |isbn |total |page ||ref |part |Bestellung |Rechnung |commande |facture |pedido |factura ", "ticket |serial |tracking |article |Vorgang |Artikel |numéro de série |página "),
+    "card": ("order |serial |part |invoice ||lot |Bestellung |commande |pedido ", "tracking |isbn |ref |build |Rechnung |facture |factura "),
     "ssn": ("part |order |sku |ref ", "lot |article |"),
     "iban": ("part |serial |build ", "ref |order |"),
-    "secret": ("commit |sha256 |checksum: |md5 |blob |http://x.org/||object |of ", "digest |class |function |image |file |the "),
+    "secret": ("commit |sha256 |checksum: |md5 |blob |http://x.org/||object |of |Datei |fichier |archivo ", "Prüfsumme |digest |class |function |image |file |the "),
 }
 
 
@@ -195,17 +200,17 @@ def labelled(rows: int, seed: int = 3, held: bool = False) -> list[tuple[str, Sp
     v6 = [lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"fe80::{hexa(rng.randint(1, 4))}", lambda: f"2001:db8:{hexa(4)}::{hexa(3)}"]
     pem = lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{mixed(64)}\n{mixed(40)}\n-----END RSA PRIVATE KEY-----"
     good = {
-        "email": [lambda: f"{user()}{pick([' at ', ' (at) ', '[at]'])}{name()}{pick([' dot ', '.', ' (dot) '])}{top()}", *([lambda: f"{user()} {{at}} {name()}.{top()}"] * held)],
+        "email": [lambda: f"{user()}{pick([' at ', ' (at) ', '[at]', ' (ät) ', ' arobase ', ' arroba '])}{name()}{pick([' dot ', '.', ' (dot) ', ' punkt ', ' point ', ' punto '])}{top()}", *([lambda: f"{user()} {{at}} {name()}.{top()}"] * held)],
         "ip": v6,
-        "phone": [lambda: f"{pick(['(%s) ', '%s-', '%s ', '%s.']) % digits(3)}{digits(3)}{sep()}{digits(4)}", lambda: " ".join(["0" + digits(1), *(digits(2) for _ in range(4))]), lambda: f"0{digits(rng.randint(2, 3))}{pick(' /-')}{digits(3)} {digits(3)}"],
+        "phone": [lambda: f"{pick(['(%s) ', '%s-', '%s ', '%s.']) % digits(3)}{digits(3)}{sep()}{digits(4)}", lambda: " ".join(["0" + digits(1), *(digits(2) for _ in range(4))]), lambda: f"0{digits(rng.randint(2, 3))}{pick(' /-')}{digits(3)} {digits(3)}", lambda: f"{pick('69')}{digits(2)} {digits(3)} {digits(3)}", lambda: pick(["(0%s) ", "0%s ", "0%s/", "0%s-"]) % digits(rng.randint(2, 4)) + digits(rng.randint(5, 8))],
         "card": [lambda: pick([" ", "-", ""]).join(digits(4) for _ in range(4))],
         "ssn": [lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"],
         "iban": [lambda: f"{pick(['DE', 'FR', 'ES', 'GB'])}{digits(2)} " + " ".join(digits(4) for _ in range(rng.randint(4, 5))), lambda: f"{pick(['DE', 'NL', 'IT'])}{digits(2)}" + digits(rng.choice([16, 18, 20]))],
-        "secret": [lambda: hexa(rng.randint(16, 48)), lambda: mixed(rng.randint(16, 48)), lambda: camel(rng.randint(2, 4)), lambda: f"{name()}{pick('!#$_')}{digits(3)}", *([lambda: f"{camel(2)}{digits(2)}{pick('!?')}"] * held)],
+        "secret": [lambda: hexa(rng.randint(16, 48)), lambda: mixed(rng.randint(16, 48)), lambda: camel(rng.randint(2, 4)), lambda: f"{name()}{pick('!#$_')}{digits(3)}", lambda: f"{camel(1)}{digits(rng.randint(3, 4))}{pick(['!', '?', '', ''])}", lambda: f"{name()}{name()}{digits(rng.randint(4, 5))}", *([lambda: f"{camel(2)}{digits(2)}{pick('!?')}"] * held)],
     }
     alone = [lambda: f"AKIA{upper(16)}", lambda: f"ghp_{mixed(36)}", lambda: f"eyJ{mixed(30)}", lambda: f"sk_live_{mixed(24)}", pem, *([lambda: f"xoxb-{digits(12)}-{mixed(24)}", lambda: f"glpat-{mixed(20)}"] * held)]
     bad = {
-        "email": [lambda: f"{name()} at {name()}.{name()}", lambda: f"{name()} at {name()}. {name().capitalize()}", lambda: f"{name()} at {name()}.{pick(['The', 'And', 'In', 'By'])}"],
+        "email": [lambda: f"{name()} at {name()}.{name()}", lambda: f"{name()} at {name()}. {name().capitalize()}", lambda: f"{name()} at {name()}.{pick(['The', 'And', 'In', 'By'])}", lambda: f"{pick(['is', 'was', 'me', 'work', 'are'])} at {name().capitalize()}.{pick(['Com', 'com', 'net', 'org'])}"],
         "ip": [lambda: ":".join(digits(2) for _ in range(rng.randint(3, 5))), lambda: f"{digits(1)}:{digits(1)}:{digits(1)}", lambda: "::"],
         "phone": [lambda: digits(10), lambda: f"{digits(4)} {digits(4)} {digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}", lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.20{digits(2)}"],
         "card": [lambda: digits(rng.randint(12, 19)), lambda: " ".join(digits(4) for _ in range(3))],
@@ -222,7 +227,10 @@ def labelled(rows: int, seed: int = 3, held: bool = False) -> list[tuple[str, Sp
             lead, value = pick([lead, "", "key ", "use "]), pick(alone)()
         if kind == "secret" and not y and rng.random() < 0.2:
             # a word that names secrets in ordinary prose
-            lead, value = pick(["the password ", "a token ", "secret ", "her private key "]), pick(["protects", "remains", "of the", "between", "expired", name(), name()])
+            lead, value = pick(["the password ", "a token ", "secret ", "her private key ", "das Passwort ", "ein Kennwort ", "le mot de passe ", "la contraseña ", "la clave "]), pick(["protects", "remains", "of the", "between", "expired", "schützt", "nécessaire", "protege", "oublié", name(), name()])
+        if kind in ("phone", "card", "ssn") and not y and lead and rng.random() < 0.15:
+            # the very formats of personal data, where only the words around tell
+            value = pick(good[kind])()
         text = f"{filler()} {lead}"
         a = len(text)
         text += value + (text[-1] if text[-1] in "\"'" else "") + f" {filler()}"
