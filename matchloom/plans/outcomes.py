@@ -124,7 +124,7 @@ def team_kill_meaning(spark, sf_dir):
     t = player_match(spark, sf_dir).groupBy("game_id", "team_number").agg((F.min("team_kills") == F.max("team_kills")).alias("same"), F.min("team_kills").alias("a"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("team_kills") == F.col("kills") + F.col("assists")).alias("e"))
     g = t.groupBy("game_id").agg(F.count(F.lit(1)).alias("teams"), F.count_if("same").alias("same"), (F.min("a") != F.max("a")).alias("apart"), F.sum("n").alias("n"), F.sum("e").alias("e"))
     s = g.agg(
-        F.sum("teams").alias("team_groups"), F.sum("same").alias("uniform_teams"), F.count_if(F.col("teams") > 1).alias("comparable_games"), F.count_if((F.col("teams") > 1) & F.col("apart")).alias("different_games"),
+        F.coalesce(F.sum("teams"), F.lit(0)).alias("team_groups"), F.coalesce(F.sum("same"), F.lit(0)).alias("uniform_teams"), F.count_if(F.col("teams") > 1).alias("comparable_games"), F.count_if((F.col("teams") > 1) & F.col("apart")).alias("different_games"),
         F.sum("e").alias("equal_rows"), F.sum("n").alias("n"),
     )
     part = lambda a, b: js_round(F.try_divide(F.col(a), F.col(b)), 4)

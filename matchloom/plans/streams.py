@@ -68,8 +68,9 @@ def collector_modes(spark, sf_dir):
     folder, reports = shared_folder(spark), run_reports(spark, sf_dir)
     first, last = reports.agg(F.min("arrived"), F.max("arrived")).first()
     schema = reports.drop("arrived").schema
-    half = F.lit(first) + (F.lit(last) - F.lit(first)) / 2
-    end = (F.lit(last).cast("timestamp") + F.expr("INTERVAL 60 DAYS")).alias("at")
+    start, stop = (F.lit(t).cast("timestamp") for t in (first, last))
+    half = start + (stop - start) / 2
+    end = (stop + F.expr("INTERVAL 60 DAYS")).alias("at")
     close = spark.range(1).select(*(end if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     for part in (reports.where(F.col("arrived") <= half), reports.where(F.col("arrived") > half), close):
         part.select(*schema.names).write.mode("append").parquet(f"{folder}/reports")
