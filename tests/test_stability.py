@@ -150,3 +150,18 @@ def test_quantiles_of_counts(spark):
     for r in counted.with_ranks(df, ["k"], "v").collect():
         own = [v for x, v in rows if x == r.k and v is not None]
         assert (r.before, r.n, r.total) == (sum(v < r.v for v in own), own.count(r.v), len(own))
+
+
+def test_draws_of_large_groups_are_not_shuffled(spark, monkeypatch):
+    """Groups of many blocks, one of them with values that repeat often; draws were once sent as arrays to the values' tasks."""
+    monkeypatch.setattr(resampling, "BLOCK", 32)
+    rnd = random.Random(8)
+    groups = {"much": [float(rnd.randrange(20)) for _ in range(2000)], "fine": [rnd.random() for _ in range(300)], "few": [float(rnd.randrange(3)) for _ in range(500)]}
+    df = resampling.replicates(spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double"), ["k"], "v", 40, 7)
+    assert "_index" not in df._jdf.queryExecution().toString()
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.k, []).append((r.iteration, r["mean"], r.anchor))
+    for k, vs in groups.items():
+        for (i, m, a), (j, m2, a2) in zip(sorted(got[k]), by_loop(vs, 40, 7), strict=True):
+            assert i == j and m == pytest.approx(m2, rel=1e-12) and a == pytest.approx(a2, rel=1e-12)
