@@ -4,6 +4,8 @@ The binding carries no meaning of its own: it gives every role of the schema a c
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the lineitem files to a task. A task then has some 450,000 matches, whatever the size of the table.
+TASK_BYTES = 8_000_000
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """How many tasks the matches are dealt to; none where spark.sql.shuffle.partitions is enough."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    n = ceil(path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() / TASK_BYTES)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, sf_dir: str, *keys: str) -> DataFrame:
+    """df dealt out by keys to a number of tasks that grows with the matches, so that a task's sorts and hash tables do not; small tables are left to Spark."""
+    n = tasks(df.sparkSession, sf_dir)
+    return df.repartition(n, *keys) if n else df
+
+
 def player_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the columns that a query uses are read: the projection is pushed to both scans."""
-    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    """Only the columns that a query uses are read: the projection is pushed to both scans. Large tables come dealt out by game, so what follows by game shuffles nothing."""
+    l, o = spread(table(spark, sf_dir, "lineitem"), sf_dir, "l_orderkey"), spread(table(spark, sf_dir, "orders"), sf_dir, "o_orderkey")
     j = l.join(o, l.l_orderkey == o.o_orderkey)
     whole = lambda c: F.floor(c).cast("long")
     return j.select(
