@@ -9,7 +9,7 @@ from matchloom.functions.core import js_round, safe_kda, steps
 from matchloom.functions.fixed import FINE_GRADES, LOWEST
 from matchloom.operators.counted import counted, quantile, ranked
 from matchloom.operators.survivorship import first_by, merge_by_priority
-from matchloom.sources.facts import PM, player_match, rank_only
+from matchloom.sources.facts import PM, player_match, rank_only, spread
 
 from .registry import query
 from .scores import CHAIN, GRADE, match_grade_rows, role_score_rows
@@ -122,7 +122,8 @@ def low_tier_queue(spark, sf_dir):
 SELECT uid, character_num, games FROM r WHERE i = 1 AND games >= 2 AND games IS DISTINCT FROM next_games""")
 def clear_winners(spark, sf_dir):
     """A player's character with the most games, two at least, unless another has as many."""
-    c = player_match(spark, sf_dir).groupBy("uid", "character_num").agg(F.countDistinct("game_id").alias("games"))
+    games = player_match(spark, sf_dir).select("uid", "character_num", "game_id").distinct()
+    c = spread(games, sf_dir, "uid", "character_num").groupBy("uid", "character_num").agg(F.count("game_id").alias("games"))
     w = Window.partitionBy("uid").orderBy(F.desc("games"), "character_num")
-    r = c.withColumns({"i": F.row_number().over(w), "next_games": F.lead("games").over(w)})
+    r = spread(c, sf_dir, "uid").withColumns({"i": F.row_number().over(w), "next_games": F.lead("games").over(w)})
     return r.where((F.col("i") == 1) & (F.col("games") >= 2) & ~F.col("games").eqNullSafe(F.col("next_games"))).select("uid", "character_num", "games")
