@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.core import js_round, relative_score
 from matchloom.functions.fixed import LEAST_BASELINE, TIER_KEYS, chosen
 from matchloom.operators.lookups import first_level, shrunk_levels
-from matchloom.sources.facts import PM, player_match, rank_only, table
+from matchloom.sources.facts import PM, player_match, rank_only, spread, table
 
 from .registry import query
 
@@ -105,7 +105,8 @@ def shared_games(spark, sf_dir):
     """Players that share two games or more: a join on the game, whose size is bounded by its participants."""
     g = player_match(spark, sf_dir).select("source_id", "game_id").distinct()
     a, b = g.withColumnRenamed("source_id", "a"), g.withColumnRenamed("source_id", "b")
-    return a.join(b, "game_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    pairs = spread(a.join(b, "game_id").where("a < b").select("a", "b"), sf_dir, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
 @query(f"""WITH {PM}, e AS (SELECT DISTINCT game_id FROM pm WHERE source_id = 7) SELECT source_id, count(DISTINCT game_id) overlap FROM pm JOIN e USING (game_id) WHERE source_id <> 7 GROUP BY 1 HAVING count(DISTINCT game_id) >= 2""")
