@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.core import nickname, stable_hash
 from matchloom.operators.survivorship import completeness, first_by, first_n_by, merge_by_priority, outcome, upsert
-from matchloom.sources.facts import PM, mode_filter, player_match, rank_only, table
+from matchloom.sources.facts import PM, mode_filter, player_match, rank_only, spread, table
 
 from .registry import query
 
@@ -84,7 +84,8 @@ def analysis_eligibility(spark, sf_dir):
     w = Window.partitionBy("uid", "game_id").orderBy(*ORDER_SQL.split(", "))
     pm = player_match(spark, sf_dir).withColumn("d", F.row_number().over(w))
     bucket = F.when(F.col("d") > 1, "duplicate").when(F.col("game_mode") != "rank", "unsupported").when(F.col("weapon") == 0, "ungradable").otherwise("eligible")
-    return pm.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("players"))
+    players = spread(pm.select(bucket.alias("bucket"), "uid"), sf_dir, "bucket", "uid").groupBy("bucket", "uid").agg(F.count(F.lit(1)).alias("n"))
+    return players.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("uid").alias("players"))
 
 
 @query(f"""WITH {PM}, d AS (SELECT *, row_number() OVER (PARTITION BY uid, game_id ORDER BY {ORDER_SQL}) r FROM pm WHERE season IN (1996, 1997))
