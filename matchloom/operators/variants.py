@@ -1,11 +1,15 @@
-"""Raw match JSON of unknown nesting: an inventory of its paths, and weapons read back from it. All on VARIANT values in the JVM."""
+"""Raw match JSON of unknown nesting: an inventory of its paths by a plain walk in tasks, and weapons read back from it by VARIANT expressions."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from matchloom.functions.fixed import FIELD_CATEGORIES, FIELD_KEYWORDS, FIELD_MEANINGS, HIDDEN_KEYS
 
@@ -39,65 +43,129 @@ def part(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def nesting(text: Column) -> Column:
-    """How many brackets are open at most in a JSON text."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    step = lambda s, m: F.struct((s["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))
-    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
-
-
-NODES = "array<struct<path:string,at:array<int>,v:variant,kind:string,number:double>>"
-
-
-def _node(path: Column, at: Column, v: Column, kind: Column | None = None, number: Column | None = None) -> Column:
-    kind, number = F.lit(None).cast("string") if kind is None else kind, F.lit(None).cast("double") if number is None else number
-    return F.struct(path.alias("path"), at.alias("at"), v.alias("v"), kind.alias("kind"), number.alias("number"))
-
-
-def _children(n: Column) -> Column:
-    """A node, closed, and what it holds: array places fold into []; hidden keys are left out with all below them."""
-    glue = F.when(n["path"].isin("", "[]"), n["path"]).otherwise(F.concat(n["path"], F.lit(".")))
-    items = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda x, i: _node(F.concat(n["path"], F.lit("[]")), F.concat(n["at"], F.array(i)), x))
-    fields = F.filter(F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>")), lambda e: ~F.lower(e["key"]).isin(*HIDDEN_KEYS))
-    below = F.transform(fields, lambda e: _node(F.concat(glue, e["key"]), n["at"], e["value"]))
-    closed = lambda kind, number: F.array(_node(n["path"], n["at"], F.lit(None).cast("variant"), kind, number))
-    opened = _bound(kind_and_number(n["v"]), lambda k: F.concat(closed(k["kind"], k["number"]), F.when(k["kind"] == "array", items).when(k["kind"] == "object", below).otherwise(F.array().cast(NODES))))
-    return F.when(n["v"].isNull(), F.array(n)).otherwise(opened)
-
-
-#: Levels of nesting that one expression walks.
-STEPS = 4
-
-
-def _once(c: Column) -> Column:
-    """One row in, one row out: the generator keeps a value from being computed again wherever it is named above."""
-    return F.explode(F.array(c))
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+#: All numbers become doubles; NaN and Infinity are no JSON.
+_DECODER = json.JSONDecoder(object_pairs_hook=_once, parse_int=float, parse_constant=_no_number)
+
+
+def _loaded(text: str) -> object:
+    return _DECODER.decode(text)
+
+
+KINDS = ["number", "string", "boolean", "null", "array", "object"]
+NUMBER, STRING, BOOLEAN, NULL, ARRAY, OBJECT = range(6)
+#: Which kind of a path's places counts, and their order where the places are equal (by the kinds' names).
+_RANK = [(0, 1), (1, 1), (1, 0), (2, 0), (3, 0), (3, 1)]
+
+
+class _Paths:
+    """The paths met in a batch, by number; -1 stands for hidden keys and 0 for the root."""
+
+    def __init__(self):
+        self.names, self.below, self.numbers = [""], {}, {"": 0}
+
+    def number(self, name: str) -> int:
+        n = self.numbers.get(name)
+        if n is None:
+            n = self.numbers[name] = len(self.names)
+            self.names.append(name)
+        return n
+
+    def child(self, parent: int, key: str | None) -> int:
+        """key None: an array's items."""
+        up = self.names[parent]
+        if key is None:
+            n = self.number(up + "[]")
+        elif key.lower() in HIDDEN_KEYS:
+            n = -1
+        else:
+            key = key.encode("utf-8", "replace").decode()
+            n = self.number(up + key if up in ("", "[]") else f"{up}.{key}")
+        self.below[parent, key] = n
+        return n
+
+    def walk(self, value: object) -> dict[int, tuple]:
+        """The place that counts of each path below the root: (rank, places in arrays, number, kind)."""
+        found, below, todo = {}, self.below, [(0, (), value)]
+        while todo:
+            path, at, v = todo.pop()
+            t = type(v)
+            if t is float:
+                kind, number = NUMBER, v
+            elif t is dict:
+                kind, number = OBJECT, 0.0
+                for key, x in v.items():
+                    n = below.get((path, key))
+                    if n is None:
+                        n = self.child(path, key)
+                    if n >= 0:
+                        todo.append((n, at, x))
+            elif t is list:
+                kind, number = ARRAY, 0.0
+                if v:
+                    n = below.get((path, None)) or self.child(path, None)
+                    todo.extend([(n, (*at, i), v[i]) for i in range(len(v) - 1, -1, -1)])
+            else:
+                kind, number = STRING if t is str else NULL if v is None else BOOLEAN, 0.0
+            rank = _RANK[kind]
+            old = found.get(path)
+            if old is None or (rank[0], at, rank[1], number) < (old[0][0], old[1], old[0][1], old[2]):
+                found[path] = (rank, at, number, kind)
+        found.pop(0, None)
+        return found
+
+
+#: Rows of a batch that goes back to Spark, at least.
+ROWS = 50_000
 
 
 def json_paths(docs: DataFrame, json: str, keep: list[str]) -> DataFrame:
     """A row per document and path below the root: keep, path, kind, number; of a path's several places in a document the first number
     counts, else the first other scalar that is not null, else null if a scalar is there, else the first container.
 
-    A text that is null or no JSON, or names a key twice in one object, gives one row with a null path. Any nesting: the deepest text is
-    found first (one number comes back), then that many steps widen each document within its own row, with no shuffle. An empty table
-    gives no rows; a document without paths gives none either."""
-    levels = docs.agg(F.max(nesting(F.col(json)))).first()[0] or 0
-    v = F.try_parse_json(F.col(json))
-    rows = docs.select(*keep, F.when(v.isNotNull(), F.array(_node(F.lit(""), F.array().cast("array<int>"), v))).alias("_nodes"))
-    for first in range(0, levels + 1, STEPS):
-        nodes = F.col("_nodes")
-        for _ in range(min(STEPS, levels + 1 - first)):
-            nodes = F.flatten(F.transform(nodes, _children))
-        rows = rows.select(*keep, _once(nodes).alias("_nodes"))
-    order = lambda n: F.when(n["kind"] == "number", 0).when(n["kind"].isin("string", "boolean"), 1).when(n["kind"] == "null", 2).otherwise(3)
-    plain = F.transform(F.filter("_nodes", lambda n: n["path"] != ""), lambda n: F.struct(n["path"].alias("path"), order(n).alias("order"), n["at"].alias("at"), n["kind"].alias("kind"), n["number"].alias("number")))
-    rows = rows.select(*keep, _once(F.sort_array(plain)).alias("_sorted"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_sorted", lambda n: n["path"]))
-    pairs = F.filter(F.arrays_zip(F.col("_sorted").alias("n"), before.alias("before")), lambda p: p["n"].isNotNull() & ~p["n"]["path"].eqNullSafe(p["before"]))
-    unread = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("number")))
-    first = F.transform(pairs, lambda p: F.struct(p["n"]["path"].alias("path"), p["n"]["kind"].alias("kind"), p["n"]["number"].alias("number")))
-    return rows.select(*keep, F.inline(F.when(F.col("_sorted").isNull(), unread).otherwise(first)))
+    A text that is null or no JSON, or names a key twice in one object, gives one row with a null path; so does one that is nested deeper than
+    the parser goes. Each text is read once, where it is, and nothing is shuffled. An empty table gives no rows; a document without paths gives none either."""
+    rows = docs.select(*keep, F.col(json))
+    fields = [StructField("path", StringType()), StructField("kind", StringType()), StructField("number", DoubleType())]
+    schema = StructType([*rows.schema.fields[:-1], *fields])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, last = _Paths(), batch.column(batch.num_columns - 1).to_pylist(), batch.num_rows - 1
+            at, path, kind, number = [], [], [], []
+            for i, text in enumerate(texts):
+                try:
+                    found = None if text is None else paths.walk(_loaded(text))
+                except (ValueError, RecursionError):
+                    found = None
+                if found is None:
+                    at.append(i)
+                    path.append(None)
+                    kind.append(None)
+                    number.append(None)
+                else:
+                    at.extend([i] * len(found))
+                    path.extend(found)
+                    for _, _, x, k in found.values():
+                        kind.append(k)
+                        number.append(x if k == NUMBER else None)
+                if at and (i == last or len(at) >= ROWS):
+                    take = pa.array(at, pa.int32())
+                    named = [pa.array(names, pa.string()).take(pa.array(x, pa.int32())) for names, x in ((paths.names, path), (KINDS, kind))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(batch.num_columns - 1)), *named, pa.array(number, pa.float64())], names=schema.names)
+                    at, path, kind, number = [], [], [], []
+
+    return rows.mapInArrow(read, schema)
 
 
 def field_inventory(paths: DataFrame) -> DataFrame:

@@ -84,6 +84,27 @@ def test_paths_of_any_nesting_equal_a_plain_walk(spark):
     assert [(r.documents, r.keyword, r.kinds) for r in unread] == [(6, None, "")]
 
 
+def test_paths_are_read_once_and_in_place(spark, monkeypatch):
+    """One pass without a shuffle, which a first pass for the deepest text was not; output in several batches, odd keys and numbers."""
+    from matchloom.operators import variants
+
+    monkeypatch.setattr(variants, "ROWS", 7)
+    texts = ['{"x.y":1,"x":{"y":2}}', '{"x":{"y":"s"},"x.y":true}', '{"":{"":3}}', '{"a":NaN}', '{"a":1} b', '{"a":1e400,"b":123456789012345678901234567890}', '{"\\ud800":1}'] * 9
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    docs, before = spark.createDataFrame(list(enumerate(texts)), "id long, raw string"), jobs()
+    df = json_paths(docs, "raw", ["id"])
+    assert jobs() == before and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.id, []).append((r.path, r.kind, r.number))
+    unread = (None, None, None)
+    wanted = [
+        {("x.y", "number", 1.0), ("x", "object", None)}, {("x.y", "boolean", None), ("x", "object", None)}, None, {unread}, {unread}, {("a", "number", float("inf")), ("b", "number", 123456789012345678901234567890.0)}, {("?", "number", 1.0)},
+    ]
+    for i in range(len(texts)):
+        assert wanted[i % 7] is None or set(got[i]) == wanted[i % 7]
+
+
 def test_paths_of_an_empty_table_and_with_clashing_names(spark):
     assert json_paths(spark.createDataFrame([], "raw string"), "raw", []).count() == 0
     df = spark.createDataFrame([(1, '{"a":[1,"x"]}')], "`n.o` long, raw string").select(F.col("`n.o`").alias("kind_0"), "raw")
