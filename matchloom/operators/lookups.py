@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def level_means(df: DataFrame, levels: list[list[str]], value: str) -> list[DataFrame]:
-    """Mean and count of a value at each level of keys."""
-    return [
-        df.groupBy(*keys).agg(F.avg(value).alias(f"mean{i}"), F.count(value).alias(f"n{i}")) if keys else df.agg(F.avg(value).alias(f"mean{i}"), F.count(value).alias(f"n{i}"))
-        for i, keys in enumerate(levels)
-    ]
+def level_means(df: DataFrame, levels: list[list[str]], value: str, n: str | None = None) -> list[DataFrame]:
+    """Mean and count of a value at each level of keys; with n, value is a sum over so many."""
+    mean, count = (F.avg(value), F.count(value)) if n is None else (F.try_divide(F.sum(value), F.sum(n)), F.sum(n))
+    return [(df.groupBy(*keys) if keys else df.groupBy()).agg(mean.alias(f"mean{i}"), count.alias(f"n{i}")) for i, keys in enumerate(levels)]
 
 
 def first_level(rows: DataFrame, source: DataFrame, levels: list[list[str]], aggs: list[Column], least: tuple[int, ...], finest: Column, n: Column | None = None) -> DataFrame:
@@ -33,14 +31,14 @@ def first_level(rows: DataFrame, source: DataFrame, levels: list[list[str]], agg
     return out.withColumns({"_found": found, "level": level}).select(*rows.columns, "level", "_found.*")
 
 
-def shrunk_levels(rows: DataFrame, source: DataFrame, levels: list[list[str]], value: str, k: float) -> DataFrame:
+def shrunk_levels(rows: DataFrame, source: DataFrame, levels: list[list[str]], value: str, k: float, n: str | None = None) -> DataFrame:
     """rows with expected: from the coarsest level down, each level's mean shrunk to that of the level above by n / (n + k)."""
     out = rows
-    for means, keys in zip(level_means(source, levels, value), levels):
+    for means, keys in zip(level_means(source, levels, value, n), levels):
         out = out.join(means, keys, "left") if keys else out.crossJoin(F.broadcast(means))
     expected = F.col(f"mean{len(levels) - 1}")
     for i in range(len(levels) - 2, -1, -1):
-        n = F.coalesce(F.col(f"n{i}"), F.lit(0))
-        w = n / (n + F.lit(float(k)))
-        expected = F.when(n > 0, w * F.col(f"mean{i}") + (F.lit(1.0) - w) * expected).otherwise(expected)
+        many = F.coalesce(F.col(f"n{i}"), F.lit(0))
+        w = many / (many + F.lit(float(k)))
+        expected = F.when(many > 0, w * F.col(f"mean{i}") + (F.lit(1.0) - w) * expected).otherwise(expected)
     return out.withColumn("expected", expected).drop(*(f"{c}{i}" for i in range(len(levels)) for c in ("mean", "n")))

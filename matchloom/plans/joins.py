@@ -9,6 +9,7 @@ from matchloom.functions.core import js_round, relative_score
 from matchloom.functions.fixed import LEAST_BASELINE, TIER_KEYS, chosen
 from matchloom.operators.lookups import first_level, shrunk_levels
 from matchloom.sources.facts import PM, player_match, rank_only, spread, table
+from matchloom.sources.scratch import shared_folder
 
 from .registry import query
 
@@ -45,10 +46,15 @@ def hierarchical_baseline(spark, sf_dir):
 @query(f"""WITH {PM}, {LEVEL_SQL}, x AS (SELECT pm.tier, pm.character_num, n2 / (n2 + 30.0) * m2 + 30 / (n2 + 30.0) * m3 e2, n1, m1, n0, m0 FROM pm JOIN l0 USING (tier, character_num, weapon) JOIN l1 USING (tier, character_num) JOIN l2 USING (tier, role), l3),
 y AS (SELECT *, n1 / (n1 + 30.0) * m1 + 30 / (n1 + 30.0) * e2 e1 FROM x) SELECT tier, character_num, {R4.format("avg(n0 / (n0 + 30.0) * m0 + 30 / (n0 + 30.0) * e1)")} expected FROM y GROUP BY 1, 2""")
 def shrunk_baseline(spark, sf_dir):
-    """Each level shrunk to the coarser one by n / (n + 30)."""
-    pm = player_match(spark, sf_dir)
-    x = shrunk_levels(pm, pm, LEVELS, "kills", 30)
-    return x.groupBy("tier", "character_num").agg(js_round(F.avg("expected"), 4).alias("expected"))
+    """Each level shrunk to the coarser one by n / (n + 30). The matches are counted once, by the keys of all levels, and written; all else works on these cells."""
+    keys = list(dict.fromkeys(k for level in LEVELS for k in level))
+    cells = player_match(spark, sf_dir).groupBy(*keys).agg(F.sum("kills").alias("kills"), F.count("kills").alias("with_kills"), F.count(F.lit(1)).alias("matches"))
+    path = f"{shared_folder(spark)}/cells"
+    cells.write.parquet(path)
+    cells = spark.read.schema(cells.schema).parquet(path)
+    x = shrunk_levels(cells, cells, LEVELS, "kills", 30, "with_kills")
+    known = F.when(F.col("expected").isNotNull(), F.col("matches"))
+    return x.groupBy("tier", "character_num").agg(js_round(F.sum(F.col("expected") * known) / F.sum(known), 4).alias("expected"))
 
 
 TIER_NO = "CASE tier WHEN 'iron' THEN 0 WHEN 'bronze' THEN 1 WHEN 'silver' THEN 2 WHEN 'gold' THEN 3 WHEN 'platinum' THEN 4 WHEN 'diamond_plus' THEN 5 WHEN 'meteorite_plus' THEN 6 ELSE 7 END"

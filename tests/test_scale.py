@@ -27,3 +27,9 @@ def test_pairs_and_winners_are_counted_in_as_many_tasks(spark, sf, monkeypatch):
     for name, keys in (("shared_games", "a#"), ("clear_winners", "uid#"), ("analysis_eligibility", "bucket#")):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert any(f"hashpartitioning({keys}" in l and f", {facts.tasks(spark, sf)})" in l for l in plan.splitlines()), name
+
+
+def test_shrunk_baseline_reads_the_matches_once(spark, sf):
+    """All levels come from cells that are written once; the matches were joined once a level before."""
+    df = registry.queries()["shrunk_baseline"](spark, sf)
+    assert not any("lineitem" in f for f in df.inputFiles()) and df.count() > 0
