@@ -1,10 +1,11 @@
 """The collector's operating state for each worker as a stateful stream: mode with hysteresis, caps on calls, stale runs.
 
 Reports of runs may come out of order and more than once. A report waits in list state until the watermark has passed the
-end of its slot of time; the timer of that slot then takes all that is due in order of (time, event_id). So the rows that
+end of its slot of time; a timer then takes all that is due in order of (time, event_id), and sets the timer of the first slot
+still waiting. A worker so has a timer or two, however many slots its reports lie in. So the rows that
 come out do not depend on how reports were dealt into micro-batches, as long as none is later than the watermark's delay;
-later ones, also repeated ones, are dropped by Spark and counted in its metric. Frames are stored as they come: a key's batch
-is never put together, and what waits is bounded by the delay. A worker that is silent for long is forgotten.
+later ones, also repeated ones, are dropped by Spark and counted in its metric. Reports are stored as they come, packed by
+PART at most: a key's batch is never put together, and what waits is bounded by the delay. A worker that is silent for long is forgotten.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import astuple, dataclass, replace
+from datetime import datetime, timedelta, timezone
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +31,6 @@ HARD_CAP, DRAIN_RATIO, EMERGENCY_RATIO, EMERGENCY_GROWTH, HOLD_SECONDS = 100_000
 SAFETY, LEAST_SAMPLES, ALPHA, RISE, FALLBACK_PERCENT = 0.9, 3, 0.25, 1, 1
 DEFAULT_RATES = (0.35, 0.08, 0.55)
 
-REPORT = "at_us long, event_id long, calls long, pending_before long, pending long, game_api long, user_api long, identity_api long, maintenance_api long, added_game long, added_user long, processed long"
 STATE = "mode long, entered_us long, last_us long, told boolean, samples long, per_game double, per_user double, per_identity double, game_percent long, user_percent long, next_game long, next_user long"
 OUT = "worker long, at timestamp, event_id long, kind string, mode string, reason string, game_cap long, user_cap long, cap_reason string, samples long"
 
@@ -191,6 +193,20 @@ def take(w: Worker, r: Report) -> tuple[Worker, tuple]:
     return w, (r.at_us, r.event_id, "run", OPERATION_MODES[mode], reason, game, user, why, w.samples)
 
 
+#: Reports that wait as one packed value of the state, at most.
+PART = 10_000
+FIELDS = [f for f in Report.__dataclass_fields__ if f != "at_us"]
+OUT_ROW, EPOCH = Row("worker", "at", "event_id", "kind", "mode", "reason", "game_cap", "user_cap", "cap_reason", "samples"), datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _packed(reports: list[tuple]) -> tuple[bytes]:
+    return (np.array(reports, "<i8").tobytes(),)
+
+
+def _unpacked(packed: bytes) -> list[tuple]:
+    return list(map(tuple, np.frombuffer(packed, "<i8").reshape(-1, len(FIELDS) + 1).tolist()))
+
+
 class CollectorProcessor(StatefulProcessor):
     """stale_us: how long a run may be silent before a row of kind stale tells of it; forget_us: when the worker is forgotten."""
 
@@ -200,7 +216,7 @@ class CollectorProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.worker = handle.getValueState("worker", STATE)
-        self.waiting = handle.getListState("waiting", REPORT)
+        self.waiting = handle.getListState("waiting", "reports binary")
 
     def close(self) -> None:
         pass
@@ -209,31 +225,32 @@ class CollectorProcessor(StatefulProcessor):
         """A timer at the end of the slot of a time."""
         self.handle.registerTimer(-(-us // self.slot_us) * self.slot_us // 1000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = list(Report.__dataclass_fields__)
-        for frame in rows:
-            frame = frame[frame.event_id.notna()]
-            if len(frame):
-                self.waiting.appendList([tuple(int(v) for v in r) for r in frame[names].itertuples(index=False)])
-                for end in {-(-int(t) // self.slot_us) for t in frame.at_us}:
-                    self._call_at(end * self.slot_us)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, told = None, ((r.at_us, *(r[n] for n in FIELDS)) for r in rows if r.event_id is not None)
+        while part := list(islice(told, PART)):
+            self.waiting.appendList([_packed(part)])
+            least = min(r[0] for r in part)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._call_at(first)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us * self.slot_us
-        before = Worker(*self.worker.get()) if self.worker.exists() else Worker()
-        reports = [Report(*r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted({r for r in reports if r.at_us <= until}, key=astuple)
+        before = Worker(*(self.worker.get() or ()))
+        parts = [_unpacked(p[0]) for p in self.waiting.get()]
+        due = sorted({r for p in parts for r in p if r[0] <= until})
         w, out = before, []
         for r in due:
-            w = self._pass_time(w, r.at_us - 1, out)
-            w, row = take(w, r)
+            w = self._pass_time(w, r[0] - 1, out)
+            w, row = take(w, Report(*r))
             out.append(row)
         w = self._pass_time(w, until, out)
         if due:
-            later = [astuple(r) for r in reports if r.at_us > until]
+            later = [r for p in parts for r in p if r[0] > until]
             if later:
-                self.waiting.put(later)
+                self.waiting.put([_packed(later[i : i + PART]) for i in range(0, len(later), PART)])
+                self._call_at(min(r[0] for r in later))
             else:
                 self.waiting.clear()
         if w != before:
@@ -242,11 +259,8 @@ class CollectorProcessor(StatefulProcessor):
             else:
                 self.worker.update(astuple(w))
                 self._call_at(w.last_us + (self.forget_us if w.told else self.stale_us))
-        if out:
-            frame = pd.DataFrame(out, columns=["at", "event_id", "kind", "mode", "reason", "game_cap", "user_cap", "cap_reason", "samples"])
-            frame["at"] = pd.to_datetime(frame["at"], unit="us")
-            frame.insert(0, "worker", key[0])
-            yield frame.astype({c: "Int64" for c in ("event_id", "game_cap", "user_cap")})
+        for at, *row in out:
+            yield OUT_ROW(key[0], EPOCH + timedelta(microseconds=at), *row)
 
     def _pass_time(self, w: Worker, until: int, out: list) -> Worker:
         """What happens without a report up to a time: a run becomes stale, a worker is forgotten."""
@@ -257,11 +271,11 @@ class CollectorProcessor(StatefulProcessor):
 
 
 def collector_states(reports: DataFrame, delay: str, stale_seconds: int = 180, forget_seconds: int = 30 * 86400, slot_seconds: int = 3600) -> DataFrame:
-    """A row for each report (worker, at and the fields of REPORT) and for each run that became stale.
+    """A row for each report (worker, at and the fields of Report) and for each run that became stale.
 
     Rows without event_id only let time pass. A repeated report counts once. stale_seconds must not exceed forget_seconds.
     The state needs the RocksDB store: start the stream inside rocksdb_state()."""
-    return reports.withWatermark("at", delay).groupBy("worker").transformWithStateInPandas(
+    return reports.withWatermark("at", delay).groupBy("worker").transformWithState(
         CollectorProcessor(stale_seconds * 1_000_000, forget_seconds * 1_000_000, slot_seconds * 1_000_000), OUT, "Append", "EventTime"
     )
 

@@ -2,12 +2,14 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from matchloom.plans import registry
-from matchloom.streaming.collector import DEFAULT_RATES, OPERATION_MODES, Report, Worker, calculated_caps, caps_of, collector_states, next_mode, rocksdb_state, take
+from matchloom.streaming.collector import DEFAULT_RATES, OPERATION_MODES, CollectorProcessor, Report, Worker, calculated_caps, caps_of, collector_states, next_mode, rocksdb_state, take
 from matchloom.streaming.jobs import run_once
 
 FIELDS = [f for f in Report.__dataclass_fields__]
@@ -131,6 +133,67 @@ def test_rows_do_not_depend_on_micro_batches(spark, tmp_path, seed):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+class _Handle:
+    """State of one key in memory; timers is what was registered."""
+
+    def __init__(self):
+        self.timers, self.value, self.list, self.asked = [], None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return _Waiting(self)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+
+class _Waiting:
+    def __init__(self, handle):
+        self.h = handle
+
+    def exists(self):
+        return bool(self.h.list)
+
+    def get(self):
+        return iter(self.h.list)
+
+    def appendList(self, rows):
+        self.h.list += rows
+
+    def put(self, rows):
+        self.h.list = rows
+
+    def clear(self):
+        self.h.list = []
+
+
+def test_a_worker_has_one_timer_for_all_its_slots():
+    """A timer for each slot was set before, each a call of its own once the watermark had passed them all."""
+    h, hour = _Handle(), 3600
+    p = CollectorProcessor(10**15, 10**15, hour * 1_000_000)
+    p.init(h)
+    reports = [report(hour * k + 60, k) for k in range(50)]
+    p.handleInputRows((1,), (Row(**{f: getattr(r, f) for f in FIELDS}) for r in reports[25:] + reports[:25]), None)
+    assert h.timers == [hour * 1000]
+    rows = list(p.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: hour * 10_000), None))
+    assert len(rows) == 10 and h.timers[1] == hour * 11_000 and len(h.timers) == 3
+    rows = list(p.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: hour * 90_000), None))
+    assert [r.event_id for r in rows] == list(range(10, 50)) and not h.list
+
+
 def test_collector_modes_equals_a_plain_loop(spark, sf):
     from matchloom.plans.streams import run_reports
 
