@@ -10,7 +10,7 @@ from matchloom.functions.fixed import HOLDOUT, LEAST_SECONDS
 from matchloom.operators.counted import quantile, ranked
 from matchloom.operators.curves import as_points, bucket, time_curves
 from matchloom.sources.facts import PM, player_match, rank_only
-from matchloom.sources.scratch import shared_folder
+from matchloom.sources.scratch import written
 
 from .registry import query
 
@@ -31,12 +31,6 @@ def cells(pm: DataFrame, season: int = LEFT_OUT_SEASON, players: int = TOP_PLAYE
     return m.select("*", "m.*").where("value is not null").groupBy("role", "duration", *FLAGS, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _written(df: DataFrame, spark, name: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: What each scenario leaves out.
 LEFT_OUT = {"all": None, "train": "held", "without season": "in_season", "without top players": "top"}
 
@@ -85,8 +79,8 @@ def changes(points: DataFrame) -> DataFrame:
 @query(None)
 def time_curve_points(spark, sf_dir):
     """The curve of each role and metric: observed, fallback and expected value, sample counts, weight, source and multiplier of each minute. Tested against a plain loop."""
-    c = _written(cells(player_match(spark, sf_dir)), spark, "cells")
-    points = normalized(_written(curves(c, ("all",)), spark, "curves"), c)
+    c = written(cells(player_match(spark, sf_dir)), "cells")
+    points = normalized(written(curves(c, ("all",)), "curves"), c)
     r = lambda x: js_round(F.col(x), 6).alias(x)
     return points.select("role", "metric", "minute", r("raw"), r("fallback"), "samples", "all_samples", r("weight"), "source", "k", r("expected"), r("normalizer"), r("multiplier"))
 
@@ -94,18 +88,18 @@ def time_curve_points(spark, sf_dir):
 @query(None)
 def holdout_ratios(spark, sf_dir):
     """How held-out games compare with curves fitted without them. Tested against a plain loop."""
-    c = _written(cells(player_match(spark, sf_dir)), spark, "cells")
-    found = ratios(c, _written(curves(c, ("train",)), spark, "curves"))
+    c = written(cells(player_match(spark, sf_dir)), "cells")
+    found = ratios(c, written(curves(c, ("train",)), "curves"))
     return found.select("scope", "key", "metric", "n", js_round(F.col("median"), 6).alias("median"))
 
 
 @query(None)
 def holdout_changes(spark, sf_dir):
     """How far curves move without the held-out games, a season or the most active players. Tested against a plain loop."""
-    c = _written(cells(player_match(spark, sf_dir)), spark, "cells")
+    c = written(cells(player_match(spark, sf_dir)), "cells")
     removed = c.where("metric = 'kills'").agg(*(F.sum(F.when(F.col(f), F.col("n")).otherwise(0)).alias(s) for f, s in zip(FLAGS, ("train", "without season", "without top players"))))
     removed = removed.select(F.explode(F.create_map(*(x for s in removed.columns for x in (F.lit(s), F.col(f"`{s}`"))))).alias("scenario", "removed_rows"))
-    return changes(_written(curves(c), spark, "curves")).join(F.broadcast(removed), "scenario").select("scenario", "removed_rows", js_round(F.col("largest_change"), 6).alias("largest_change"))
+    return changes(written(curves(c), "curves")).join(F.broadcast(removed), "scenario").select("scenario", "removed_rows", js_round(F.col("largest_change"), 6).alias("largest_change"))
 
 
 @query(f"""WITH {PM}, g AS (SELECT game_id, CAST(game_id AS VARCHAR) s, count(*) n, count(*) FILTER (tier IN ('iron', 'bronze', 'silver', 'gold', 'platinum')) low FROM pm WHERE game_mode = 'rank' GROUP BY 1),

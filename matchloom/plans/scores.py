@@ -13,11 +13,14 @@ from matchloom.functions.fixed import (
 from matchloom.operators.counted import midrank, with_ranks
 from matchloom.operators.lookups import first_level
 from matchloom.sources.facts import PM, player_match, rank_only
+from matchloom.sources.scratch import small_methods, written
 
 from .registry import query
 
 R2, R4, R6 = (f"floor(({{0}}) * {10**d} + 0.5) / {10**d}" for d in (2, 4, 6))
 KEY = ["game_id", "slot", "part_id", "source_id", "kills"]
+#: What is kept of a match beside its scores.
+KEPT = ["uid", *KEY, "tier", "character_num", "weapon", "role", "placement", "duration", "level", "baseline_n"]
 
 
 def scored(spark, sf_dir: str, unknown: bool = True) -> DataFrame:
@@ -37,11 +40,12 @@ def expected_metrics(rows: DataFrame) -> DataFrame:
     unknown length and a bucket under 30 samples take the role's, and a role without one takes 1. Damage follows the minute
     curve between 10 and 20 minutes and fades to the bucket's multiplier from 8 and to 25; a match of unknown length is not
     stretched within its bucket. The rows are summed once by all keys, which are small dimensions; levels and multipliers are
-    looked up for the cells of these sums, and the rows are joined with them once."""
+    looked up for the cells of these sums, and the rows are joined with them once. The sums are written, as every level reads them."""
     measures = ("damage", "kills", "assists", "team_kills", "deaths", "vision", "monster")
     cells = rows.groupBy("tier", "character_num", "weapon", "role", "bucket", "victory").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(14,2)")).cast("double").alias(f"s_{c}") for c in measures), *(F.count(c).alias(f"c_{c}") for c in measures)
     )
+    cells = written(cells, "score_cells")
     mean = lambda c: F.try_divide(F.sum(F.col(f"s_{c}").cast("decimal(24,2)")).cast("double"), F.sum(f"c_{c}"))
     levels = [["tier", "character_num", "weapon"], ["tier", "character_num"], ["tier", "role"], ["tier"]]
     keys = ["tier", "character_num", "weapon", "role", "bucket"]
@@ -55,9 +59,10 @@ def expected_metrics(rows: DataFrame) -> DataFrame:
 
     x = x.join(multipliers(["role", "bucket"], "d_").where((F.col("d_n") >= LEAST_BASELINE) & (F.col("bucket") != "unknown")), ["role", "bucket"], "left").join(multipliers(["role"], "r_"), "role", "left")
     at = lambda c: F.coalesce(F.col(f"d_{c}"), F.col(f"r_{c}"), F.lit(1.0))
-    x = x.select(*keys, "level", "baseline_n", *(f"b_{c}" for c in measures), *(at(c).alias(f"m_{c}") for c in stretched))
+    weights = (chosen(F.col("role"), {r: float(w[i]) for r, w in ROLE_WEIGHTS.items()}).alias(f"w_{m}") for i, m in enumerate(METRICS))
+    x = x.select(*keys, "level", "baseline_n", *(f"b_{c}" for c in measures), *(at(c).alias(f"m_{c}") for c in stretched), chosen(F.col("bucket"), DURATION_MIDPOINTS).alias("midpoint"), *weights)
     x = rows.join(x, keys, "left")
-    within = F.when(F.col("duration") > 0, clamp(F.col("duration") / chosen(F.col("bucket"), DURATION_MIDPOINTS), 0.75, 1.25)).otherwise(1.0)
+    within = F.when(F.col("duration") > 0, clamp(F.col("duration") / F.col("midpoint"), 0.75, 1.25)).otherwise(1.0)
     at = lambda c: F.col(f"m_{c}")
     minute, legacy = F.col("duration") / F.lit(60.0), js_round(at("damage") * within, 6)
     curve = js_round(interpolate(minute, DAMAGE_CURVE), 6)
@@ -87,21 +92,30 @@ def policy(raw: Column) -> Column:
 
 
 def weighted(columns: dict[str, Column]) -> Column:
-    """The mean of the metrics that are there by the role's weights; null if none is."""
-    weight = lambda i: chosen(F.col("role"), {r: float(w[i]) for r, w in ROLE_WEIGHTS.items()})
+    """The mean of the metrics that are there by the role's weights (w_ and the metric); null if none is."""
     zero = F.lit(0.0)
-    top = sum((F.coalesce(columns[m] * weight(i), zero) for i, m in enumerate(METRICS)), zero)
-    bottom = sum((F.when(columns[m].isNotNull(), weight(i)).otherwise(0.0) for i, m in enumerate(METRICS)), zero)
+    top = sum((F.coalesce(columns[m] * F.col(f"w_{m}"), zero) for m in METRICS), zero)
+    bottom = sum((F.when(columns[m].isNotNull(), F.col(f"w_{m}")).otherwise(0.0) for m in METRICS), zero)
     return js_round(F.when(bottom > 0, top / bottom), 4)
 
 
-def role_score_rows(spark, sf_dir: str) -> DataFrame:
-    """Rank matches with raw and adjusted metric scores, the role score of either, and the baseline's level."""
+def role_score_rows(spark, sf_dir: str, metrics: bool = False) -> DataFrame:
+    """Rank matches with the role score from raw and from adjusted metric scores, how many are missing, the baseline's level, and, if wanted, the metrics' own scores.
+
+    They are written once, as what Spark compiles for them is run by several queries more than once, and too long a method for the JVM to
+    compile unless it is cut."""
+    with small_methods(spark):
+        return written(_role_score_rows(spark, sf_dir, metrics), "role_scores")
+
+
+def _role_score_rows(spark, sf_dir: str, metrics: bool) -> DataFrame:
     x = expected_metrics(scored(spark, sf_dir))
     actual = {"damage": F.col("damage"), "combat": js_round(participation_capped(F.col("kills"), F.col("assists"), F.col("team_kills")), 6), "survival": F.col("deaths"), "vision": F.col("vision"), "monster": F.col("monster")}
     x = x.withColumns({f"raw_{m}": relative_score(actual[m], F.col(f"e_{m}"), m != "survival") for m in METRICS})
     x = x.withColumns({f"adj_{m}": adjusted(F.col(f"raw_{m}")) for m in METRICS})
-    return x.withColumns({"role_score": weighted({m: F.col(f"adj_{m}") for m in METRICS}), "raw_role_score": weighted({m: F.col(f"raw_{m}") for m in METRICS})})
+    x = x.withColumns({"role_score": weighted({m: F.col(f"adj_{m}") for m in METRICS}), "raw_role_score": weighted({m: F.col(f"raw_{m}") for m in METRICS})})
+    missing = sum((F.col(f"adj_{m}").isNull().cast("int") for m in METRICS), F.lit(0))
+    return x.select(*KEPT, *(f"{p}_{m}" for p in ("raw", "adj", "e") for m in METRICS if metrics), "role_score", "raw_role_score", missing.alias("missing"))
 
 
 def placement_points(place: Column, score: Column) -> Column:
@@ -179,8 +193,7 @@ GRADE = (
 @query(f"WITH {CHAIN} SELECT {KEYS}, lvl AS baseline_level, n baseline_n, role_score, raw_role_score, CASE WHEN a1 IS NULL THEN 1 ELSE 0 END + CASE WHEN a2 IS NULL THEN 1 ELSE 0 END + CASE WHEN a3 IS NULL THEN 1 ELSE 0 END + CASE WHEN a4 IS NULL THEN 1 ELSE 0 END + CASE WHEN a5 IS NULL THEN 1 ELSE 0 END missing FROM sc")
 def role_scores(spark, sf_dir):
     """Every rank match's role score: metrics against the baseline, adjusted, weighed by role; missing metrics take no weight."""
-    missing = sum((F.col(f"adj_{m}").isNull().cast("int") for m in METRICS), F.lit(0))
-    return role_score_rows(spark, sf_dir).select(*KEY, F.col("level").alias("baseline_level"), "baseline_n", "role_score", "raw_role_score", missing.alias("missing"))
+    return role_score_rows(spark, sf_dir).select(*KEY, F.col("level").alias("baseline_level"), "baseline_n", "role_score", "raw_role_score", "missing")
 
 
 @query(
@@ -192,7 +205,7 @@ def role_score_details(spark, sf_dir):
     """One row per match and metric that is there: raw and adjusted score, the rule of the adjustment and the contribution."""
     weight = lambda i: chosen(F.col("role"), {r: float(w[i]) for r, w in ROLE_WEIGHTS.items()})
     one = lambda i, m: F.struct(F.lit(m).alias("metric"), F.col(f"raw_{m}").alias("raw"), F.col(f"adj_{m}").alias("adjusted"), js_round(F.col(f"adj_{m}") * weight(i) / 100, 4).alias("contribution"), F.col(f"e_{m}").alias("expected"), policy(F.col(f"raw_{m}")).alias("policy"))
-    x = role_score_rows(spark, sf_dir).select(*KEY, F.explode(F.array(*(one(i, m) for i, m in enumerate(METRICS)))).alias("d"))
+    x = role_score_rows(spark, sf_dir, metrics=True).select(*KEY, F.explode(F.array(*(one(i, m) for i, m in enumerate(METRICS)))).alias("d"))
     return x.where("d.raw is not null").select(*KEY, "d.*")
 
 
