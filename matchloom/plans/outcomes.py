@@ -43,7 +43,9 @@ def outcome_rows(df: DataFrame) -> DataFrame:
     role, score = F.col("role_score"), F.col("score")
     production = gated(score, role, (role >= S_PLUS_ROLE_GATE) & (F.col("outcome_score") >= S_PLUS_OUTCOME_GATE))
     guarded = gated(score, role, (role >= S_PLUS_ROLE_GATE) & (F.col("placement") <= 3), F.col("placement"))
-    return x.withColumns({"production_grade": steps(production, FINE_GRADES, LOWEST), "guarded_grade": steps(guarded, FINE_GRADES, LOWEST)})
+    # As columns of their own they are computed once, not once for each cut of the grades.
+    x = x.withColumns({"production_grade": production, "guarded_grade": guarded})
+    return x.withColumns({g: steps(F.col(g), FINE_GRADES, LOWEST) for g in ("production_grade", "guarded_grade")})
 
 
 OUTCOME_SQL = "CASE WHEN source_id % 11 <> 0 THEN 100 - placement * 6.0 END"
