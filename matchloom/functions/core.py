@@ -15,6 +15,11 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def js_round(c: Column, digits: int = 0) -> Column:
     """Half toward plus infinity."""
     scale = float(10**digits)

@@ -11,14 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from matchloom.functions.core import bound
 from matchloom.functions.fixed import FIELD_CATEGORIES, FIELD_KEYWORDS, FIELD_MEANINGS, HIDDEN_KEYS
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def kind_and_number(v: Column) -> Column:
     """struct(kind, number): null, boolean, number, string, array or object (SQL null for SQL null), and the value of a JSON number."""
 
@@ -27,7 +23,7 @@ def kind_and_number(v: Column) -> Column:
         kind = F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "VOID", "null").when(s == "BOOLEAN", "boolean").when(number, "number").when(s.isNotNull(), "string")
         return F.struct(kind.alias("kind"), F.when(number, F.try_variant_get(v, "$", "double")).alias("number"))
 
-    return _bound(F.schema_of_variant(v), read)
+    return bound(F.schema_of_variant(v), read)
 
 
 def number_of(v: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.core import clamp, js_round, last_not_above, steps
+from matchloom.functions.core import bound, clamp, js_round, last_not_above, steps
 from matchloom.functions.fixed import (
     ELITE_GAP, ELITE_TIER, ELITE_TIERS, FINE_GRADES, LEAST_BASELINE, LOWEST, P4_POINTS, RELATIVE_GAINS, TIER_KEYS, chosen,
 )
@@ -113,10 +113,12 @@ def quantile_table(df: DataFrame, value: str, points: int = POINTS) -> DataFrame
 
 def percentile_in(x: Column, points: Column) -> Column:
     """Where x lies among sorted points, 0 to 1: the middle of equal ones; 0.5 among a single one."""
-    upper, n = last_not_above(x, points), F.size(points)
-    lower = F.when(F.get(points, upper - 1) == x, F.array_position(points, x).cast("int") - 1).otherwise(upper)
-    middle = F.when(upper > lower, (lower + upper - 1) / F.lit(2.0)).otherwise(lower.cast("double"))
-    return F.when(n == 1, F.lit(0.5)).otherwise(clamp(middle / (n - 1), 0, 1))
+    n = F.size(points)
+    lower = lambda upper: F.when(F.get(points, upper - 1) == x, F.array_position(points, x).cast("int") - 1).otherwise(upper)
+    middle = lambda upper, low: F.when(upper > low, (low + upper - 1) / F.lit(2.0)).otherwise(low.cast("double"))
+    # Each is searched for once: all that uses it is inside bound().
+    place = bound(last_not_above(x, points), lambda upper: bound(lower(upper), lambda low: bound(middle(upper, low), lambda m: clamp(m / (n - 1), 0, 1))))
+    return F.when(n == 1, F.lit(0.5)).otherwise(place)
 
 
 def value_at(p: Column, points: Column) -> Column:
@@ -131,7 +133,7 @@ def gated(score: Column, percentile: Column, place: Column, family: Column, s: C
     """The fine grade of a score, with the best grades kept for residuals beyond the gates and, at the top, the first three places."""
     a = F.when((score >= 95) & ((percentile < plus) | (place > 3)), 94.99).otherwise(score)
     b = F.when((a >= 88) & (percentile < s), 87.99).otherwise(a)
-    return steps(F.when((b >= 84) & (percentile < family), 83.99).otherwise(b), FINE_GRADES, LOWEST)
+    return bound(F.when((b >= 84) & (percentile < family), 83.99).otherwise(b), lambda held: steps(held, FINE_GRADES, LOWEST))
 
 
 P4_SQL = f"""{CHAIN}, gm AS (SELECT *, {GRADE.format("match_score")} AS old_grade FROM mg),

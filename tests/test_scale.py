@@ -1,8 +1,11 @@
 """Plans and results where the tables are large enough to be dealt out by size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.plans import registry
+from matchloom.plans.calibration import percentile_in
+from matchloom.plans.outcomes import outcome_rows
 from matchloom.sources import facts
 
 
@@ -33,3 +36,20 @@ def test_shrunk_baseline_reads_the_matches_once(spark, sf):
     """All levels come from cells that are written once; the matches were joined once a level before."""
     df = registry.queries()["shrunk_baseline"](spark, sf)
     assert not any("lineitem" in f for f in df.inputFiles()) and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["adjusted_contributions", "character_aggregate_grades", "outcome_capped_grades"])
+def test_role_scores_are_computed_once(spark, sf, name):
+    """The scores of matches come from a written table; the whole chain was run anew for each use of them before."""
+    df = registry.queries()[name](spark, sf)
+    assert not any("lineitem" in f for f in df.inputFiles()) and df.count() > 0
+
+
+def test_places_and_gates_are_computed_once(spark):
+    """The search for a percentile stood a dozen times in its expression, and a gated score once for each cut of the grades."""
+    place = percentile_in(F.col("x"), F.col("points"))
+    df = spark.createDataFrame([(2.0, [1.0, 2.0, 2.0, 4.0])], "x double, points array<double>").select(place.alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1 and df.first().p == 0.5
+    df = spark.createDataFrame([(90.0, 3, 80.0)], "role_score double, placement long, outcome_score double")
+    plan = outcome_rows(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("94.99") < 10
