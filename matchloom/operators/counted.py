@@ -54,20 +54,21 @@ def index_midrank(before: Column, n: Column, total: Column) -> Column:
     return F.when(total == 1, F.lit(0.5)).otherwise((before + (n - 1) / 2) / (total - 1))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], folder: str, number: str = "number") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], folder: str, number: str = "number", weight: str | None = None) -> DataFrame:
     """df with the place of each row in its group, from 1, and total, the group's rows; ties in order are broken anyhow.
 
-    The ranges are written to the shared folder, so that all that follows sees the same ones, whatever executor is lost.
-    What is joined has a row for each range and group that meet."""
+    With weight a row stands for so many, and its place is that of the last of them. The ranges are written to the shared folder, so
+    that all that follows sees the same ones, whatever executor is lost. What is joined has a row for each range and group that meet."""
     spark, path = df.sparkSession, f"{folder}/{number}"
     ranges = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     ranges.write.mode("overwrite").parquet(path)
     rows = spark.read.schema(ranges.schema).parquet(path)
-    w = Window.partitionBy(*keys)
-    sizes = rows.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    w, size = Window.partitionBy(*keys), F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = rows.groupBy("_range", *keys).agg(size.alias("_n"))
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_n").over(w)})
     sizes = sizes.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_{k}") for k in keys), "_before", "total")
-    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    inside = Window.partitionBy("_range", *keys).orderBy(*order)
+    own = rows.withColumn("_own", F.row_number().over(inside) if weight is None else F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     on = F.col("_range") == F.col("_r")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))

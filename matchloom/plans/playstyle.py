@@ -11,7 +11,7 @@ from matchloom.functions.core import js_round
 from matchloom.functions.fixed import AXIS_MEASURES, AXIS_NAMES, LEAST_STYLE, STYLE_WEIGHTS
 from matchloom.operators.counted import counted, midrank, numbered, quantile, ranked, with_ranks
 from matchloom.sources.facts import PM, player_match
-from matchloom.sources.scratch import shared_folder
+from matchloom.sources.scratch import shared_folder, written
 
 from .registry import query
 
@@ -41,25 +41,58 @@ def style_matches(spark, sf_dir) -> DataFrame:
     )
 
 
-def style_players(spark, sf_dir) -> DataFrame:
-    """A row for each player: matches, tier of the last one, matches by style, and MEASURES to four digits (null: none)."""
+def style_games(spark, sf_dir) -> DataFrame:
+    """What style_players needs of each player's matches in a game: sums, and their places in order. Where matches are dealt out by game nothing is shuffled."""
     c = F.col
-    x = numbered(style_matches(spark, sf_dir), ["uid"], ORDER, shared_folder(spark), "place_in_time")
-    new = c("place_in_time") > c("total") - F.ceil(c("total") / 2)
-    mean = lambda n: F.sum(n) / F.count(n)
-    spread = lambda v: F.sqrt((F.count(v) * F.sum(c(v) * c(v)) - F.sum(v) * F.sum(v)).cast("double"))
-    older, newer = mean(F.when(~new, c("placement"))), mean(F.when(new, c("placement")))
+    total = lambda v: F.sum(v).alias(f"t_{v}")
     quick = F.floor(c("credit") * 1_000_000 / F.when(c("duration") > 0, c("duration")))
-    g = x.groupBy("uid").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by("tier", F.struct(*ORDER)).alias("tier"), *(F.count_if(c("style") == i).alias(f"s{i}") for i in range(len(STYLES))),
-        mean(c("placement")).alias("place"), mean(c("deaths")).alias("deaths"), mean(c("kills")).alias("kills"), mean(c("assists")).alias("assists"), mean(c("duration")).alias("seconds"),
-        (F.sum(c("damage").cast("decimal(14,2)")).cast("double") / F.count("damage")).alias("damage"), mean(c("credit")).alias("items"), (mean(quick) / 1_000_000).alias("credit_rate"),
-        mean(c("monster")).alias("monster_damage"), mean(c("animals")).alias("animal_kills"), mean(c("seen")).alias("vision"), (mean(c("share")) / 1_000_000).alias("involvement"),
+    last = F.struct("slot", "part_id", "source_id")
+    x = style_matches(spark, sf_dir).withColumns({"quick": quick, "exact": c("damage").cast("decimal(14,2)"), "place2": c("placement") * c("placement"), "kda2": c("kda") * c("kda")})
+    return x.groupBy("uid", "played_at", "game_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("tier", last).alias("tier"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "part_id", "source_id", "placement"))), lambda m: m["placement"]).alias("places"),
+        *(F.count_if(c("style") == i).alias(f"s{i}") for i in range(len(STYLES))), *map(total, SUMS), *(F.count(v).alias(f"c_{v}") for v in COUNTS),
         *(F.count_if(cond).alias(k) for k, cond in {"top3": c("placement") <= 3, "top2": c("placement") <= 2, "bottom": c("placement") >= 7, "wins": c("placement") == 1}.items()),
-        (spread("placement") / F.count("placement")).alias("place_sd"), F.when(F.sum("kda") > 0, spread("kda") / F.sum("kda")).otherwise(0.0).alias("kda_cv"), (older - newer).alias("late"),
     )
-    g = g.withColumns({**{k: c(k) * 100 / c("n") for k in ("top3", "top2", "bottom", "wins")}, "half_gap": F.coalesce(F.abs("late"), F.lit(0.0))})
-    return g.select("uid", "n", "tier", *(f"s{i}" for i in range(len(STYLES))), *(js_round(c(m), 4).alias(m) for m in MEASURES))
+
+
+SUMS = ["placement", "place2", "deaths", "kills", "assists", "duration", "exact", "credit", "quick", "monster", "animals", "seen", "share", "kda", "kda2"]
+COUNTS = ["placement", "deaths", "kills", "assists", "duration", "exact", "credit", "quick", "monster", "animals", "seen", "share", "kda"]
+
+
+def style_players(spark, sf_dir) -> DataFrame:
+    """A row for each player: matches, tier of the last one, matches by style, and MEASURES to four digits (null: none).
+
+    Players are written, as what follows reads them more than once, and so are games; of these only what puts them in order is numbered, to find the game in which a player's newer half
+    begins and how many of its matches belong to the older one."""
+    c = F.col
+    games = written(style_games(spark, sf_dir), "style_games")
+    order = ["played_at", "game_id"]
+    x = numbered(games.select("uid", *order, "n"), ["uid"], order, shared_folder(spark), "upto", weight="n")
+    older = c("total") - F.ceil(c("total") / 2)
+    turn = x.where((c("upto") > older) & (c("upto") - c("n") <= older)).select(c("uid").alias("_uid"), *(c(o).alias(f"_{o}") for o in order), (older - c("upto") + c("n")).cast("int").alias("_k"))
+    here, there = F.struct(*order), F.struct(*(f"_{o}" for o in order))
+    k = F.when(here < there, c("n")).when(here == there, c("_k")).otherwise(0).cast("int")
+    x = games.join(turn, c("uid").eqNullSafe(c("_uid"))).withColumn("k", k)
+    first = F.slice("places", 1, F.greatest("k", F.lit(1)))
+    part = lambda whole, some: F.when(c("k") == c("n"), c(whole)).when(c("k") == 0, F.lit(0)).otherwise(some)
+    x = x.withColumns({
+        "old_n": part("c_placement", F.size(F.filter(first, lambda p: p.isNotNull()))),
+        "old_places": part("t_placement", F.aggregate(first, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p.cast("long"), F.lit(0).cast("long")))),
+    }).drop("places")
+    g = x.groupBy("uid").agg(
+        F.sum("n").alias("n"), F.max_by("tier", F.struct(*order)).alias("tier"), F.sum("old_n").alias("old_n"), F.sum("old_places").alias("old_places"),
+        *(F.sum(v).alias(v) for v in [*(f"s{i}" for i in range(len(STYLES))), *(f"t_{v}" for v in SUMS), *(f"c_{v}" for v in COUNTS), "top3", "top2", "bottom", "wins"]),
+    )
+    mean = lambda v: c(f"t_{v}") / c(f"c_{v}")
+    spread = lambda v, square: F.sqrt((c(f"c_{v}") * c(f"t_{square}") - c(f"t_{v}") * c(f"t_{v}")).cast("double"))
+    late = F.try_divide("old_places", "old_n") - F.try_divide(c("t_placement") - c("old_places"), c("c_placement") - c("old_n"))
+    measures = {
+        "place": mean("placement"), "deaths": mean("deaths"), "kills": mean("kills"), "assists": mean("assists"), "seconds": mean("duration"), "damage": c("t_exact").cast("double") / c("c_exact"),
+        "items": mean("credit"), "credit_rate": mean("quick") / 1_000_000, "monster_damage": mean("monster"), "animal_kills": mean("animals"), "vision": mean("seen"), "involvement": mean("share") / 1_000_000,
+        "place_sd": spread("placement", "place2") / c("c_placement"), "kda_cv": F.when(c("t_kda") > 0, spread("kda", "kda2") / c("t_kda")).otherwise(0.0), "half_gap": F.coalesce(F.abs(late), F.lit(0.0)),
+        **{k: c(k) * 100 / c("n") for k in ("top3", "top2", "bottom", "wins")}, "late": late,
+    }
+    return written(g.select("uid", "n", "tier", *(f"s{i}" for i in range(len(STYLES))), *(js_round(measures[m], 4).alias(m) for m in MEASURES)), "style_players")
 
 
 def style_axes(players: DataFrame) -> DataFrame:
@@ -67,16 +100,17 @@ def style_axes(players: DataFrame) -> DataFrame:
 
     Ranks run over the distinct values of a measure."""
     p = players.where(F.col("n") >= LEAST_STYLE)
-    values = p.select("uid", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES))).alias("m")).select("uid", "m.*")
+    values = p.select("uid", F.explode(F.array(*(F.struct(F.lit(i).alias("measure"), F.col(m).alias("v")) for i, m in enumerate(MEASURES)))).alias("m")).select("uid", "m.*")
     r = with_ranks(values, ["measure"], "v").withColumn("rank", midrank(F.col("before"), F.col("n"), F.col("total")))
-    r = r.groupBy("uid").agg(*(F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(f"r_{m}") for m in MEASURES))
+    # Dealt out by player before they are put side by side, so that a row that travels holds one rank.
+    r = r.select("uid", "measure", "rank").repartition("uid").groupBy("uid").agg(*(F.max(F.when(F.col("measure") == i, F.col("rank"))).alias(f"r_{m}") for i, m in enumerate(MEASURES)))
     r = r.withColumn("r_animals", F.coalesce("r_monster_damage", "r_animal_kills"))
     axes = {}
     for a, parts in PARTS.items():
         rank = {m: F.col(f"r_{m}") if more else 100 - F.col(f"r_{m}") for m, _, more in parts}
         there = _total([F.when(F.col(f"r_{m}").isNotNull(), w).otherwise(0) for m, w, _ in parts])
         axes[a] = F.when(there > 0, _total([F.coalesce(rank[m] * w, F.lit(0.0)) for m, w, _ in parts]) / there)
-    return p.select("uid", "n", "tier", *(f"s{i}" for i in range(len(STYLES)))).join(r.select("uid", *(x.alias(a) for a, x in axes.items())), "uid")
+    return written(p.select("uid", "n", "tier", *(f"s{i}" for i in range(len(STYLES)))).join(r.select("uid", *(x.alias(a) for a, x in axes.items())), "uid"), "style_axes")
 
 
 def _weighted(weights: list) -> Column:

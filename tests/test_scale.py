@@ -53,3 +53,10 @@ def test_places_and_gates_are_computed_once(spark):
     df = spark.createDataFrame([(90.0, 3, 80.0)], "role_score double, placement long, outcome_score double")
     plan = outcome_rows(df)._jdf.queryExecution().analyzed().toString()
     assert plan.count("94.99") < 10
+
+
+@pytest.mark.parametrize("name", ["radar_axes", "play_styles"])
+def test_play_styles_read_written_players(spark, sf, name):
+    """Axes and reports come from written players; matches were numbered and summed anew for each use of them before."""
+    df = registry.queries()[name](spark, sf)
+    assert all("style_players" in f or "style_axes" in f for f in df.inputFiles()) and df.count() > 0
