@@ -43,7 +43,8 @@ def scenarios(c: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
 
 
 def curves(c: DataFrame, wanted: tuple[str, ...] = tuple(LEFT_OUT), k: float | None = None) -> DataFrame:
-    return time_curves(scenarios(c, wanted), c.select("role").distinct(), k=k)
+    """The scenarios' counts are written, as curves read them half a dozen times."""
+    return time_curves(written(scenarios(c, wanted), "scenarios"), c.select("role").distinct(), k=k)
 
 
 def normalized(points: DataFrame, c: DataFrame) -> DataFrame:

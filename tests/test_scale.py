@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.plans import registry
+from matchloom.plans import holdout, registry
 from matchloom.plans.calibration import percentile_in
 from matchloom.plans.outcomes import outcome_rows
 from matchloom.sources import facts
@@ -60,3 +60,10 @@ def test_play_styles_read_written_players(spark, sf, name):
     """Axes and reports come from written players; matches were numbered and summed anew for each use of them before."""
     df = registry.queries()[name](spark, sf)
     assert all("style_players" in f or "style_axes" in f for f in df.inputFiles()) and df.count() > 0
+
+
+def test_curves_read_written_counts(spark, sf):
+    """The scenarios' counts are written once; curves built them anew from the cells for each use before."""
+    c = holdout.cells(facts.player_match(spark, sf))
+    files = holdout.curves(c.where("metric = 'kills'")).inputFiles()
+    assert any("/scenarios/" in f for f in files)
