@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType
 
 from matchloom.sources.sinks import overwrite_partitions
 
@@ -30,22 +33,50 @@ def totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def put_batch(spark: SparkSession, fresh: DataFrame, folder: str, batch: str, values: list[str], order: list[str], buckets: int = 16) -> None:
+def put_batch(spark: SparkSession, fresh: DataFrame, folder: str, batch: str, values: list[str], order: list[str], buckets: int = 16, files: int = 8) -> None:
     """Stores a batch's matches and brings the totals of the seasons and buckets of players that it touches up to date.
 
     fresh: season, uid, game_id, named (the account that raw data names, or null), values, order. A batch is one folder of rows, replaced
     as a whole when it is repeated; the batch that held a partition before is never rewritten. Totals are derived: if a job dies between
-    the two writes, repeating the batch rebuilds them. Files are balanced by size, so a bucket with a hot player is written by several tasks. The touched
-    partitions reach the scan as a run-time filter on folders; there are at most seasons times buckets of them. A match that moves to another season is another match."""
+    the two writes, repeating the batch rebuilds them. A partition's rows are dealt out to `files` files by match, so that a hot player's are in several and the
+    last versions are found without a shuffle; the first batch settles how many. The touched partitions reach the scan as a run-time filter on folders; there are at
+    most seasons times buckets of them. A match that moves to another season is another match."""
     why = skip_reason(F.col("season"), F.col("uid"), F.col("game_id"), F.col("named"))
-    good = fresh.where(why.isNull()).withColumn("bucket", F.crc32(F.col("uid").cast("string")) % buckets)
-    new = latest(good, values, order)
-    new.hint("rebalance", *PARTS).write.mode("overwrite").partitionBy(*PARTS).parquet(f"{folder}/rows/batch={batch}")
-    rows = stored(spark, new, folder)
-    touched = rows.where(F.col("batch") == F.lit(batch)).select(*PARTS).distinct()
-    overwrite_partitions(totals(latest(rows.join(F.broadcast(touched), PARTS, "left_semi"), values, order)), f"{folder}/totals", PARTS)
+    columns = ["season", "uid", "game_id", *dict.fromkeys([*order, *values])]
+    good = fresh.where(why.isNull()).select(*columns, (F.crc32(F.col("uid").cast("string")) % buckets).alias("bucket"))
+    files = dealt(spark, folder, files)
+    new = latest(good.repartition(files, "uid", "game_id"), values, order).select(*columns[1:], *PARTS)
+    with stored(spark, new, folder, files) as table:
+        name = batch.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch = '{name}', season, bucket) SELECT * FROM {{new}}", new=new)
+        rows = spark.table(table)
+        touched = rows.where(F.col("batch") == F.lit(batch)).select(*PARTS).distinct()
+        overwrite_partitions(totals(latest(rows.join(F.broadcast(touched), PARTS, "left_semi"), values, order)), f"{folder}/totals", PARTS)
+
+
+def dealt(spark: SparkSession, folder: str, files: int) -> int:
+    """Into how many files by match the folder's partitions are dealt: as it was made, or so many from now on."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    found = next((int(n[5:]) for n in names if n.startswith("rows-")), None)
+    if found is None:
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path, f"rows-{files}"))
+    return found or files
 
 
-def stored(spark: SparkSession, like: DataFrame, folder: str) -> DataFrame:
-    """All batches' rows; the schema is given, as a batch may have no rows at all."""
-    return spark.read.schema(like.drop(*PARTS).schema.add("batch", StringType()).add("season", IntegerType()).add("bucket", LongType())).parquet(f"{folder}/rows")
+@contextmanager
+def stored(spark: SparkSession, like: DataFrame, folder: str, files: int) -> Iterator[str]:
+    """All batches' rows as a bucketed table over their folder, known to the catalog while it is in use; like has their columns, as a batch may have no rows at all."""
+    table = f"matchloom_rows_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema if f.name not in PARTS)
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}, batch string, season int, bucket bigint) USING parquet PARTITIONED BY (batch, season, bucket) "
+        f"CLUSTERED BY (uid, game_id) INTO {files} BUCKETS LOCATION '{folder}/rows-{files}'"
+    )
+    try:
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+        yield table
+    finally:
+        spark.sql(f"DROP TABLE {table}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.increments import put_batch, skip_reason
-from matchloom.sources.facts import PM, player_match
+from matchloom.sources.facts import PM, player_match, tasks
 from matchloom.sources.scratch import shared_folder
 
 from .registry import query
@@ -35,14 +35,14 @@ w AS (SELECT *, CASE WHEN season IS NULL THEN 'no-season' WHEN named <> CAST(uid
 SELECT season, uid, count(*) games, CAST(sum(kills) AS BIGINT) kills, count(*) FILTER (placement = 1) wins, min(placement) best, CAST(sum(placement) AS BIGINT) places, max(updated_at) updated_at FROM r WHERE r = 1 GROUP BY 1, 2""")
 def season_increments(spark, sf_dir):
     """Totals after all batches, which come in out of order and one of them twice; equal to totals over all rows at once."""
-    fresh, folder = fresh_matches(spark, sf_dir), shared_folder(spark)
+    fresh, folder, files = fresh_matches(spark, sf_dir), shared_folder(spark), max(8, (tasks(spark, sf_dir) or 0) // 8)
     fresh.write.partitionBy("batch").parquet(f"{folder}/incoming")
     incoming = spark.read.schema(fresh.schema).parquet(f"{folder}/incoming")
     years = sorted(r[0] for r in incoming.select("batch").distinct().collect())
     for batch in [*years[1::2], *years[::2], *years[1:2]]:
-        put_batch(spark, incoming.where(F.col("batch") == batch), f"{folder}/kept", batch, VALUES, ORDER, buckets=2)
+        put_batch(spark, incoming.where(F.col("batch") == batch), f"{folder}/kept", batch, VALUES, ORDER, buckets=2, files=files)
     if not years:
-        put_batch(spark, incoming, f"{folder}/kept", "none", VALUES, ORDER, buckets=2)
+        put_batch(spark, incoming, f"{folder}/kept", "none", VALUES, ORDER, buckets=2, files=files)
     return spark.read.parquet(f"{folder}/kept/totals").drop("bucket")
 
 

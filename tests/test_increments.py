@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from matchloom.operators.increments import put_batch
+from matchloom.operators.increments import PARTS, latest, put_batch, stored
 
 SCHEMA = "season int, uid string, game_id long, named string, kills long, placement int, updated_at timestamp_ntz, slot int"
 
@@ -61,3 +61,21 @@ def test_a_batch_rewrites_only_what_it_touches(spark, tmp_path):
     put_batch(spark, spark.createDataFrame([(2, "a", 2, None, 5, 2, at, 1)], SCHEMA), folder, "y", ["kills", "placement"], ["updated_at", "slot"], buckets=2)
     assert before and files() == before
     assert found(spark, folder)[2, "a"] == (2, 6, 1) and found(spark, folder)[1, "a"] == (1, 1, 1)
+
+
+def test_stored_rows_are_not_shuffled_again(spark, tmp_path):
+    """Last versions are found where the rows lie, also where a batch names another number of files; every batch shuffled all rows of its seasons before."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    folder = f"file://{tmp_path}/kept"
+    row = lambda game, kills, day: (1, "hot" if game % 2 else "a", game, None, kills, 1, at + datetime.timedelta(day), 1)
+    first, second = [row(g, 1, 0) for g in range(50)], [row(g, 2, 1) for g in range(20, 70)]
+    put_batch(spark, spark.createDataFrame(first, SCHEMA), folder, "it's", ["kills", "placement"], ["updated_at", "slot"], buckets=2, files=4)
+    put_batch(spark, spark.createDataFrame(second, SCHEMA), folder, "y", ["kills", "placement"], ["updated_at", "slot"], buckets=2, files=3)
+    assert found(spark, folder) == by_hand({"x": first, "y": second})
+    like = spark.createDataFrame([], SCHEMA.replace("named string, ", "") + ", bucket long").select("uid", "game_id", "kills", "placement", "updated_at", "slot", *PARTS)
+    with stored(spark, like, folder, 4) as table:
+        plan = latest(spark.table(table), ["kills", "placement"], ["updated_at", "slot"])._jdf.queryExecution().executedPlan().toString()
+        assert spark.table(table).count() == 100 and "Exchange" not in plan
+    assert not spark.catalog.tableExists(table)
