@@ -33,26 +33,32 @@ def _byte_letters() -> list[str]:
 
 _LETTERS = _byte_letters()
 _SPACE = _LETTERS[0x20]
+_TABLE = dict(enumerate(_LETTERS))
+#: Signs that are a word by themselves after a letter.
+_STOPS = frozenset(",.")
 
 
 class Encoder:
     """Ids as little-endian unsigned 16- or 32-bit numbers.
 
-    Works through about `part` characters at a time. Of over `most` known pieces or words those of the last part stay."""
+    Works through about `part` characters at a time. Of over `most` known pieces or words, those met since the time before that they were so many stay."""
 
-    def __init__(self, path: str, most: int = 300_000, part: int = 1_000_000):
+    def __init__(self, path: str, most: int = 150_000, part: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.most, self.part = most, part
+        self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: A piece with an added token is no plain text.
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        #: Pieces without and with a space before them, and the same of the time before.
+        self.pieces: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]
         self.words: dict[str, bytes] = {}
-
+        self.older_words: dict[str, bytes] = {}
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
@@ -61,38 +67,70 @@ class Encoder:
             word = _SPACE + word[1:] if word[0] == " " else word
         else:
             word = "".join(map(_LETTERS.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _learn(self, known: dict[str, bytes], todo: set[str], prefix: str) -> None:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _lettered(self, words: list[str]) -> list[bytes]:
+        """The ids of words without line breaks, all written in byte letters at once."""
+        cut, ids, ends = self.model.tokenize, [], [0]
+        for w in "\n".join(words).encode().decode("latin-1").translate(_TABLE).split(_LETTERS[0x0A]) if words else ():
+            ids += [t.id for t in cut(w)]
+            ends.append(len(ids))
+        raw, size = array(self.code, ids).tobytes(), self.dtype.itemsize
+        return [raw[a * size : b * size] for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, todo: set[str], prefix: str) -> dict[str, bytes]:
         """The ids of each piece with the prefix before it."""
-        single, plain, cut, odd = [], [], [], []
+        single, stopped, plain, cut, odd = [], [], [], [], []
         for x in todo:
-            if x.isascii() and x.isalpha():
+            if x.isalpha() and (x.isascii() or _PLAIN.match(x)):
                 single.append(x)
+            elif x[-1:] in _STOPS and (y := x[:-1]).isalpha() and (y.isascii() or _PLAIN.match(y)):
+                stopped.append(x)
             elif _PLAIN.match(x) and not ("<" in x and self.added.search(x)):
                 plain.append(x)
                 cut.append(_WORD.findall(prefix + x))
             else:
                 odd.append(x)
-        known.update(zip(odd, self._whole([prefix + x for x in odd])))
-        words, full = self.words, [prefix + x for x in single]
-        for w in set(full).union(*cut).difference(words):
-            words[w] = self._word(w)
+        full, bare = [prefix + x for x in single], [prefix + x[:-1] for x in stopped]
+        words = self._known_words({*_STOPS, *full, *bare}.union(*cut))
         get = words.__getitem__
-        known.update(zip(single, map(get, full)))
-        known.update(zip(plain, [b"".join(map(get, c)) for c in cut]))
+        found = dict(zip(odd, self._whole([prefix + x for x in odd])))
+        found.update(zip(single, map(get, full)))
+        found.update(zip(stopped, [words[w] + words[x[-1]] for w, x in zip(bare, stopped)]))
+        found.update(zip(plain, [b"".join(map(get, c)) for c in cut]))
+        return found
+
+    def _known_words(self, wanted: set[str]) -> dict[str, bytes]:
+        words, older = self.words, self.older_words
+        lettered = []
+        for w in wanted.difference(words):
+            if (ids := older.get(w)) is not None:
+                words[w] = ids
+            elif w.isalpha() or (w[0] == " " and w[1:].isalpha()):
+                lettered.append(w)
+            else:
+                words[w] = self._word(w)
+        words.update(zip(lettered, self._lettered(lettered)))
         if len(words) > self.most:
-            self.words = {w: words[w] for c in (full, *cut) for w in c}
-
-    def _all(self, lists: list[list[str]], spaced: int):
-        known, pieces = self.pieces[spaced], set().union(*lists)
+            self.older_words, self.words = words, {}
+        return words
+
+    def _all(self, lists: list[list[str]], spaced: int) -> list[list[bytes]]:
+        """The ids of each list's pieces, each piece looked up once and learned together with the others that are new."""
+        known, older = self.pieces[spaced], self.older[spaced]
+        out = [[*map(known.get, x)] for x in lists]
+        new = [[i for i, ids in enumerate(found) if ids is None] if None in found else () for found in out]
+        todo = {x[i] for x, at in zip(lists, new) for i in at}
+        again = {x: ids for x in todo if (ids := older.get(x)) is not None}
+        known.update(again)
+        if todo := todo.difference(again):
+            known.update(self._learn(todo, " " * spaced))
+        for found, x, at in zip(out, lists, new):
+            for i in at:
+                found[i] = known[x[i]]
         if len(known) > self.most:
-            last = {x: known[x] for x in pieces.intersection(known)}
-            known.clear()
-            known.update(last)
-        if todo := pieces.difference(known):
-            self._learn(known, todo, " " * spaced)
-        return known.__getitem__
+            self.older[spaced], self.pieces[spaced] = known, {}
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         heads: list[list[str]] = []
@@ -105,8 +143,7 @@ class Encoder:
                 head, *rest = t.split(" ")
                 heads.append([head] if head else [])
                 rests.append(rest)
-        plain, spaced = self._all(heads, 0), self._all(rests, 1)
-        return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in zip(heads, rests)]
+        return [b"".join([*a, *b]) for a, b in zip(self._all(heads, 0), self._all(rests, 1))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of every text; a null text has none."""

@@ -37,6 +37,20 @@ def test_encoder_equals_library(spark, sf):
         assert np.frombuffer(got, enc.dtype).tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_encoder_does_not_learn_common_words_again():
+    """Words that come back are still known after more than `most` others; only those of the last part were kept before."""
+    import public_tokenizers
+
+    enc, learned = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=200, part=100), []
+    for name in ("_word", "_lettered"):
+        if f := getattr(enc, name, None):
+            setattr(enc, name, lambda x, f=f: learned.extend([x] if isinstance(x, str) else x) or f(x))
+    texts = [" ".join(f"{a}{x}{y}" for x in "klmnopqr" for y in "stuvwxyz") for a in "abcd"]
+    enc.encode(texts * 5)
+    assert len(learned) <= 300
+
+
+
 def test_encoder_on_any_letters():
     """Random texts over characters at which the cuts and the pattern could differ from the library's."""
     from tokenizers import Tokenizer
