@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from matchloom.functions.core import bound
 from matchloom.functions.fixed import FIELD_CATEGORIES, FIELD_KEYWORDS, FIELD_MEANINGS, HIDDEN_KEYS
+from matchloom.sources.scratch import written
 
 
 def kind_and_number(v: Column) -> Column:
@@ -195,13 +196,12 @@ def meanings(path: Column) -> Column:
 
 def _owner(v: Column) -> Column:
     """The account that an entry names: the first of uid and userId that is a string and not blank."""
-    filled = lambda c: F.when(F.trim(c) != "", c)
-    return F.coalesce(filled(text_of(part(v, "uid"))), filled(text_of(part(v, "userId"))))
+    filled = lambda name: bound(text_of(part(v, name)), lambda c: F.when(F.trim(c) != "", c))
+    return F.coalesce(filled("uid"), filled("userId"))
 
 
 def _weapon(v: Column) -> Column:
-    w = number_of(part(v, "bestWeapon"))
-    return F.when((w > 0) & (w != float("inf")), w)
+    return bound(number_of(part(v, "bestWeapon")), lambda w: F.when((w > 0) & (w != float("inf")), w))
 
 
 def recovered_weapons(rows: DataFrame, participants: DataFrame, details: DataFrame) -> DataFrame:
@@ -210,14 +210,16 @@ def recovered_weapons(rows: DataFrame, participants: DataFrame, details: DataFra
     rows: row_id, game, uid, character, weapon, raw (the row's own JSON); participants: game, uid, character, weapon; details: game, raw
     (a JSON array with an entry per player). A row's own JSON counts first, if it names no other account and the same character; then the
     participant's positive weapon (the highest); then the game's JSON, if the entries of this character that name this account or none
-    agree on one weapon. Unreadable JSON and rows without a game, account or character find nothing. Only the rows in need are joined."""
-    own = F.try_parse_json("raw")
-    fits = F.coalesce(_owner(own) == F.col("uid"), F.lit(True)) & (number_of(part(own, "characterNum")) == F.col("character"))
+    agree on one weapon. Unreadable JSON and rows without a game, account or character find nothing. Only the rows in need are joined.
+    A text is parsed once; the games' entries are read from it once and written, as accounts and entries without one both need them."""
+    fits = lambda v: F.coalesce(_owner(v) == F.col("uid"), F.lit(True)) & (number_of(part(v, "characterNum")) == F.col("character"))
+    own = bound(F.try_parse_json("raw"), lambda v: F.when(fits(v), _weapon(v)))
     state = F.when(F.col("weapon").isNull() | F.isnan(F.col("weapon").cast("double")), "missing-best-weapon").when(F.col("weapon") <= 0, "invalid-best-weapon")
-    need = rows.withColumn("reason", state).where("reason is not null").withColumn("own", F.when(fits, _weapon(own))).drop("raw")
+    need = rows.withColumn("reason", state).where("reason is not null").withColumn("own", own).drop("raw")
     known = participants.where("weapon > 0").groupBy("game", "uid", "character").agg(F.max("weapon").alias("listed"))
     entries = details.select("game", F.explode(F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")).alias("e"))
-    entries = entries.select("game", number_of(part(F.col("e"), "characterNum")).alias("character"), _owner(F.col("e")).alias("uid"), _weapon(F.col("e")).alias("w")).where("w is not null")
+    entries = entries.select("game", number_of(part(F.col("e"), "characterNum")).alias("character"), _owner(F.col("e")).alias("uid"), _weapon(F.col("e")).alias("w"))
+    entries = written(entries, "weapon_entries").where("w is not null")
     named = entries.where("uid is not null").groupBy("game", "character", "uid").agg(F.min("w").alias("low"), F.max("w").alias("high"))
     nameless = entries.where("uid is null").groupBy("game", "character").agg(F.min("w").alias("low0"), F.max("w").alias("high0"))
     found = need.join(known, ["game", "uid", "character"], "left").withColumn("character", F.col("character").cast("double"))

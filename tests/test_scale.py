@@ -67,3 +67,9 @@ def test_curves_read_written_counts(spark, sf):
     c = holdout.cells(facts.player_match(spark, sf))
     files = holdout.curves(c.where("metric = 'kills'")).inputFiles()
     assert any("/scenarios/" in f for f in files)
+
+
+def test_weapons_are_read_once_from_the_games_texts(spark, sf):
+    """The entries of the games' texts are written once; every text was built and read for named and for nameless entries before."""
+    df = registry.queries()["weapon_recovery"](spark, sf)
+    assert any("weapon_entries" in f for f in df.inputFiles()) and df.count() > 0
