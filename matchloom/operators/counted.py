@@ -23,6 +23,11 @@ def ranked(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> Data
     return counts.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum(real).over(w)})
 
 
+def by_range(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """df dealt out by ranges of order, to parts tasks if given: rows equal in order meet in one range. Its number, spark_partition_id(), never falls as order rises."""
+    return df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+
+
 def quantile(value: str, p: float, n: str = "n") -> Column:
     """The interpolated p-quantile of a group of ranked counts, as an aggregate."""
     pos = (F.col("total") - 1) * F.lit(float(p))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.core import js_round
 from matchloom.functions.fixed import CURVE_MINUTES
 
-from .counted import nearest_quantile, quantile, ranked
+from .counted import quantile, ranked
 from .statistics import isotonic
 
+#: Values beyond this share of a group are cut to the value that reaches it.
+SHARE = 0.95
+
 
 def bucket(seconds: Column) -> Column:
     """Which five minutes a match ended in: 0 to 6, the last open; null without a length."""
@@ -18,10 +21,20 @@ def bucket(seconds: Column) -> Column:
 
 
 def capped(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mean of the values up to the nearest-rank 95 % point, and count; counts: keys, value, n."""
-    c = ranked(counts.groupBy(*keys, "value").agg(F.sum("n").alias("n")), keys, "value")
-    tops = c.groupBy(*keys).agg(nearest_quantile("value", 0.95).alias("top"))
-    return c.join(tops, keys).groupBy(*keys).agg((F.sum(F.least("value", "top") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("count"))
+    """keys, mean of the values up to the nearest-rank 95 % point, and count; counts: keys, value, n and range, which never falls as value rises.
+
+    Ranges are summed first. Only the range that holds the point has its values put in order, so no task holds more of a group than one range."""
+    r = ranked(counts.groupBy(*keys, "range").agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("sum")), keys, "range")
+    r = r.withColumn("below", F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    edge = F.min(F.when(F.col("before") + F.col("n") >= F.col("total") * F.lit(SHARE), F.struct("range", F.col("before").alias("_before"), "below", F.col("total").alias("count"))))
+    edges = r.groupBy(*keys).agg(edge.alias("_e")).select(*keys, "_e.*")
+    inside = counts.join(F.broadcast(edges), [*keys, "range"]).groupBy(*keys, "value", "_before", "below", "count").agg(F.sum("n").alias("n"))
+    c = ranked(inside, keys, "value")
+    reached = F.when(F.col("_before") + F.col("before") + F.col("n") >= F.col("count") * F.lit(SHARE), F.col("value"))
+    c = c.withColumn("top", F.min(reached).over(Window.partitionBy(*keys)))
+    above = F.col("count") - F.col("_before") - F.sum("n")
+    mean = (F.col("below") + F.sum(F.least("value", "top") * F.col("n")) + above * F.col("top")) / F.col("count")
+    return c.groupBy(*keys, "top", "_before", "below", "count").agg(mean.alias("mean")).select(*keys, "mean", "count")
 
 
 def shrink_constants(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,11 +45,12 @@ def shrink_constants(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def time_curves(counts: DataFrame, roles: DataFrame, scenario: str = "scenario", k: float | None = None) -> DataFrame:
-    """A row per scenario, role, metric and minute. counts: scenario, role, metric, bucket, value, n; roles: the roles to have a curve.
+    """A row per scenario, role, metric and minute. counts: scenario, role, metric, bucket, value, n, and range where values are dealt out by size; roles: the roles to have a curve.
 
     Works on counted values; what is joined or put in order has a row per curve and minute."""
     keys = [scenario, "metric", "minute"]
     at = counts.withColumn("minute", F.least(F.lit(30), (F.col("bucket") + 1) * 5))
+    at = at if "range" in at.columns else at.withColumn("range", F.lit(0))
     own = capped(at, ["role", *keys]).select("role", *keys, F.col("mean").alias("raw"), F.col("count").alias("samples"))
     whole = capped(at, keys).select(*keys, F.col("mean").alias("all"), F.col("count").alias("all_samples"))
     minutes = F.explode(F.array(*map(F.lit, CURVE_MINUTES))).alias("minute")

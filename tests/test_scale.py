@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.operators.curves import capped
 from matchloom.plans import holdout, registry
 from matchloom.plans.calibration import percentile_in
 from matchloom.plans.outcomes import outcome_rows
 from matchloom.sources import facts
+from matchloom.sources.scratch import written
 
 
 def rows(df):
@@ -73,3 +75,20 @@ def test_weapons_are_read_once_from_the_games_texts(spark, sf):
     """The entries of the games' texts are written once; every text was built and read for named and for nameless entries before."""
     df = registry.queries()["weapon_recovery"](spark, sf)
     assert any("weapon_entries" in f for f in df.inputFiles()) and df.count() > 0
+
+
+def test_curves_put_no_whole_group_in_order(spark, sf, monkeypatch):
+    """Only values of the range that holds a curve's 95 % point are put in order, and cells are counted in tasks that follow the size; a group met whole in one task before."""
+    wanted = rows(registry.queries()["holdout_changes"](spark, sf))
+    monkeypatch.setattr(facts, "TASK_BYTES", 5000)
+    many = facts.tasks(spark, sf)
+    c = written(holdout.cells(facts.player_match(spark, sf), sf_dir=sf), "cells")
+    assert len(c.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = written(holdout.scenarios(c, tuple(holdout.LEFT_OUT), many), "scenarios")
+    ranges = [tuple(r) for r in s.groupBy("range").agg(F.min(F.struct("metric", "value")), F.max(F.struct("metric", "value")), F.count(F.lit(1))).orderBy("range").collect()]
+    assert len(ranges) > many / 2 and all(a[2] < b[1] for a, b in zip(ranges, ranges[1:])) and max(r[3] for r in ranges) < s.count() / 4
+    x = s.where("metric = 'damage'").select("role", "bucket", "value", "range", F.col("all").alias("n"))
+    whole = {r[0]: tuple(r[1:]) for r in capped(x.withColumn("range", F.lit(0)), ["bucket"]).collect()}
+    found = {r[0]: tuple(r[1:]) for r in capped(x, ["bucket"]).collect()}
+    assert set(found) == set(whole) and all(found[b][1] == n and abs(found[b][0] / mean - 1) < 1e-12 for b, (mean, n) in whole.items())
+    assert rows(registry.queries()["holdout_changes"](spark, sf)) == wanted
